@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup
+from . import exact_dedup, secret_scan
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLE_SQL = {
