@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, pii, secret_scan
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
