@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, pii, secret_scan
+from . import exact_dedup, pii, secret_scan, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
