@@ -1,14 +1,16 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, pii, secret_scan, simhash
+from . import exact_dedup, mixing, pii, secret_scan, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
