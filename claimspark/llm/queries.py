@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, language_id, mixing, packing, pii, secret_scan, simhash
+from . import exact_dedup, hmm_lm, language_id, mixing, packing, pii, secret_scan, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_hmm_lm": hmm_lm.op10_hmm_lm,
 }
 
 ORACLE_SQL = {
