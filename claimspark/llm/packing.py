@@ -18,9 +18,14 @@ looked at.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +34,23 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, table, texts
 
-LIMIT, END, GROUP, CACHED = 4096, 1, 1 << 16, 300_000
+LIMIT, END, GROUP, CACHED = 4096, 1, 1 << 16, 500_000
 VOCABULARY = "word_bpe_49k.json"
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Words are known by heart, and so are the parts to which the tokenizer splits them, so that
+    punctuation doesn't make a word new. Unknown parts go to the tokenizer many at a time; the
+    last id of each part ends a word, which tells where one part's ids end.
+    """
 
     #: Blank for str.split(), but not for the tokenizer: texts with these are encoded whole.
     ODD = "\x1c\x1d\x1e\x1f"
+    #: How the tokenizer splits lower-case words of characters below U+0180, which it takes as they are.
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ\u0100-\u017f]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ\u0100-\u017f0-9²³¹¼½¾]+")
+    PLAIN = re.compile("[!-~¡-\u017f]+")
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,24 +61,74 @@ class Encoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = [text] if any(c in text for c in self.ODD) else text.split()
-        known = self.known
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str | None) -> Encoder:
+        """The encoder that this worker process keeps from task to task, with what it knows."""
+        kept = sys.modules.setdefault("_claimspark_encoders", types.ModuleType("_claimspark_encoders"))
+        if path not in kept.__dict__.setdefault("by_path", {}):
+            kept.by_path[path] = cls(path)
+        return kept.by_path[path]
+
+    def ask(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = self.ask(" ".join(some))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.parts.update((part, data[a:b]) for part, a, b in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.parts.update((part, self.ask(part).tobytes()) for part in some)
+
+    def learn(self, words: set[str]) -> None:
+        split, plain, parts_of = {}, self.PLAIN.fullmatch, self.PARTS.findall
+        for word in words:
+            core = word.rstrip(".,;:!?")
+            if core.isalpha() and (core.isascii() or plain(core)):  # most words: letters, then punctuation or nothing
+                split[word] = (core.lower(),) if len(core) == len(word) else (core.lower(), word[len(core) :])
+            elif "<" not in word and (word.isascii() or plain(word)):
+                split[word] = parts_of(word.lower())
+            else:
+                self.words[word] = self.ask(word).tobytes()
+        if len(self.parts) > CACHED:
+            self.parts.clear()
+        fresh = dict.fromkeys(part for parts in split.values() for part in parts if part not in self.parts)
+        self.learn_parts(list(fresh))
+        known = self.parts
+        for word, parts in split.items():
+            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+
+    def encode_all(self, bodies: list[str]) -> Iterator[bytes]:
+        """The ids of each text, some at a time."""
+        held, size = [], 0
+        for body in bodies:
+            held.append([body] if any(c in body for c in self.ODD) else body.split())
+            size += len(body)
+            if size > 2_000_000:
+                yield from self.settle(held)
+                held, size = [], 0
+        yield from self.settle(held)
+
+    def settle(self, texts_: list[list[str]]) -> Iterator[bytes]:
+        if len(self.words) > CACHED:
+            self.words.clear()
+        known, collecting = self.words, gc.isenabled()
+        gc.disable()  # it would walk the caches again and again; nothing here makes cycles
         try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(fresh) > CACHED:
-                known.clear()
-                fresh = list(dict.fromkeys(words))
-            self.learn(fresh)
-            return b"".join(map(known.__getitem__, words))
+            self.learn(set(chain.from_iterable(texts_)).difference(known))
+        finally:
+            if collecting:
+                gc.enable()
+        for words in texts_:
+            yield b"".join(map(known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -74,12 +137,12 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, uid = Encoder(path), TaskContext.get().partitionId() << 40
+        encoder, uid = Encoder.of_process(path), TaskContext.get().partitionId() << 40
         close = end.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for number, body in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = encoder.encode(body) + close
+            for number, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts(batch.column(1))), strict=True):
+                ids += close
                 for i, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     rows.append((uid, number, i, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i4")] if keep_ids else [])))

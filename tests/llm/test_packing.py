@@ -17,12 +17,27 @@ ENCODER = M.Encoder()
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="aAéÉßſİΣσς'st́ \t\n\x0b\x1c\x1f\x85\xa0 　<|>0٣½ⅷ漢字!$_-ﬁ", max_size=40) | st.text(max_size=40))
 def test_word_by_word_gives_the_ids_of_the_whole_text(text):
-    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(ENCODER.encode_all([text])), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_special_strings_are_met_as_the_tokenizer_meets_them():
     for text in ("a<|endoftext|>b <|startoftext|> c", "<|endoftext|>", "< |endoftext|>"):
-        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(ENCODER.encode_all([text])), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_the_tables_give_the_ids_of_the_whole_text():
+    import pyarrow.parquet as pq
+
+    for name in ("documents", "pages"):
+        column = pq.read_table(f"/root/testdata/sf0.001/{name}.parquet").column("text" if name == "documents" else "html").to_pylist()
+        for text, ids in zip(column, ENCODER.encode_all(column), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_each_plain_character_alone_and_in_a_word():
+    plain = [chr(i) for i in range(0x250)]
+    for text in [*plain, *(f"a{c}b" for c in plain), *(f"{c}{c}1" for c in plain), *(f"'{c}s" for c in plain)]:
+        assert np.frombuffer(b"".join(ENCODER.encode_all([text])), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 def plain_best_fit(lengths, limit):
