@@ -175,14 +175,12 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .groupBy("digest", "keep_id")
         .agg(F.max("points").alias("points"), F.count("*").alias("rows"))
     )
-    stay = materialise(twins, "dedup-stay").withColumnsRenamed({"digest": "_stay_digest", "keep_id": "_stay_id", "points": "_stay_points", "rows": "_stay_rows"})
-    body = F.coalesce(docs[text], F.lit(""))
-    found = docs.withColumns({"_digest": F.unhex(F.sha2(_bare(body), 256)), "_points": F.char_length(body).cast("long")}).join(
-        stay, (F.col("_digest") == F.col("_stay_digest")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_points") == F.col("_stay_points"))
-    )
-    single = found.where("_stay_rows = 1").select(*docs.columns)
-    again = found.where("_stay_rows > 1").dropDuplicates(["_digest"]).select(*docs.columns)
-    return single.unionByName(again)
+    stay = materialise(twins, "dedup-stay")
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(F.struct("*").alias("doc"), F.unhex(F.sha2(_bare(body), 256)).alias("d"), F.char_length(body).cast("long").alias("p"), F.col(doc_id).cast("long").alias("i"))
+    found = found.join(stay, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("p") == F.col("points")))
+    return found.where("rows = 1").select("doc.*").unionByName(found.where("rows > 1").dropDuplicates(["digest"]).select("doc.*"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,21 +141,20 @@ def apply_mix(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "
     A document taken in part appears with its first words. ``docs`` must be a table whose rows come
     in the same order whenever it is read.
     """
-    taken = mix(docs, quality, doc_id, text, source).where("taken > 0").select(F.col("row").alias("_taken_row"), F.col("size").alias("_taken_size"), F.col("taken").alias("_taken"))
-    numbered = docs.withColumn("_taken_row", F.monotonically_increasing_id())
-    copies = numbered.join(taken, "_taken_row").withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken - 1) div _taken_size)")))
-    words = F.least(F.col("_taken_size"), F.col("_taken") - F.col("_copy") * F.col("_taken_size"))
-    copies = copies.withColumn("_words", words)
-    whole = copies.where("_words = _taken_size").select(*docs.columns)
+    taken = mix(docs, quality, doc_id, text, source).where("taken > 0").select(F.col("row").alias("at"), "size", "taken")
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"), F.struct("*").alias("doc"))
+    copies = rows.join(taken, F.col("row") == F.col("at")).withColumn("copy", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
+    copies = copies.withColumn("words", F.least("size", F.col("taken") - F.col("copy") * F.col("size")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index(text)
-            bodies = [first_words(t, n) for t, n in zip(batch.column(i).to_pylist(), batch.column(batch.schema.get_field_index("_words")).to_pylist(), strict=True)]
-            yield batch.set_column(i, batch.schema.field(i), pa.array(bodies, batch.schema.field(i).type))
+            bodies = [first_words(t, n) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.set_column(1, batch.schema.field(1), pa.array(bodies, batch.schema.field(1).type))
 
-    part = copies.where("_words < _taken_size")
-    return whole.unionByName(part.mapInArrow(cut, part.schema).select(*docs.columns))
+    part = copies.where("words < size").select("words", "t", "doc")
+    part = part.mapInArrow(cut, part.schema).select(F.col("doc").withField(f"`{text}`", F.col("t")).alias("doc"))
+    return copies.where("words = size").select("doc.*").unionByName(part.select("doc.*"))
 
 
 def first_words(text: str, n: int) -> str:

@@ -212,19 +212,19 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     and of rows that share both, one stays.
     """
     rows = materialise(near_components(docs, doc_id, text), "simhash-rows")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min(F.struct("component_id", "fingerprint")).alias("_best"))
-    stay = materialise(ids.where("doc_id <=> _best.component_id").select(F.col("doc_id").alias("_id"), F.col("_best.fingerprint").alias("_print"), "_rows"), "simhash-stay")
-    found = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(stay["_id"]))
-    single = found.where("_rows = 1").select(*docs.columns)
-    several = found.where("_rows > 1")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct("component_id", "fingerprint")).alias("best"))
+    stay = materialise(ids.where("doc_id <=> best.component_id").select(F.col("doc_id").alias("id"), F.col("best.fingerprint").alias("print"), "rows"), "simhash-stay")
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    found = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(stay, F.col("i").eqNullSafe(F.col("id")))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = np.fromiter(map(fingerprint, utf8(batch.column(batch.schema.get_field_index(text)))), np.uint64, batch.num_rows).view(np.int64)
-            yield batch.filter(pa.array(mine == batch.column(batch.schema.get_field_index("_print")).to_numpy()))
+            mine = np.fromiter(map(fingerprint, utf8(batch.column(2))), np.uint64, batch.num_rows).view(np.int64)
+            yield batch.filter(pa.array(mine == batch.column(1).to_numpy())).select([0, 3])
 
-    again = several.mapInArrow(same, several.schema).dropDuplicates(["_id"]).select(*docs.columns)
-    return single.unionByName(again)
+    several = found.where("rows > 1").select("id", "print", "t", "doc")
+    again = several.mapInArrow(same, several.select("id", "doc").schema).dropDuplicates(["id"])
+    return found.where("rows = 1").select("doc.*").unionByName(again.select("doc.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
