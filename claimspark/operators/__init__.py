@@ -1,0 +1 @@
+"""Operators over claims, actions and their history."""

@@ -1,0 +1 @@
+"""From the language's tree to DataFrame plans."""
