@@ -1,0 +1 @@
+"""Where claims come from and go to."""
