@@ -23,7 +23,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, table, texts
 
-LIMIT, END, GROUP, CACHED = 4096, 1, 1 << 16, 300_000
+LIMIT, END, GROUP, CACHED = 4096, 1, 1 << 16, 600_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -62,7 +63,7 @@ class Encoder:
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def ask(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -79,22 +80,24 @@ class Encoder:
                 self.parts.update((part, self.ask(part).tobytes()) for part in some)
 
     def learn(self, words: set[str]) -> None:
-        split, plain, parts_of = {}, self.PLAIN.fullmatch, self.PARTS.findall
-        for word in words:
-            core = word.rstrip(".,;:!?")
-            if core.isalpha() and (core.isascii() or plain(core)):  # most words: letters, then punctuation or nothing
-                split[word] = (core.lower(),) if len(core) == len(word) else (core.lower(), word[len(core) :])
-            elif "<" not in word and (word.isascii() or plain(word)):
-                split[word] = parts_of(word.lower())
+        if len(self.parts) > CACHED:
+            self.parts = {"": b""}
+        parts, plain = self.parts, self.PLAIN.fullmatch
+        # Most words are letters, then punctuation or nothing.
+        every = list(words)
+        cores = [w.rstrip(".,;:!?") for w in every]
+        easy = [c.isalpha() and (c.isascii() or plain(c) is not None) for c in cores]
+        easy_words, cores = list(compress(every, easy)), list(compress(cores, easy))
+        lows, tails = [c.lower() for c in cores], [w[len(c) :] for w, c in zip(easy_words, cores, strict=True)]
+        hard = {}
+        for word in words.difference(easy_words):
+            if "<" not in word and (word.isascii() or plain(word)):
+                hard[word] = self.PARTS.findall(word.lower())
             else:
                 self.words[word] = self.ask(word).tobytes()
-        if len(self.parts) > CACHED:
-            self.parts.clear()
-        fresh = dict.fromkeys(part for parts in split.values() for part in parts if part not in self.parts)
-        self.learn_parts(list(fresh))
-        known = self.parts
-        for word, parts in split.items():
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        self.learn_parts(list(set(chain(lows, tails, *hard.values())).difference(parts)))
+        self.words.update(zip(easy_words, map(add, map(parts.__getitem__, lows), map(parts.__getitem__, tails)), strict=True))
+        self.words.update((word, b"".join(map(parts.__getitem__, found))) for word, found in hard.items())
 
     def encode_all(self, bodies: list[str]) -> Iterator[bytes]:
         """The ids of each text, some at a time."""
