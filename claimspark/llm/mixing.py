@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from ._common import BLANKS, materialise, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WEIGHTS, MOST_EPOCHS, BUCKETS = (5, 2, 1), 3, 1 << 16
+WEIGHTS, MOST_EPOCHS, BUCKETS = (5, 2, 1), 3, 1 << 12
 #: A label of good quality doubles a document's weight, one of bad quality halves it.
 QUALITY = {1: 2.0, 0: 0.5}
 
