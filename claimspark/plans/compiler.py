@@ -90,7 +90,9 @@ class Compiler:
     def match(self, prop, b: Bindings | None = None) -> Bindings:
         """All bindings that extend ``b`` and make ``prop`` hold."""
         b = b or self.one()
-        return getattr(self, f"match_{type(prop).__name__.lower()}")(prop, b)
+        out = getattr(self, f"match_{type(prop).__name__.lower()}")(prop, b)
+        # Columns made for computed arguments serve the one proposition that computed them.
+        return replace(out, kinds={n: k for n, k in out.kinds.items() if n in b.kinds or not n.startswith("__arg")})
 
     def match_claim(self, p: ir.Claim, b: Bindings) -> Bindings:
         if p.predicate not in self.claims:
