@@ -70,7 +70,7 @@ matched("effective_in_force", "Line(o, _, _, n, _, _, _, _, _, _, shipped) and n
 matched("recursive_descends", "descends_from(p, ancestor)", ["p", "ancestor"], "SELECT p_partkey p, CAST(p_partkey >> k AS BIGINT) ancestor FROM part, range(1, 64) g(k) WHERE p_partkey > 0 AND (p_partkey >> (k - 1)) > 0")
 matched("recursive_bound_question", "descends_from(77, ancestor)", ["ancestor"], "SELECT CAST(77 >> k AS BIGINT) ancestor FROM range(1, 8) g(k) WHERE (77 >> (k - 1)) > 0 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = 77)")
 CYCLE = "link AS (SELECT DISTINCT x.u a, y.u b FROM eve x JOIN eve y ON y.e = x.e + 1 WHERE x.e < 400 AND y.e < 400)"
-add("recursive_cycle_closure", lambda spark, d: compiler(spark, d).match(prop("reaches(0, b)")).df, None)
+add("recursive_cycle_closure", lambda spark, d: compiler(spark, d).bindings(prop("reaches(0, b)")), None)
 SQL["recursive_cycle_closure"] = WITH.replace("WITH", "WITH RECURSIVE", 1) + f", {CYCLE}, r AS (SELECT a, b FROM link WHERE a = 0 UNION SELECT r.a, link.b FROM r JOIN link ON link.a = r.b) SELECT b FROM r"
 
 # --- collections

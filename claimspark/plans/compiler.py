@@ -94,6 +94,11 @@ class Compiler:
         # Columns made for computed arguments serve the one proposition that computed them.
         return replace(out, kinds={n: k for n, k in out.kinds.items() if n in b.kinds or not n.startswith("__arg")})
 
+    def bindings(self, prop) -> DataFrame:
+        """All bindings of a proposition, a column for each variable."""
+        b = self.match(prop)
+        return b.df.select(*(F.col(f"`{n}`") for n in b.kinds))
+
     def match_claim(self, p: ir.Claim, b: Bindings) -> Bindings:
         if p.predicate not in self.claims:
             raise KeyError(f"no claims of {p.predicate}")
@@ -265,34 +270,66 @@ class Compiler:
         return Bindings(b.df.select(*(F.col(f"`{k}`") for k in keys)).distinct(), {k: b.kinds[k] for k in keys})
 
     def recursive(self, d: ir.Define, p: ir.Call, b: Bindings) -> Bindings:
-        """Least fixpoint: branches without the call give the start, the others a step from new answers."""
+        """Least fixpoint: branches without the call give the start, the others a step from new answers.
+
+        Where arguments have values, only the questions that these lead to are answered.
+        """
         params = list(d.params)
         start = [x for x in branches(d) if not any(isinstance(c, ir.Call) and c.name == d.name for c in ir.walk(x))]
-        steps = [x for x in branches(d) if x not in start]
-        relation = self.relations.get(d.name)
-        kinds = None
-        if relation is None:
-            first = [self.match(x) for x in start]
-            kinds = [first[0].kinds[n] for n in params]
-            seed = reduce(DataFrame.unionByName, (m.df.select(*params) for m in first))
-
-            def step(fresh: DataFrame) -> DataFrame:
-                made = []
-                for branch in steps:
-                    items = branch.items if isinstance(branch, ir.And) else (branch,)
-                    out = self.one()
-                    # The new answers come first: they are few, and every item joins on what they bind.
-                    call = next(x for x in items if isinstance(x, ir.Call) and x.name == d.name)
-                    out = self.pattern(fresh, kinds, call.args, out)
-                    for item in items:
-                        if item is not call:
-                            out = self.match(item, out)
-                    made.append(out.df.select(*params))
-                return reduce(DataFrame.unionByName, made)
-
-            relation = self.relations[d.name] = least_fixpoint(seed, step)
-            self.relations[f"{d.name} kinds"] = kinds
-        return self.pattern(relation, self.relations[f"{d.name} kinds"], p.args, b)
+        steps = [(x.items if isinstance(x, ir.And) else (x,)) for x in branches(d) if x not in start]
+        first = self.match(start[0])
+        kinds = [first.kinds[n] for n in params]
+        b, ground = self.ground(p.args, b)
+        args = tuple(ir.Var(ground[i][0]) if i in ground else a for i, a in enumerate(p.args))
+        asked = self.questions(d, steps, kinds, b, ground) if ground else None
+        if asked is None and d.name in self.relations:
+            return self.pattern(self.relations[d.name], kinds, args, b)
+        wanted = [params[i] for i in sorted(ground)]
+        seeds = Bindings(asked, {params[i]: kinds[i] for i in sorted(ground)}) if asked is not None else None
+        seed = reduce(DataFrame.unionByName, (self.match(x, seeds).df.select(*params) for x in start))
+
+        def step(fresh: DataFrame) -> DataFrame:
+            made = []
+            for items in steps:
+                # The new answers come first: they are few, and every item joins on what they bind.
+                call = next(x for x in items if isinstance(x, ir.Call) and x.name == d.name)
+                out = self.pattern(fresh, kinds, call.args, self.one())
+                for item in items:
+                    if item is not call:
+                        out = self.match(item, out)
+                made.append(out.df.select(*params))
+            found = reduce(DataFrame.unionByName, made)
+            return found if asked is None else found.join(asked, wanted, "left_semi").select(*params)
+
+        relation = least_fixpoint(seed, step)
+        if asked is None:
+            self.relations[d.name] = relation
+        return self.pattern(relation, kinds, args, b)
+
+    def questions(self, d: ir.Define, steps: list, kinds: list[str], b: Bindings, ground: dict[int, tuple[str, str]]) -> DataFrame | None:
+        """All values of the ground parameters that are asked for, directly or by a call from a call."""
+        places = sorted(ground)
+        names = [d.params[i] for i in places]
+        first = b.df.select(*(F.col(f"`{ground[i][0]}`").alias(n) for i, n in zip(places, names, strict=True))).distinct()
+
+        def step(fresh: DataFrame) -> DataFrame:
+            made = [fresh.limit(0)]
+            for items in steps:
+                call = next(x for x in items if isinstance(x, ir.Call) and x.name == d.name)
+                asked = [call.args[i] for i in places]
+                if all(a == ir.Var(n) for a, n in zip(asked, names, strict=True)):
+                    continue  # the same question again
+                out = Bindings(fresh, {n: kinds[i] for i, n in zip(places, names, strict=True)})
+                for item in items:
+                    if item is not call:
+                        out = self.match(item, out)
+                made.append(out.df.select(*((F.col(f"`{a.name}`") if isinstance(a, ir.Var) else literal(a.kind, a.value)).alias(n) for a, n in zip(asked, names, strict=True))))
+            return reduce(DataFrame.unionByName, made)
+
+        try:
+            return least_fixpoint(first, step)
+        except Unbound:  # an item needs what only the call's answers tell: all of them are found
+            return None
 
     # --- values
 
