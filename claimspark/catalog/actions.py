@@ -11,7 +11,7 @@ from ..lang.parser import parse
 from ..operators import act, disciplines, evidence
 from ..operators.recursion import written
 from ..plans.compiler import Compiler
-from ..sources import calendar, store
+from ..sources import calendar, calls, store
 from ..streaming import outbox, tail
 from .core import CUS, ORD
 from .tables import claims, compiler
@@ -202,6 +202,18 @@ add("stream_tail_totals", streamed, " SELECT strftime(t, '%Y-%m-%d %H') AS hour,
 # --- evidence
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "pack-root").inputFiles()[0].rsplit("/", 2)[0]
+    path, columns = f"{root}/pack-{uuid.uuid4().hex}", ["ord", "u", "type"]
+    rows = events(spark, sf_dir)
+    told = evidence.pack(rows, "ord", columns, path, 499)
+    stored = spark.read.parquet(path)
+    tampered = stored.withColumn("u", F.when(F.col("ord") == 77, 0).otherwise(F.col("u")))
+    return spark.createDataFrame([(told["rows"], evidence.verify_pack(stored, "ord", columns, told), evidence.verify_pack(tampered, "ord", columns, told))], "rows long, whole boolean, tampered boolean")
+
+
 def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     bottom = written(evidence.leaves(events(spark, sf_dir), "ord", ["ord", "u", "type"]), "leaves")
     top = evidence.root(bottom)
@@ -230,5 +242,24 @@ def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("store_commits", sinks, PAY + " SELECT 1::BIGINT AS ord, count(*) n FROM okay UNION ALL SELECT 2, count(*) FROM okay WHERE o % 2 <> 0")
+
+
+def from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals written as JSON lines and read back, decided, with a receipt for each."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "calls-root").inputFiles()[0].rsplit("/", 2)[0]
+    path = f"{root}/calls-{uuid.uuid4().hex}"
+    p = proposals(spark, sf_dir)
+    p.select(F.col("pid").alias("id"), F.lit("pay").alias("transformation"), "actor", F.col("decided_at").cast("string").alias("decided_at"), F.struct(F.col("o").cast("string").alias("o"), F.col("amount").cast("string").alias("amount")).alias("arguments")).write.json(path)
+    kinds = {"o": "Decimal", "amount": "Decimal"}
+    read = calls.read_calls(spark, path, "pay", kinds).withColumn("o", F.col("o").cast("long"))
+    return calls.receipts(read, act.decide(desk(spark, sf_dir), "pay", read, kinds))
+
+
+add("json_proposals", from_json, PAY + " SELECT pid, why IS NULL accepted, split_part(why, '/', 1) kind, split_part(why, '/', 2) AS rule FROM (SELECT pid, why FROM w UNION ALL SELECT -1 - k, 'bind/known' FROM range(3) g(k))")
+add("stored_shape_check", lambda s, d: calls.misfits(events(s, d).select("ord", F.when(F.col("ord") % 9 == 4, F.col("type")).otherwise(F.col("u").cast("string")).alias("u"), "type"), {"u": "bigint"}).select("ord", "misfit"), " SELECT e AS ord, 'u' misfit FROM eve WHERE e % 9 = 4")
+add("explain_suppliers", lambda s, d: act.explain(desk(s, d), "pay", proposals(s, d), {"o": "Decimal", "amount": "Decimal"}).where("rule = 'known'").select("pid", F.size("suppliers").cast("bigint").alias("suppliers")), " SELECT -1 - k pid, 0::BIGINT suppliers FROM range(3) g(k)")
+add("pack_verified", lambda s, d: packed(s, d), " SELECT 500::BIGINT AS rows, true AS whole, false AS tampered")
 add("keyed_scan", lambda s, d: claims(s, d)["Order"].where("c = 77").select("o", "c", "total"), " SELECT o, c, total FROM ord WHERE c = 77")
 add("sql_views", lambda s, d: (compiler(s, d).claims["Order"].createOrReplaceTempView("Order_claims"), s.sql("SELECT status, count(*) AS n FROM Order_claims GROUP BY status"))[1], " SELECT status, count(*) n FROM ord GROUP BY status")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lang import ir
+from ..lang.analysis import suppliers
 from ..plans import rules
 from ..plans.compiler import Bindings, Compiler
 from .history import candidate, effective_delta
@@ -211,9 +212,15 @@ def charged(c: Compiler, rule: ir.Invariant, told: rules.Impact, found: DataFram
 
 
 def explain(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """What would become of each proposal, without committing: pid, verdict, kind, rule."""
+    """What would become of each proposal, without committing: pid, verdict, kind, rule, and the acts
+    that could supply the claim that a refusing gate asks for."""
     out = decide(c, name, proposals, kinds)
-    return proposals.select(PID).join(out.refused, PID, "left").select(PID, F.when(F.col("kind").isNull(), "admissible").otherwise("rejected").alias("verdict"), "kind", "rule")
+    body = c.programme.transformations[name].body
+    gates = [s for s in body if isinstance(s, ir.Require | ir.Bind) and isinstance(s.prop, ir.Claim)]
+    rows = [(s.name or type(s).__name__.lower(), suppliers(c.programme, s.prop.predicate)) for s in gates]
+    told = c.spark.createDataFrame(rows, "rule string, suppliers array<string>")
+    judged = proposals.select(PID).join(out.refused, PID, "left").join(F.broadcast(told), "rule", "left")
+    return judged.select(PID, F.when(F.col("kind").isNull(), "admissible").otherwise("rejected").alias("verdict"), "kind", "rule", "suppliers")
 
 
 @dataclass

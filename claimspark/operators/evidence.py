@@ -115,3 +115,16 @@ def set_hash(answer: DataFrame) -> str:
 def receipt(answer: DataFrame, programme, checkpoint_hash: str) -> str:
     """Binds an answer to the programme and the checkpoint that it was read at."""
     return hashlib.sha256(f"{programme_hash(programme)}|{checkpoint_hash}|{set_hash(answer)}".encode()).hexdigest()
+
+
+def pack(rows: DataFrame, order: str, columns: list[str], path: str, upto: int) -> dict:
+    """Export the rows up to a position; what is returned proves them."""
+    part = rows.where(F.col(order) <= upto).select(order, *(c for c in columns if c != order))
+    part.write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    return {"covered": upto, "rows": stored.count(), "root": root(leaves(stored, order, columns))}
+
+
+def verify_pack(stored: DataFrame, order: str, columns: list[str], told: dict) -> bool:
+    """Whether a pack is what was exported: no row changed, added, lost or moved."""
+    return stored.count() == told["rows"] and root(leaves(stored, order, columns)) == told["root"]
