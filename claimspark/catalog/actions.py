@@ -210,7 +210,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     told = evidence.pack(rows, "ord", columns, path, 499)
     stored = spark.read.parquet(path)
-    tampered = stored.withColumn("u", F.when(F.col("ord") == 77, 0).otherwise(F.col("u")))
+    tampered = stored.withColumn("u", F.when(F.col("ord") == 77, F.col("u") + 1).otherwise(F.col("u")))
     return spark.createDataFrame([(told["rows"], evidence.verify_pack(stored, "ord", columns, told), evidence.verify_pack(tampered, "ord", columns, told))], "rows long, whole boolean, tampered boolean")
 
 
