@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,25 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Sent:
+    """An object of bounded size that all executors get once; ``value`` is the object.
+
+    It travels with its class, so executors need not have this package installed.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.data, self.loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "loaded": None}
+
+    @property
+    def value(self):
+        if self.loaded is None:
+            self.loaded = (cloudpickle.loads(self.data.value),)
+        return self.loaded[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table, training_row, utf8
+from ._common import Sent, materialise, table, training_row, utf8
 
 MODULUS, HELD, ADD = 10, 0, 0.1
 FREQUENT, RARE = 60_000, 4096
@@ -136,7 +136,7 @@ ENCODED = "row long, doc_id long, held_out boolean, train boolean, symbols binar
 
 def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Symbols of each text and what the frequent ones add to its scores; the rare words, to be looked up."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = Sent(rows.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
@@ -243,7 +243,7 @@ def cut(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
 
 def train_round(texts: DataFrame, model: Model, share: np.ndarray) -> Model:
     """One round of Baum-Welch over all rows of ``texts`` (one column, symbols)."""
-    sent, states = texts.sparkSession.sparkContext.broadcast(model), len(model.start)
+    sent, states = Sent(texts.sparkSession, model), len(model.start)
     columns = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +341,7 @@ def transfer(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 def hmm_scores(texts: DataFrame, model: Model) -> DataFrame:
     """``texts``: any columns, the last named symbols. That one is replaced by hmm, the log10 likelihood."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(texts.sparkSession, model)
     schema = texts.drop("symbols").schema.add("hmm", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import bounded_batches, table, training_row
+from ._common import Sent, bounded_batches, table, training_row
 
 UNKNOWN, DIMENSIONS, ORDERS, SAMPLE = "und", 1 << 13, 4, 2400
 MODULUS, HELD = 4, 2
@@ -169,7 +169,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def predictor(spark: SparkSession, model: Hierarchy | None):
     """A function from texts to (languages, scores) that runs on executors."""
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     def predict(bodies: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(bodies), [0.0] * len(bodies)
