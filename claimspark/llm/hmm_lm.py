@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Sent, materialise, table, training_row, utf8
+from ._common import Sent, few_by_hash, materialise, table, training_row, utf8
 
 MODULUS, HELD, ADD = 10, 0, 0.1
 FREQUENT, RARE = 60_000, 4096
@@ -121,7 +121,13 @@ class Codes(dict):
 
 def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
+    # Words under a bound that is surely too low are left out first, so that tasks send few.
+    band, least, met = F.floor(F.log2("c") * 16).cast("int"), 0, 0
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        least, met = r.band, met + r["count"]
+        if met >= FREQUENT:
+            break
+    top = counts.where(band >= least).orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
     rare_c, rare_v = np.zeros(RARE), np.zeros(RARE)
     for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         rare_c[r["class"]], rare_v[r["class"]] = r.c, r.v
@@ -366,7 +372,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     encoded = materialise(encode(rows, vocabulary), "lm-symbols")
 
     learned = encoded.where("train").select("symbols")
-    few = encoded.where("train").select(F.xxhash64("doc_id").alias("h"), "row", "symbols").orderBy("h", "row").limit(START_TEXTS).collect()
+    few = few_by_hash(encoded.where("train").select("doc_id", "row", "symbols"), ["doc_id", "row"], START_TEXTS, vocabulary.ends).collect()
     model = starting_point([np.frombuffer(r.symbols, "<u2") for r in few], vocabulary.share)
     for _ in range(ROUNDS if few else 0):
         model = train_round(learned, model, vocabulary.share)
