@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import Sent, materialise, table
+from ._common import Sent, few_by_hash, materialise, table
 
 TREES, DEPTH, MISS, SAMPLE, BLOCK, QUERY_BLOCK, NEIGHBOURS = 32, 24, 0.03, 2048, 16_384, 20_000, 10
 
@@ -148,7 +148,7 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("x") == size.d)
-    sample = np.array([r.x for r in rows.select("x", F.xxhash64("vec_id", "row").alias("h")).orderBy("h").limit(SAMPLE).collect()])
+    sample = np.array([r.x for r in few_by_hash(rows.select("vec_id", "row", "x"), ["vec_id", "row"], SAMPLE, size["count"]).collect()])
     sent = Sent(spark, Hashing(sample))
     asked = rows.where(is_query)
     blocks, query_blocks = -(-size["count"] // BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
