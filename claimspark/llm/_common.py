@@ -15,19 +15,22 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as every contract here means it: blank and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place for the session.
+    tests on one machine, a temporary folder takes its place for the application.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="claimspark-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
+        name = spark.sparkContext.applicationId
+        if name not in OWN_FOLDERS:
+            OWN_FOLDERS[name] = tempfile.mkdtemp(prefix="claimspark-")
+            atexit.register(shutil.rmtree, OWN_FOLDERS[name], ignore_errors=True)
+        where = OWN_FOLDERS[name]
     return where.rstrip("/")
 
 
