@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lang.parser import parse
 from ..operators import act, disciplines, evidence
-from ..operators.recursion import written
+from ..operators.recursion import shared_dir, written
 from ..plans.compiler import Compiler
 from ..sources import calendar, calls, store
 from ..streaming import outbox, tail
@@ -192,7 +192,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "stream-root").inputFiles()[0].rsplit("/", 2)[0]
+    root = shared_dir(spark)
     tail.follow(source, f"{root}/cursor-{uuid.uuid4().hex}", handle).awaitTermination()
     return act.union(parts).groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
 
@@ -205,7 +205,7 @@ add("stream_tail_totals", streamed, " SELECT strftime(t, '%Y-%m-%d %H') AS hour,
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "pack-root").inputFiles()[0].rsplit("/", 2)[0]
+    root = shared_dir(spark)
     path, columns = f"{root}/pack-{uuid.uuid4().hex}", ["ord", "u", "type"]
     rows = events(spark, sf_dir)
     told = evidence.pack(rows, "ord", columns, path, 499)
@@ -231,7 +231,7 @@ def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store written by two commits and read back as of each."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "store-root").inputFiles()[0].rsplit("/", 2)[0]
+    root = shared_dir(spark)
     keep = store.Store(spark, f"{root}/store-{uuid.uuid4().hex}", desk_programme())
     out = outcome(spark, sf_dir)
     paid = out.delta["Paid"].drop("pid")
@@ -248,7 +248,7 @@ def from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals written as JSON lines and read back, decided, with a receipt for each."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or written(spark.range(1), "calls-root").inputFiles()[0].rsplit("/", 2)[0]
+    root = shared_dir(spark)
     path = f"{root}/calls-{uuid.uuid4().hex}"
     p = proposals(spark, sf_dir)
     p.select(F.col("pid").alias("id"), F.lit("pay").alias("transformation"), "actor", F.col("decided_at").cast("string").alias("decided_at"), F.struct(F.col("o").cast("string").alias("o"), F.col("amount").cast("string").alias("amount")).alias("arguments")).write.json(path)

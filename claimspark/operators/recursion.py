@@ -8,22 +8,32 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the folder that the cluster shares: cuts lineage, survives lost executors.
+OWN_FOLDERS: dict[str, str] = {}
+
 
-    The folder is what ``spark.checkpoint.dir`` names; only where that is unset, as in tests on one
-    machine, a temporary folder takes its place for the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset, as in tests on one machine, a temporary folder takes its place for
+    the application.
     """
-    spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="claimspark-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        name = spark.sparkContext.applicationId
+        if name not in OWN_FOLDERS:
+            OWN_FOLDERS[name] = tempfile.mkdtemp(prefix="claimspark-")
+            atexit.register(shutil.rmtree, OWN_FOLDERS[name], ignore_errors=True)
+        where = OWN_FOLDERS[name]
+    return where.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
