@@ -40,6 +40,8 @@ from ._common import materialise, table, utf8
 from .components import components
 
 SHINGLE, SEED, DISTANCE, CROWD, REFINE = 3, 42, 3, 16_384, 2
+#: Ids that several rows share are sent to the executors up to this many, beyond that they are joined by a shuffle.
+MAX_SENT = 200_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -195,36 +197,48 @@ def _pair_up(ring: bool, crowd: int):
     return run
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (long), component_id."""
+def rooted_prints(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and fingerprint of each row; each distinct fingerprint, its least id and its component's root)."""
     rows = materialise(fingerprints(docs, doc_id, text), "simhash-prints")
     nodes = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fingerprint")))
-    rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    return rows, nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint (long), component_id."""
+    rows, rooted = rooted_prints(docs, doc_id, text)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each component: that with the smallest id.
+    """The rows of ``docs``, one for each component: one with its smallest id, null only if all are.
 
-    Rows are found again by their id. Ids that several rows share are found by id and fingerprint,
-    and of rows that share both, one stays.
+    Components are told apart by their root, as ids may be null or shared. What stays is found
+    again by its id where one row has it, otherwise by id and fingerprint; of rows that share
+    both, one stays.
     """
-    rows = materialise(near_components(docs, doc_id, text), "simhash-rows")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct("component_id", "fingerprint")).alias("best"))
-    stay = materialise(ids.where("doc_id <=> best.component_id").select(F.col("doc_id").alias("id"), F.col("best.fingerprint").alias("print"), "rows"), "simhash-stay")
+    rows, rooted = rooted_prints(docs, doc_id, text)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fingerprint")).alias("best")
+    stay = materialise(rooted.groupBy("root").agg(best).select(F.col("best.least").alias("id"), F.col("best.fingerprint").alias("print")), "simhash-stay")
+    ids = materialise(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")), "simhash-ids")
     # Whole rows travel as one column, so that no name of theirs can clash.
-    found = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(stay, F.col("i").eqNullSafe(F.col("id")))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
+    alone = whole.join(stay.join(ids.where("rows = 1"), "id").select("id"), F.col("i") == F.col("id")).select("doc")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = np.fromiter(map(fingerprint, utf8(batch.column(2))), np.uint64, batch.num_rows).view(np.int64)
-            yield batch.filter(pa.array(mine == batch.column(1).to_numpy())).select([0, 3])
-
-    several = found.where("rows > 1").select("id", "print", "t", "doc")
-    again = several.mapInArrow(same, several.select("id", "doc").schema).dropDuplicates(["id"])
-    return found.where("rows = 1").select("doc.*").unionByName(again.select("doc.*"))
+            mine = np.fromiter(map(fingerprint, utf8(batch.column(1))), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine), batch.column(2)], names=["i", "mine", "doc"])
+
+    several = ids.where("rows > 1").select("id")
+    if several.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        several = F.broadcast(several)
+    shared = whole.join(several, F.col("i") == F.col("id"), "left_semi").unionByName(whole.where("i is null")).select("i", "t", "doc")
+    again = shared.mapInArrow(printed, shared.select("i", F.lit(0).cast("long").alias("mine"), "doc").schema)
+    again = again.join(stay, (F.col("mine") == F.col("print")) & F.col("i").eqNullSafe(F.col("id"))).dropDuplicates(["print"])
+    return alone.select("doc.*").unionByName(again.select("doc.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,21 @@ def test_edges_and_what_stays(spark):
     kept = sorted(((r.doc_id, r.text) for r in stay.collect()), key=str)
     assert [k for k, _ in kept].count(3) == 1 and [k for k, _ in kept].count(8) == 1 and [k for k, _ in kept].count(None) == 1
     assert not any(k in (5, 9) for k, _ in kept)
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_each_component_keeps_one_row_though_ids_are_null_or_shared(spark, monkeypatch, sent):
+    monkeypatch.setattr(M, "MAX_SENT", sent)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (3, c), (7, c), (7, d), (2, a + " more of a"), (2, b + " and now for something else entirely, at length, in other words"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as fingerprint", "2 as id", "3 as root")
+    component = plain_components([(i, plain_print(t)) for i, (_, t) in enumerate(rows)])
+    groups = {}
+    for i, root in component.items():
+        groups.setdefault(root, []).append(rows[i])
+    least = {frozenset(g): min((r for r in g), key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()}
+    kept = [(r.doc_id, r.text) for r in M.drop_near_copies(docs).collect()]
+    assert len(kept) == len(groups) >= 4
+    for group, doc_id in least.items():
+        assert [k for k, t in kept if (k, t) in group] == [doc_id]
+    assert {t for _, t in kept} >= {a, b, c, d}
