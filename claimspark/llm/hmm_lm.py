@@ -1,18 +1,23 @@
 """Language-model scoring with a hidden Markov model, beside a unigram base.
 
 *Counts.* All words of all training texts are counted: hashed to 64 bits, summed in each task,
-then by a shuffle. The ``FREQUENT`` most frequent words are symbols of their own; every other
-word, known or not, belongs to one of ``RARE`` classes by its ending, and is drawn within its
-class by its smoothed count. So the model has a fixed size, while the counts follow the corpus.
-
-*Training.* Baum-Welch over all training texts: each task runs the scaled forward and backward
-recursions on pieces of ``PIECE`` tokens and emits expected counts by symbol and state, which a
-shuffle sums for the next round. A bounded sample of ``START_TEXTS`` texts gives only the point to
-start from.
+then by a shuffle. Every word of the counts has its own expected counts by state. Those of the
+``FREQUENT`` most frequent words are sent to the executors with the model; those of all others
+stay a table, which grows with the corpus. Words of the table belong to ``RARE`` classes by their
+endings: a state draws the class, then the word by its own counts, in which as much of the class'
+smoothed counts is mixed as the state has met different words of it. An unknown word is one more
+of its class, never met, with its smoothed share in every state.
+
+*Training.* Baum-Welch over all training texts: texts are encoded in blocks, each with a list of
+its words outside the frequent ones. In each round a shuffle brings a block the counts by state of
+these words, its task runs the scaled forward and backward recursions on pieces of ``PIECE``
+tokens, and a shuffle sums the expected counts by word for the next round. A bounded sample of
+``START_TEXTS`` texts gives only the point to start from, where words of a class differ by
+their counts alone.
 
 *Scoring.* The exact likelihood of each whole text by the scaled forward recursion; for long
-texts, by products of the transfer matrices of their pieces, which is the same sum. Words outside
-the frequent ones meet their counts in a shuffle join, so no vocabulary is held in memory.
+texts, by products of the transfer matrices of their pieces, which is the same sum. Counts and
+states of words come to the blocks as in training, so no vocabulary is held in memory.
 
 Defined cases: a null text counts as empty and consists of its end token; a null id is neither
 held out nor learned from; without training texts all counts are 0; a repeated row is counted and
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Sent, few_by_hash, materialise, table, training_row, utf8
+from ._common import Sent, arrow_types, few_by_hash, materialise, table, training_row, utf8
 
 MODULUS, HELD, ADD = 10, 0, 0.1
 FREQUENT, RARE = 60_000, 4096
@@ -78,25 +83,23 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What the counts come to, of bounded size: the frequent words, the rare classes, the totals."""
+    """What of the counts all tasks get, of bounded size: the frequent words, the rare classes, the totals."""
 
     def __init__(self, frequent: list[tuple[int, int]], rare_c: np.ndarray, rare_v: np.ndarray, tokens: int, distinct: int, ends: int):
-        # Symbols: the frequent words, the rare classes, the end.
+        # Symbols: the frequent words, the end, the rare classes.
         frequent.sort()
-        self.first_rare, self.end = len(frequent), len(frequent) + RARE
+        self.end, self.first_rare = len(frequent), len(frequent) + 1
         self.hashes = np.array([h for h, _ in frequent], np.int64)
         self.tokens, self.distinct = tokens + ends, distinct + (ends > 0)
-        self.ends = ends
-        c = np.zeros(self.end + 1)
-        c[: len(frequent)] = [n for _, n in frequent]
-        c[self.end] = ends
-        #: log10(c + ADD) of frequent words and the end, and of each rare class's mass.
+        c = np.array([*(n for _, n in frequent), ends], float)
+        #: log10(c + ADD) of frequent words and the end.
         self.log_c = np.log10(c + ADD)
         self.known = c > 0
-        mass = c + ADD
-        mass[self.first_rare : self.end] = rare_c + ADD * (rare_v + 1)
-        self.log_rare = np.log10(mass[self.first_rare : self.end])
+        #: The smoothed count of each class, of which a word of it has c + ADD.
+        self.rare_mass = rare_c + ADD * (rare_v + 1)
+        mass = np.append(c + ADD, self.rare_mass)
         self.share = mass / mass.sum()
+        self.ends = ends
         self.log_total = float(np.log10(self.tokens + ADD * (self.distinct + 1)))
 
     def codes(self) -> Codes:
@@ -137,41 +140,52 @@ def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary([(r.hash, r.c) for r in top], rare_c, rare_v, total[0] or 0, total[1], ends)
 
 
-ENCODED = "row long, doc_id long, held_out boolean, train boolean, symbols binary, known long, log_c double, log_within double, rare array<struct<hash:long,n:int>>"
+ENCODED = "row long, doc_id long, held_out boolean, train boolean, block long, symbols binary, others binary, known long, log_c double, words array<struct<hash:bigint,class:int>>"
 
 
 def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Symbols of each text and what the frequent ones add to its scores; the rare words, to be looked up."""
+    """Symbols of each text and what the frequent ones add to its base score.
+
+    A batch of texts is a block. The hashes and classes of its words outside the frequent ones
+    stand once, in its first row; ``others`` has the places in that list of a text's words of this sort.
+    """
     sent = Sent(rows.sparkSession, vocabulary)
+    types = arrow_types(rows.sparkSession, ENCODED)
+    names = [x.split()[0] for x in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         codes = v.codes()
-        rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
         for batch in batches:
-            out = []
+            if not batch.num_rows:
+                continue
+            out, place = [], {}
             for text in utf8(batch.column(4)):
                 found = words(text)
-                symbols = [*map(codes.__getitem__, found), v.end]
-                unseen = Counter(w for w, s in zip(found, symbols, strict=False) if s >= v.first_rare)
-                ids = np.array(symbols, np.uint16)
-                often = (ids < v.first_rare) | (ids == v.end)
-                out.append((
-                    ids.astype("<u2").tobytes(), int(v.known[ids[often]].sum()), float(v.log_c[ids[often]].sum()), float(-v.log_rare[ids[~often].astype(np.int64) - v.first_rare].sum()),
-                    [{"hash": word_hash(w), "n": n} for w, n in unseen.items()],
-                ))
-            kinds = (pa.binary(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=["row", "doc_id", "held_out", "train", "symbols", "known", "log_c", "log_within", "rare"])
+                ids = np.array([*map(codes.__getitem__, found), v.end], np.uint16)
+                others = [place.setdefault(found[i], len(place)) for i in np.flatnonzero(ids >= v.first_rare).tolist()]
+                often = ids[ids < v.first_rare]
+                out.append((ids.astype("<u2").tobytes(), np.array(others, "<u4").tobytes(), int(v.known[often].sum()), float(v.log_c[often].sum())))
+            block = [batch.column(0)[0].as_py()] * batch.num_rows
+            hashes = [[{"hash": word_hash(w), "class": rare_class(w)} for w in place], *[None] * (batch.num_rows - 1)]
+            columns = [block, *([x[i] for x in out] for i in range(4)), hashes]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(x, t) for x, t in zip(columns, types[4:], strict=True))], names=names)
 
     return rows.mapInArrow(run, ENCODED)
 
 
 class Model:
-    """start and flow are the distributions of the first state and of the next; emit is by symbol, then state."""
+    """start and flow are the distributions of the first state and of the next; emit is by symbol, then state.
 
-    def __init__(self, start: np.ndarray, flow: np.ndarray, emit: np.ndarray):
+    Symbols from ``first`` on are classes of words. A word of a class, with expected counts s by
+    state and a share of its class, is drawn within it with (1 - unknown) * s / total + mixed *
+    share, where unknown is the share of all unknown words; total and mixed are by class, then state.
+    """
+
+    def __init__(self, start: np.ndarray, flow: np.ndarray, emit: np.ndarray, first: int | None = None):
         self.start, self.flow, self.emit = start, flow, emit
+        self.first = len(emit) if first is None else first
+        self.total = self.mixed = np.ones((len(emit) - self.first, len(start)))
         self.middle = np.full(len(start), 1 / len(start))
         for _ in range(200):  # the state in which a piece inside a text starts
             self.middle = self.middle @ flow
@@ -184,12 +198,23 @@ class Model:
         flow = (flow + 0.5) / (flow + 0.5).sum(axis=1, keepdims=True)
         return cls((start + 0.5) / (start + 0.5).sum(), flow, emit)
 
+    def with_classes(self, sums: np.ndarray, met: np.ndarray) -> Model:
+        """With what each state has met of each class: expected counts, and different words."""
+        out = Model(self.start, self.flow, self.emit, len(self.emit) - len(sums))
+        out.total = sums + met + 1
+        out.mixed = (met + 1) / out.total
+        return out
+
+    def with_words(self, emit: np.ndarray) -> Model:
+        """With further symbols for some words."""
+        return Model(self.start, self.flow, np.vstack([self.emit, emit]))
+
 
 def by_length(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order from long to short; symbols by place, then text; how many texts have each place."""
     lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
-    grid = np.zeros((lengths.max(), len(texts)), np.uint16)
+    grid = np.zeros((lengths.max(), len(texts)), np.int32)
     for j, i in enumerate(order.tolist()):
         grid[: lengths[i], j] = texts[i]
     return order, grid, np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
@@ -247,25 +272,84 @@ def cut(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
         yield symbols[at : at + PIECE], at == 0
 
 
-def train_round(texts: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round of Baum-Welch over all rows of ``texts`` (one column, symbols)."""
+def coded(symbols: bytes, others: bytes | None, model: Model) -> np.ndarray:
+    """Symbols of a text, where the words of its block follow those of the model."""
+    ids = np.frombuffer(symbols, "<u2").astype(np.int32)
+    if others:
+        ids[ids >= model.first] = len(model.emit) + np.frombuffer(others, "<u4").astype(np.int32)
+    return ids
+
+
+def block_words(pairs: DataFrame, counts: DataFrame, sums: DataFrame | None, states: int) -> DataFrame:
+    """block, place, hash, class, c and expected counts by state of the words of each block, unknown ones too."""
+    columns = [f"s{k}" for k in range(states)]
+    counts = counts.select("hash", "c")
+    found = pairs.join(counts if sums is None else counts.join(sums, "hash", "left"), "hash", "left")
+    of = [F.coalesce(F.col(x) if sums is not None else F.lit(None), F.lit(0)).cast("float").alias(x) for x in columns]
+    return found.select(F.col("block").alias("block"), "place", "hash", "class", F.coalesce("c", F.lit(0)).cast("long").alias("c"), *of)
+
+
+def words_of(table: pa.Table, model: Model, rare_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, classes, c, emissions by state) of a block's words, by place."""
+    order = np.argsort(table.column("place").to_numpy())
+    of, c = table.column("class").to_numpy()[order], table.column("c").to_numpy()[order]
+    s = np.stack([table.column(f"s{k}").to_numpy()[order] for k in range(len(model.start))], axis=1).astype(float)
+    # No state's counts tell of unknown words: these keep their share of the class.
+    share, unknown = ((c + ADD) / rare_mass[of])[:, None], (ADD / rare_mass[of])[:, None]
+    within = np.where(c[:, None] > 0, (1 - unknown) * s / model.total[of] + model.mixed[of] * share, unknown)
+    return table.column("hash").to_numpy()[order], of, c, model.emit[model.first + of] * within
+
+
+def round_counts(texts: DataFrame, found: DataFrame, model: Model, rare_mass: np.ndarray) -> DataFrame:
+    """Expected counts over all ``texts`` (block, symbols, others) by symbol, and by hash too within a class."""
     sent, states = Sent(texts.sparkSession, model), len(model.start)
     columns = [f"s{k}" for k in range(states)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (p for batch in batches for x in batch.column(0) for p in cut(np.frombuffer(x.as_py(), "<u2")))
-        start, flow, emit = baum_welch(pieces, sent.value)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = sent.value
+        size = len(m.emit)
+        hashes, of, _, emit = words_of(right, m, rare_mass)
+        pieces = (p for x, o in zip(left.column("symbols"), left.column("others"), strict=True) for p in cut(coded(x.as_py(), o.as_py(), m)))
+        start, flow, every = baum_welch(pieces, m.with_words(emit))
         # Transitions and starts follow the symbols as further rows.
-        every = np.vstack([emit, flow, start])
-        met = np.flatnonzero(every.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(every[met, k]) for k in range(states))], names=["symbol", *columns])
+        by_symbol = np.vstack([every[:size], flow, start])
+        met, own = np.flatnonzero(by_symbol.any(axis=1)), np.flatnonzero(every[size:].any(axis=1))
+        both = np.vstack([by_symbol[met], every[size:][own]])
+        symbol = pa.concat_arrays([pa.array(met, pa.int32()), pa.array(m.first + of[own], pa.int32())])
+        by_hash = pa.concat_arrays([pa.nulls(len(met), pa.int64()), pa.array(hashes[own], pa.int64())])
+        return pa.Table.from_arrays([symbol, by_hash, *(pa.array(both[:, k], pa.float32()) for k in range(states))], names=["symbol", "hash", *columns])
+
+    told = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "symbol int, hash long, " + ", ".join(f"{c} float" for c in columns))
+    return materialise(told.groupBy("symbol", "hash").agg(*(F.sum(c).cast("float").alias(c) for c in columns)), "lm-round")
+
+
+def train_round(texts: DataFrame, model: Model, share: np.ndarray) -> Model:
+    """One round of Baum-Welch over all rows of ``texts`` (one column, symbols), in which no word is of a class."""
+    texts = texts.select(F.lit(0).cast("long").alias("block"), "symbols", F.lit(None).cast("binary").alias("others"))
+    none = "block long, place int, hash long, class int, c long, " + ", ".join(f"s{k} float" for k in range(len(model.start)))
+    return one_round(texts, texts.sparkSession.createDataFrame([], none), model, share, np.zeros(0))[0]
+
+
+def one_round(texts: DataFrame, found: DataFrame, model: Model, share: np.ndarray, rare_mass: np.ndarray) -> tuple[Model, DataFrame]:
+    """The model of one round, and the expected counts by state of the words of classes."""
+    states, first = len(model.start), len(share) - len(rare_mass)
+    columns = [f"s{k}" for k in range(states)]
+    counts = round_counts(texts, found, model, rare_mass)
 
-    counts = texts.mapInArrow(run, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns))
-    every = np.zeros((len(share) + states + 1, states))
-    got = counts.toArrow()
-    if got.num_rows:
-        every[got.column("symbol").to_numpy()] = np.stack([got.column(c).to_numpy() for c in columns], axis=1)
-    return Model.from_counts(every[-1], every[len(share) : -1], every[: len(share)], share)
+    def stacked(got: pa.Table, at: np.ndarray, names: list[str]) -> np.ndarray:
+        if got.num_rows:
+            at[got.column("symbol").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], axis=1)
+        return at
+
+    # Transitions and starts come after the symbols.
+    every = stacked(counts.where("hash is null").select("symbol", *columns).toArrow(), np.zeros((len(share) + states + 1, states)), columns)
+    own = counts.where("hash is not null")
+    met = [f"met_{c}" for c in columns]
+    classes = own.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns), *(F.count(F.when(F.col(c) >= 0.5, 1)).cast("double").alias(m) for c, m in zip(columns, met, strict=True)))
+    both = stacked(classes.toArrow(), np.zeros((len(share), 2 * states)), columns + met)
+    every[first : len(share)] = both[first:, :states]
+    made = Model.from_counts(every[-1], every[len(share) : -1], every[: len(share)], share)
+    return made.with_classes(both[first:, :states], both[first:, states:]), own.select("hash", *columns)
 
 
 def starting_point(texts: list[np.ndarray], share: np.ndarray, states: int = STATES) -> Model:
@@ -345,22 +429,29 @@ def transfer(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return m[back], logs[back]
 
 
-def hmm_scores(texts: DataFrame, model: Model) -> DataFrame:
-    """``texts``: any columns, the last named symbols. That one is replaced by hmm, the log10 likelihood."""
+def hmm_scores(texts: DataFrame, found: DataFrame, model: Model, rare_mass: np.ndarray) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, log_c (log10 of all counts) and hmm (log10 likelihood) of ``texts``."""
     sent = Sent(texts.sparkSession, model)
-    schema = texts.drop("symbols").schema.add("hmm", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch):
-                found = [np.frombuffer(x, "<u2") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(log_likelihood(sent.value, found))], names=[*part.schema.names[:-1], "hmm"])
-
-    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 2048):
-            yield batch.slice(at, 2048)
-
-    return texts.mapInArrow(run, schema)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_c", "hmm"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = sent.value
+        size = len(m.emit)
+        _, _, c, emit = words_of(right, m, rare_mass)
+        whole, log = m.with_words(emit), np.log10(c + ADD)
+        n, known, logs, hmm = [], [], [], []
+        for at in range(0, left.num_rows, 2048):
+            part = left.slice(at, 2048)
+            codes = [coded(x, o, m) for x, o in zip(part.column("symbols").to_pylist(), part.column("others").to_pylist(), strict=True)]
+            own = [x[x >= size] - size for x in codes]
+            n += map(len, codes)
+            known += [k + int((c[x] > 0).sum()) for k, x in zip(part.column("known").to_pylist(), own, strict=True)]
+            logs += [k + float(log[x].sum()) for k, x in zip(part.column("log_c").to_pylist(), own, strict=True)]
+            hmm += log_likelihood(whole, codes).tolist()
+        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(hmm, pa.float64())], names=names)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, hmm double"
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,21 +462,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     vocabulary = learn_vocabulary(counts, rows.where("train").count())
     encoded = materialise(encode(rows, vocabulary), "lm-symbols")
 
-    learned = encoded.where("train").select("symbols")
+    learned = encoded.where("train").select("block", "symbols", "others")
+    pairs = encoded.select(F.col("block").alias("block"), F.posexplode("words").alias("place", "w")).select("block", "place", "w.*")
+    in_training = pairs.join(learned.select("block").distinct(), "block", "left_semi")
     few = few_by_hash(encoded.where("train").select("doc_id", "row", "symbols"), ["doc_id", "row"], START_TEXTS, vocabulary.ends).collect()
     model = starting_point([np.frombuffer(r.symbols, "<u2") for r in few], vocabulary.share)
+    # At the start words of a class differ by their counts alone.
+    model, sums = model.with_classes(np.zeros((RARE, STATES)), np.zeros((RARE, STATES))), None
     for _ in range(ROUNDS if few else 0):
-        model = train_round(learned, model, vocabulary.share)
+        model, sums = one_round(learned, block_words(in_training, counts, sums, STATES), model, vocabulary.share, vocabulary.rare_mass)
 
-    told = hmm_scores(encoded.select("row", "doc_id", "held_out", "known", "log_c", "log_within", (F.octet_length("symbols") / 2).cast("long").alias("n_tokens"), "symbols"), model)
-    looked_up = (
-        encoded.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.n").join(counts.select("hash", "c"), "hash", "left")
-        .groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("rare_log_c"))
-    )
-    log_c = F.col("log_c") + F.coalesce("rare_log_c", F.lit(0.0))
-    return told.join(looked_up, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (log_c - F.col("n_tokens") * F.lit(vocabulary.log_total)).alias("base_score"), (F.col("hmm") + F.col("log_within") + F.coalesce("rare_log_c", F.lit(0.0))).alias("score"),
+    texts = encoded.select("block", "doc_id", "held_out", "known", "log_c", "symbols", "others")
+    told = hmm_scores(texts, block_words(pairs, counts, sums, STATES), model, vocabulary.rare_mass)
+    return told.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_c") - F.col("n_tokens") * F.lit(vocabulary.log_total)).alias("base_score"), F.col("hmm").alias("score"),
     )
 
 

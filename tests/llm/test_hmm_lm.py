@@ -136,3 +136,19 @@ def test_each_round_raises_the_likelihood(spark):
         now = M.log_likelihood(model, texts).sum()
         assert last is None or now > last - 5  # what is mixed in may cost a little
         model, last = M.train_round(rows, model, share), now
+
+
+def test_words_outside_the_frequent_ones_have_states_of_their_own(spark, monkeypatch):
+    """Words of one count and ending, each met beside other words."""
+    monkeypatch.setattr(M, "FREQUENT", 8)
+    rng = np.random.default_rng(1)
+    docs = []
+    for i in range(400):
+        side = "ab"[i % 2]
+        often = [f"{side}{k}" for k in rng.integers(0, 4, 24)]
+        docs.append((i, " ".join([*often[:12], f"{side}{i % 20 // 2}-word", *often[12:]])))
+    own, other = [i for i in range(400, 1000) if remainder(i) == 0][:2]
+    docs += [(own, "a0 a1 a2 a3 a0 a3-word a1 a2 a3"), (other, "a0 a1 a2 a3 a0 b3-word a1 a2 a3")]
+    rows = {r.doc_id: r for r in M.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert abs(rows[own].base_score - rows[other].base_score) < 0.3
+    assert rows[own].score > rows[other].score + 0.6
