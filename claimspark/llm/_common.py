@@ -52,6 +52,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, count: int, tag: str) -> DataFrame:
+    """Like ``materialise``, in ``count`` buckets by ``column``: grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(count, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files stay, and so does what reads them
+    return out
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` wrote and nothing reads any more."""
     jvm = spark.sparkContext._jvm

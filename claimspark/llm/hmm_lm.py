@@ -1,23 +1,28 @@
 """Language-model scoring with a hidden Markov model, beside a unigram base.
 
-*Counts.* All words of all training texts are counted: hashed to 64 bits, summed in each task,
-then by a shuffle. Every word of the counts has its own expected counts by state. Those of the
-``FREQUENT`` most frequent words are sent to the executors with the model; those of all others
-stay a table, which grows with the corpus. Words of the table belong to ``RARE`` classes by their
-endings: a state draws the class, then the word by its own counts, in which as much of the class'
-smoothed counts is mixed as the state has met different words of it. An unknown word is one more
-of its class, never met, with its smoothed share in every state.
-
-*Training.* Baum-Welch over all training texts: texts are encoded in blocks, each with a list of
-its words outside the frequent ones. In each round a shuffle brings a block the counts by state of
-these words, its task runs the scaled forward and backward recursions on pieces of ``PIECE``
-tokens, and a shuffle sums the expected counts by word for the next round. A bounded sample of
-``START_TEXTS`` texts gives only the point to start from, where words of a class differ by
-their counts alone.
-
-*Scoring.* The exact likelihood of each whole text by the scaled forward recursion; for long
-texts, by products of the transfer matrices of their pieces, which is the same sum. Counts and
-states of words come to the blocks as in training, so no vocabulary is held in memory.
+*Blocks.* A task gathers texts to blocks of about ``BLOCK`` bytes, numbers the different words of
+each, most frequent first, and writes the texts as these numbers, bucketed by block: later rounds
+read them in place, whole, and never shuffle them. Words go by 64-bit hash to buckets, which add up
+their training counts and send each block the counts of its words. Every word has its own counts.
+
+*Emissions.* A word belongs to one of ``CLASSES`` classes by its ending, a text's end to one of its
+own. A state draws a class, then a word of it by the expected counts that Baum-Welch gave it, into
+which as much of the class' counts is mixed as the state has met different words of it
+(Witten-Bell). One more word of each class stands for all unknown ones; the words met once tell how
+often it is drawn. So the probabilities of all words and of the unknown ones sum to 1 in each state.
+
+*Training.* Baum-Welch over all training texts, each a whole: texts over ``SHORT`` tokens run through
+the transfer matrices of their pieces first, which give the exact state distribution before and the
+exact likelihood after each piece, so expected counts are the same for any length of a piece. In
+each of ``ROUNDS`` rounds a block sends the buckets the shares of its words' counts by state, these
+add them up over the corpus and send each block the sums of its words. Shares travel as 8-bit square
+roots (0.3 % of the count off at most; a share under 0.0004 % becomes 0). A bounded sample
+(``START_TEXTS`` texts of at most ``START_SIZE`` characters) gives only the point to start from.
+
+*Scoring.* The exact likelihood of each whole text by the scaled forward recursion; for long texts,
+by products of the transfer matrices of their pieces, which is the same sum.
+
+No vocabulary reaches the driver: it sees the sums of classes, transitions and starts.
 
 Defined cases: a null text counts as empty and consists of its end token; a null id is neither
 held out nor learned from; without training texts all counts are 0; a repeated row is counted and
@@ -28,22 +33,26 @@ are taken for one only if their 64-bit hashes agree.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Sent, arrow_types, few_by_hash, materialise, table, training_row, utf8
+from ._common import Sent, arrow_types, bucketed, discard, few_by_hash, materialise, table, training_row, utf8
 
 MODULUS, HELD, ADD = 10, 0, 0.1
-FREQUENT, RARE = 60_000, 4096
-STATES, ROUNDS, PIECE, START_TEXTS = 8, 3, 256, 400
-#: Texts up to this many tokens are scored by vectors, longer ones by matrices of their pieces.
-SHORT, CACHED = 1024, 400_000
+STATES, ROUNDS, CLASSES = 8, 3, 2048
+#: Bytes of text in a block, tokens in a row of it, bytes of text for each bucket of words.
+BLOCK, CHUNK, BUCKET = 16 << 20, 1 << 18, 32 << 20
+START_TEXTS, START_SIZE, START_ROUNDS = 400, 32_768, 6
+#: Texts up to this many tokens run as one piece; how many tokens run at once.
+SHORT, PIECE, CELLS = 2048, 256, 1 << 19
+#: The token that ends a text. No word is empty.
+END = b""
 
 
 def words(text: bytes) -> list[bytes]:
@@ -52,162 +61,166 @@ def words(text: bytes) -> list[bytes]:
 
 
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh64_intdigest(word)
 
 
-def rare_class(word: bytes) -> int:
-    return zlib.crc32(word[-4:]) % RARE
+def word_class(word: bytes) -> int:
+    return zlib.crc32(word[-4:]) % CLASSES if word else CLASSES
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """hash, class, c of each distinct word of ``rows`` (one column, text)."""
+def packed(values: np.ndarray) -> bytes:
+    """Integers, compressed by planes of bytes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize * values[:1].size or values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(map(word_hash, counts)), pa.int64()), pa.array(list(map(rare_class, counts)), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["hash", "class", "c"]
-            )
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                counts.update(words(text))
-                if len(counts) > CACHED:
-                    yield flush(counts)
-                    counts.clear()
-        yield flush(counts)
-
-    part = rows.mapInArrow(run, "hash long, class int, c long")
-    return part.groupBy("hash").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
-
-
-class Vocabulary:
-    """What of the counts all tasks get, of bounded size: the frequent words, the rare classes, the totals."""
-
-    def __init__(self, frequent: list[tuple[int, int]], rare_c: np.ndarray, rare_v: np.ndarray, tokens: int, distinct: int, ends: int):
-        # Symbols: the frequent words, the end, the rare classes.
-        frequent.sort()
-        self.end, self.first_rare = len(frequent), len(frequent) + 1
-        self.hashes = np.array([h for h, _ in frequent], np.int64)
-        self.tokens, self.distinct = tokens + ends, distinct + (ends > 0)
-        c = np.array([*(n for _, n in frequent), ends], float)
-        #: log10(c + ADD) of frequent words and the end.
-        self.log_c = np.log10(c + ADD)
-        self.known = c > 0
-        #: The smoothed count of each class, of which a word of it has c + ADD.
-        self.rare_mass = rare_c + ADD * (rare_v + 1)
-        mass = np.append(c + ADD, self.rare_mass)
-        self.share = mass / mass.sum()
-        self.ends = ends
-        self.log_total = float(np.log10(self.tokens + ADD * (self.distinct + 1)))
-
-    def codes(self) -> Codes:
-        return Codes(self)
-
-
-class Codes(dict):
-    """Symbol of each word met so far."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.hashes, self.first_rare = vocabulary.hashes, vocabulary.first_rare
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def roots(counts: np.ndarray) -> bytes:
+    """What share of each word's counts is whose state's, as 8-bit square roots."""
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
+    return packed(np.rint(255 * np.sqrt(share)).astype(np.uint8))
+
+
+def shares(data: bytes, states: int = STATES) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    squares = planes.reshape(states, -1).T.astype(float) ** 2
+    return squares / np.maximum(squares.sum(axis=1, keepdims=True), 1e-300)
+
+
+class Places(dict):
+    """The number of each word, dealt when it is first met."""
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(np.searchsorted(self.hashes, h))
-        code = at if at < len(self.hashes) and self.hashes[at] == h else self.first_rare + rare_class(word)
-        if len(self) < CACHED:
-            self[word] = code
-        return code
-
-
-def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    # Words under a bound that is surely too low are left out first, so that tasks send few.
-    band, least, met = F.floor(F.log2("c") * 16).cast("int"), 0, 0
-    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
-        least, met = r.band, met + r["count"]
-        if met >= FREQUENT:
-            break
-    top = counts.where(band >= least).orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
-    rare_c, rare_v = np.zeros(RARE), np.zeros(RARE)
-    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        rare_c[r["class"]], rare_v[r["class"]] = r.c, r.v
-    for r in top:
-        rare_c[r["class"]] -= r.c
-        rare_v[r["class"]] -= 1
-    return Vocabulary([(r.hash, r.c) for r in top], rare_c, rare_v, total[0] or 0, total[1], ends)
-
-
-ENCODED = "row long, doc_id long, held_out boolean, train boolean, block long, symbols binary, others binary, known long, log_c double, words array<struct<hash:bigint,class:int>>"
-
-
-def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Symbols of each text and what the frequent ones add to its base score.
-
-    A batch of texts is a block. The hashes and classes of its words outside the frequent ones
-    stand once, in its first row; ``others`` has the places in that list of a text's words of this sort.
+        place = self[word] = len(self)
+        return place
+
+
+class Block:
+    """Texts and their different words."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes, self.places = number, 0, Places()
+        self.doc_ids: list[int | None] = []
+        self.held: list[bool] = []
+        self.train: list[bool] = []
+        self.texts: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, held: bool, train: bool, text: bytes) -> None:
+        found = [*words(text), END]
+        self.texts.append(np.fromiter(map(self.places.__getitem__, found), np.uint32, len(found)))
+        self.doc_ids.append(doc_id)
+        self.held.append(held)
+        self.train.append(train)
+        self.bytes += len(text)
+
+    def rows(self, buckets: int) -> Iterator[dict]:
+        """Rows of texts, then a row for each bucket with the words that go there."""
+        sizes = np.array([len(t) for t in self.texts])
+        ids, learned = np.concatenate(self.texts), np.repeat(self.train, sizes)
+        often = np.argsort(-np.bincount(ids, minlength=len(self.places)), kind="stable")
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often), dtype=np.uint32)
+        ids = rank[ids]
+        known = list(self.places)
+        known = [known[i] for i in often]
+        hashes = np.array([word_hash(w) for w in known], np.uint64)
+        classes = np.array([word_class(w) for w in known], np.uint16)
+        n = np.bincount(ids[learned], minlength=len(known))
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        ends = np.cumsum(sizes)
+        first = part = 0
+        while first < len(sizes):
+            begin = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+            extra = {} if part else {"words": packed(order.astype(np.uint32)), "classes": packed(classes)}
+            yield {
+                "block": self.number, "part": part, "doc_id": self.doc_ids[first:last], "held_out": self.held[first:last], "train": self.train[first:last],
+                "size": sizes[first:last], "symbols": packed(ids[begin : ends[last - 1]]), **extra,
+            }
+            first, part = last, part + 1
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if low < high:
+                some = order[low:high]
+                yield {"block": self.number, "bucket": b, "words": packed(hashes[some]), "classes": packed(classes[some]), "n": packed(n[some])}
+
+
+ENCODED = "block long, part int, doc_id array<long>, held_out array<boolean>, train array<boolean>, size array<long>, symbols binary, words binary, classes binary, bucket int, n binary"
+
+
+def as_table(rows: list[dict], schema: str, types: list[pa.DataType]) -> pa.Table:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+
+
+def encode(rows: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of ``rows`` (row, doc_id, held_out, train, text): their texts, bucketed, and their words by bucket.
+
+    In the first row of a block's texts ``words`` has its words' numbers in the order of the
+    buckets; in a row of a bucket it has their hashes.
     """
-    sent = Sent(rows.sparkSession, vocabulary)
     types = arrow_types(rows.sparkSession, ENCODED)
-    names = [x.split()[0] for x in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        codes = v.codes()
+        def flush(block: Block) -> Iterator[pa.RecordBatch]:
+            for row in block.rows(buckets):
+                yield from as_table([row], ENCODED, types).to_batches()
+
+        block = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, place = [], {}
-            for text in utf8(batch.column(4)):
-                found = words(text)
-                ids = np.array([*map(codes.__getitem__, found), v.end], np.uint16)
-                others = [place.setdefault(found[i], len(place)) for i in np.flatnonzero(ids >= v.first_rare).tolist()]
-                often = ids[ids < v.first_rare]
-                out.append((ids.astype("<u2").tobytes(), np.array(others, "<u4").tobytes(), int(v.known[often].sum()), float(v.log_c[often].sum())))
-            block = [batch.column(0)[0].as_py()] * batch.num_rows
-            hashes = [[{"hash": word_hash(w), "class": rare_class(w)} for w in place], *[None] * (batch.num_rows - 1)]
-            columns = [block, *([x[i] for x in out] for i in range(4)), hashes]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(x, t) for x, t in zip(columns, types[4:], strict=True))], names=names)
+            numbers, *meta = (batch.column(i).to_pylist() for i in range(4))
+            for i, text in enumerate(utf8(batch.column(4))):
+                block = block or Block(numbers[i])
+                block.add(*(m[i] for m in meta), text)
+                if block.bytes >= BLOCK:
+                    yield from flush(block)
+                    block = None
+        if block:
+            yield from flush(block)
 
     return rows.mapInArrow(run, ENCODED)
 
 
 class Model:
-    """start and flow are the distributions of the first state and of the next; emit is by symbol, then state.
+    """Distributions of the first state and of the next; what words are drawn by, by class, then state.
 
-    Symbols from ``first`` on are classes of words. A word of a class, with expected counts s by
-    state and a share of its class, is drawn within it with (1 - unknown) * s / total + mixed *
-    share, where unknown is the share of all unknown words; total and mixed are by class, then state.
+    ``mass``, ``distinct`` and ``once`` are the training tokens, different words and words met once of each
+    class; ``sums`` and ``met`` are the expected counts and the different words that each state has met of it.
     """
 
-    def __init__(self, start: np.ndarray, flow: np.ndarray, emit: np.ndarray, first: int | None = None):
-        self.start, self.flow, self.emit = start, flow, emit
-        self.first = len(emit) if first is None else first
-        self.total = self.mixed = np.ones((len(emit) - self.first, len(start)))
-        self.middle = np.full(len(start), 1 / len(start))
-        for _ in range(200):  # the state in which a piece inside a text starts
-            self.middle = self.middle @ flow
-
-    @classmethod
-    def from_counts(cls, start: np.ndarray, flow: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Model:
-        # As much of the corpus' distribution is mixed in as the state has met different symbols.
-        met = (emit >= 0.5).sum(axis=0) + 1.0
-        emit = (emit + met * share[:, None]) / (emit.sum(axis=0) + met)
-        flow = (flow + 0.5) / (flow + 0.5).sum(axis=1, keepdims=True)
-        return cls((start + 0.5) / (start + 0.5).sum(), flow, emit)
-
-    def with_classes(self, sums: np.ndarray, met: np.ndarray) -> Model:
-        """With what each state has met of each class: expected counts, and different words."""
-        out = Model(self.start, self.flow, self.emit, len(self.emit) - len(sums))
-        out.total = sums + met + 1
-        out.mixed = (met + 1) / out.total
-        return out
-
-    def with_words(self, emit: np.ndarray) -> Model:
-        """With further symbols for some words."""
-        return Model(self.start, self.flow, np.vstack([self.emit, emit]))
+    def __init__(self, start: np.ndarray, flow: np.ndarray, mass: np.ndarray, distinct: np.ndarray, once: np.ndarray, sums: np.ndarray, met: np.ndarray):
+        self.start = (start + 0.5) / (start + 0.5).sum()
+        self.flow = (flow + 0.5) / (flow + 0.5).sum(axis=1, keepdims=True)
+        self.tokens, self.distinct = int(mass.sum()), int(distinct.sum())
+        share = (mass + ADD) / (mass + ADD).sum()
+        new = (sums >= 0.5).sum(axis=0) + 1.0
+        chance = (sums + new * share[:, None]) / (sums.sum(axis=0) + new)
+        unknown = (once + ADD) / (mass + once + ADD)
+        self.unknown = chance * unknown[:, None]
+        #: Probability of a known word: own * its expected counts + other * its training count.
+        self.own = chance * (1 - unknown)[:, None] / (sums + met + 1)
+        self.other = self.own * (met + 1) / np.maximum(mass, 1)[:, None]
+
+    def emissions(self, classes: np.ndarray, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words by state."""
+        known = self.own[classes] * counts + self.other[classes] * c[:, None]
+        return np.where(c[:, None] > 0, known, self.unknown[classes])
+
+
+def class_sums(classes: np.ndarray, c: np.ndarray, counts: np.ndarray, size: int = CLASSES + 1) -> np.ndarray:
+    """By class: tokens, different words, words met once, expected counts by state, words met by state."""
+    columns = [c, c > 0, c == 1, *counts.T, *(counts.T >= 0.5)]
+    return np.stack([np.bincount(classes, x, size) for x in columns], axis=1)
+
+
+def model_of(sums: np.ndarray, start: np.ndarray, flow: np.ndarray) -> Model:
+    states = len(start)
+    return Model(start, flow, *sums.T[:3], sums[:, 3 : 3 + states], sums[:, 3 + states :])
 
 
 def by_length(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,188 +233,120 @@ def by_length(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, grid, np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
 
 
-def expected(model: Model, texts: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of a batch of pieces: starts, transitions, symbols met and their states."""
-    order, grid, alive = by_length(texts)
-    size, states = grid.shape, len(model.start)
-    alpha, scale = np.zeros((*size, states)), np.ones(size)
+def expected(flow: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Expected counts of a batch of pieces, given the distribution of the first state of each and the
+    likelihood of what follows it by its last state: transitions, first states, what the step into the
+    first state weighs, symbols met, their states, log10 likelihoods but for what follows."""
+    order, grid, alive = by_length(pieces)
+    size, states = grid.shape, len(flow)
+    alpha, scale = np.empty((*size, states)), np.ones(size)
     for t in range(size[0]):
         n = alive[t]
-        a = np.where(first[order[:n], None], model.start, model.middle) if t == 0 else alpha[t - 1, :n] @ model.flow
-        a = a * model.emit[grid[t, :n]]
+        a = before[order] if t == 0 else alpha[t - 1, :n] @ flow
+        a = a * emit[grid[t, :n]]
         scale[t, :n] = a.sum(axis=1)
         alpha[t, :n] = a / scale[t, :n, None]
-    beta, flow = np.ones((size[1], states)), np.zeros((states, states))
-    for t in range(size[0] - 2, -1, -1):
-        n = alive[t + 1]
-        x = model.emit[grid[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-        alpha[t + 1, :n] *= beta[:n]
-        flow += alpha[t, :n].T @ x
-        beta[:n] = x @ model.flow.T
-    alpha[0] *= beta
+    ends = alive - np.append(alive[1:], 0)
+    beta, through = np.empty((size[1], states)), np.zeros((states, states))
+    for t in range(size[0] - 1, -1, -1):
+        n = alive[t]
+        if ends[t]:  # pieces whose last place this is
+            last = slice(n - ends[t], n)
+            b = after[order[last]]
+            beta[last] = b / (alpha[t, last] * b).sum(axis=1, keepdims=True)
+        if t + 1 < size[0] and alive[t + 1]:
+            m = alive[t + 1]
+            x = emit[grid[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
+            through += alpha[t, :m].T @ x
+            beta[:m] = x @ flow.T
+        alpha[t, :n] *= beta[:n]
+    back = np.argsort(order)
+    into = (emit[grid[0]] * beta / scale[0][:, None])[back]
     here = np.arange(size[1]) < alive[:, None]
-    starts = alpha[0][first[order]].sum(axis=0)
-    return starts, flow * model.flow, grid[here], alpha[here]
-
-
-def baum_welch(pieces: Iterator[tuple[np.ndarray, bool]], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all pieces of a partition."""
-    states = len(model.start)
-    start, flow, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-    held: list[tuple[np.ndarray, bool]] = []
-
-    def settle() -> None:
-        if held:
-            s, f, symbols, gamma = expected(model, [p for p, _ in held], np.array([b for _, b in held]))
-            start[:] += s
-            flow[:] += f
-            for k in range(states):
-                emit[:, k] += np.bincount(symbols, weights=gamma[:, k], minlength=len(emit))
-            held.clear()
-
-    for piece in pieces:
-        held.append(piece)
-        if len(held) == 1024:
-            settle()
-    settle()
-    return start, flow, emit
-
-
-def cut(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
-    for at in range(0, len(symbols), PIECE):
-        yield symbols[at : at + PIECE], at == 0
-
-
-def coded(symbols: bytes, others: bytes | None, model: Model) -> np.ndarray:
-    """Symbols of a text, where the words of its block follow those of the model."""
-    ids = np.frombuffer(symbols, "<u2").astype(np.int32)
-    if others:
-        ids[ids >= model.first] = len(model.emit) + np.frombuffer(others, "<u4").astype(np.int32)
-    return ids
-
-
-def block_words(pairs: DataFrame, counts: DataFrame, sums: DataFrame | None, states: int) -> DataFrame:
-    """block, place, hash, class, c and expected counts by state of the words of each block, unknown ones too."""
-    columns = [f"s{k}" for k in range(states)]
-    counts = counts.select("hash", "c")
-    found = pairs.join(counts if sums is None else counts.join(sums, "hash", "left"), "hash", "left")
-    of = [F.coalesce(F.col(x) if sums is not None else F.lit(None), F.lit(0)).cast("float").alias(x) for x in columns]
-    return found.select(F.col("block").alias("block"), "place", "hash", "class", F.coalesce("c", F.lit(0)).cast("long").alias("c"), *of)
-
-
-def words_of(table: pa.Table, model: Model, rare_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, classes, c, emissions by state) of a block's words, by place."""
-    order = np.argsort(table.column("place").to_numpy())
-    of, c = table.column("class").to_numpy()[order], table.column("c").to_numpy()[order]
-    s = np.stack([table.column(f"s{k}").to_numpy()[order] for k in range(len(model.start))], axis=1).astype(float)
-    # No state's counts tell of unknown words: these keep their share of the class.
-    share, unknown = ((c + ADD) / rare_mass[of])[:, None], (ADD / rare_mass[of])[:, None]
-    within = np.where(c[:, None] > 0, (1 - unknown) * s / model.total[of] + model.mixed[of] * share, unknown)
-    return table.column("hash").to_numpy()[order], of, c, model.emit[model.first + of] * within
-
-
-def round_counts(texts: DataFrame, found: DataFrame, model: Model, rare_mass: np.ndarray) -> DataFrame:
-    """Expected counts over all ``texts`` (block, symbols, others) by symbol, and by hash too within a class."""
-    sent, states = Sent(texts.sparkSession, model), len(model.start)
-    columns = [f"s{k}" for k in range(states)]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = sent.value
-        size = len(m.emit)
-        hashes, of, _, emit = words_of(right, m, rare_mass)
-        pieces = (p for x, o in zip(left.column("symbols"), left.column("others"), strict=True) for p in cut(coded(x.as_py(), o.as_py(), m)))
-        start, flow, every = baum_welch(pieces, m.with_words(emit))
-        # Transitions and starts follow the symbols as further rows.
-        by_symbol = np.vstack([every[:size], flow, start])
-        met, own = np.flatnonzero(by_symbol.any(axis=1)), np.flatnonzero(every[size:].any(axis=1))
-        both = np.vstack([by_symbol[met], every[size:][own]])
-        symbol = pa.concat_arrays([pa.array(met, pa.int32()), pa.array(m.first + of[own], pa.int32())])
-        by_hash = pa.concat_arrays([pa.nulls(len(met), pa.int64()), pa.array(hashes[own], pa.int64())])
-        return pa.Table.from_arrays([symbol, by_hash, *(pa.array(both[:, k], pa.float32()) for k in range(states))], names=["symbol", "hash", *columns])
-
-    told = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "symbol int, hash long, " + ", ".join(f"{c} float" for c in columns))
-    return materialise(told.groupBy("symbol", "hash").agg(*(F.sum(c).cast("float").alias(c) for c in columns)), "lm-round")
-
-
-def train_round(texts: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round of Baum-Welch over all rows of ``texts`` (one column, symbols), in which no word is of a class."""
-    texts = texts.select(F.lit(0).cast("long").alias("block"), "symbols", F.lit(None).cast("binary").alias("others"))
-    none = "block long, place int, hash long, class int, c long, " + ", ".join(f"s{k} float" for k in range(len(model.start)))
-    return one_round(texts, texts.sparkSession.createDataFrame([], none), model, share, np.zeros(0))[0]
-
-
-def one_round(texts: DataFrame, found: DataFrame, model: Model, share: np.ndarray, rare_mass: np.ndarray) -> tuple[Model, DataFrame]:
-    """The model of one round, and the expected counts by state of the words of classes."""
-    states, first = len(model.start), len(share) - len(rare_mass)
-    columns = [f"s{k}" for k in range(states)]
-    counts = round_counts(texts, found, model, rare_mass)
-
-    def stacked(got: pa.Table, at: np.ndarray, names: list[str]) -> np.ndarray:
-        if got.num_rows:
-            at[got.column("symbol").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], axis=1)
-        return at
-
-    # Transitions and starts come after the symbols.
-    every = stacked(counts.where("hash is null").select("symbol", *columns).toArrow(), np.zeros((len(share) + states + 1, states)), columns)
-    own = counts.where("hash is not null")
-    met = [f"met_{c}" for c in columns]
-    classes = own.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns), *(F.count(F.when(F.col(c) >= 0.5, 1)).cast("double").alias(m) for c, m in zip(columns, met, strict=True)))
-    both = stacked(classes.toArrow(), np.zeros((len(share), 2 * states)), columns + met)
-    every[first : len(share)] = both[first:, :states]
-    made = Model.from_counts(every[-1], every[len(share) : -1], every[: len(share)], share)
-    return made.with_classes(both[first:, :states], both[first:, states:]), own.select("hash", *columns)
-
-
-def starting_point(texts: list[np.ndarray], share: np.ndarray, states: int = STATES) -> Model:
-    """A model from a few texts: seeds that differ most, then a few rounds over these texts."""
-    start, flow = np.full(states, 1.0), np.eye(states) * 50 + 1
-    emit = np.zeros((len(share), states))
-    seeds: list[np.ndarray] = []
-    for text in sorted(texts, key=len, reverse=True)[:100]:
-        profile = np.bincount(text, minlength=len(share)) / (share + 1e-9) ** 0.5
-        seeds.append(profile / max(1e-12, np.linalg.norm(profile)))
-    chosen: list[int] = []
-    near = np.zeros(len(seeds))
-    for k in range(min(states, len(seeds))):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, [float(x @ seeds[chosen[-1]]) for x in seeds])
-        emit[:, k] = np.bincount(sorted(texts, key=len, reverse=True)[chosen[-1]], minlength=len(share))
-    model = Model.from_counts(start, flow, emit, share)
-    for _ in range(6):
-        counts = baum_welch((p for t in texts for p in cut(t)), model)
-        model = Model.from_counts(*counts, share)
-    return model
-
-
-def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    return through * flow, alpha[0][back], into, grid[here], alpha[here], np.log10(scale).sum(axis=0)[back]
+
+
+def batches_of(texts: list[np.ndarray], cells: int) -> Iterator[list[int]]:
+    """Numbers of texts, of like lengths, that fill a grid of so many cells."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    while order:
+        n = max(1, cells // len(texts[order[0]]))
+        yield order[:n]
+        order = order[n:]
+
+
+def cut(text: np.ndarray) -> list[np.ndarray]:
+    return [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+
+
+def baum_welch(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over whole texts: starts, transitions, words by state."""
+    states = len(start)
+    starts, through, every = np.zeros(states), np.zeros((states, states)), np.zeros(emit.shape)
+
+    def settle(pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner, first, into, symbols, gamma, _ = expected(flow, emit, pieces, before, after)
+        through[:] += inner
+        for k in range(states):
+            every[:, k] += np.bincount(symbols, gamma[:, k], len(emit))
+        return first, into
+
+    short = [t for t in texts if len(t) <= SHORT]
+    for some in batches_of(short, CELLS):
+        first, _ = settle([short[i] for i in some], np.tile(start, (len(some), 1)), np.ones((len(some), states)))
+        starts += first.sum(axis=0)
+    for text in (t for t in texts if len(t) > SHORT):
+        pieces = cut(text)
+        matrices = np.concatenate([transfer(flow, emit, pieces[at : at + 1024])[0] for at in range(0, len(pieces), 1024)])
+        count = len(pieces)
+        before, after, left = np.empty((count, states)), np.ones((count, states)), np.empty((count, states))
+        before[0] = start
+        for j in range(count):
+            a = before[j] @ matrices[j]
+            left[j] = a / a.sum()
+            if j + 1 < count:
+                before[j + 1] = left[j] @ flow
+        for j in range(count - 2, -1, -1):
+            b = flow @ (matrices[j + 1] @ after[j + 1])
+            after[j] = b / b.sum()
+        step = max(1, CELLS // PIECE)
+        for at in range(0, count, step):
+            some = slice(at, at + step)
+            first, into = settle(pieces[some], before[some], after[some])
+            if at == 0:
+                starts += first[0]
+            # Steps from the last state of a piece to the first of the next.
+            joined = into if at else into[1:]
+            through += left[max(0, at - 1) : max(0, at - 1) + len(joined)].T @ joined * flow
+    return starts, through, every
+
+
+def log_likelihood(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(texts))
     short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
-    for at in range(0, len(short), 1024):
-        some = short[at : at + 1024]
-        out[some] = forward(model, [texts[i] for i in some])
-    pieces = [(i, p) for i, t in enumerate(texts) if len(t) > SHORT for p, _ in cut(t)]
-    states: dict[int, np.ndarray] = {}
-    for at in range(0, len(pieces), 512):
-        some = pieces[at : at + 512]
-        matrices, logs = transfer(model, [p for _, p in some])
-        for (i, _), matrix, log in zip(some, matrices, logs.tolist(), strict=True):
-            # Before the first token the state is where the start distribution leads.
-            a = states[i] @ model.flow @ matrix if i in states else model.start @ matrix
-            total = a.sum()
-            states[i] = a / total
-            out[i] += log + np.log10(total)
+    for some in batches_of([texts[i] for i in short], CELLS):
+        chosen = [short[i] for i in some]
+        out[chosen] = forward(start, flow, emit, [texts[i] for i in chosen])
+    for i in (i for i, t in enumerate(texts) if len(t) > SHORT):
+        a, pieces = start, cut(texts[i])
+        for at in range(0, len(pieces), 1024):
+            for matrix, log in zip(*transfer(flow, emit, pieces[at : at + 1024]), strict=True):
+                a = a @ matrix
+                total = a.sum()
+                out[i] += log + np.log10(total)
+                a = a / total @ flow
     return out
 
 
-def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+def forward(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     order, grid, alive = by_length(texts)
-    a, logs = np.tile(model.start, (len(texts), 1)), np.zeros(len(texts))
+    a, logs = np.tile(start, (len(texts), 1)), np.zeros(len(texts))
     for t in range(len(grid)):
         n = alive[t]
         if t:
-            a[:n] = a[:n] @ model.flow
-        a[:n] *= model.emit[grid[t, :n]]
+            a[:n] = a[:n] @ flow
+        a[:n] *= emit[grid[t, :n]]
         if t % 8 == 7:
             total = a[:n].sum(axis=1)
             a[:n] /= total[:, None]
@@ -411,16 +356,16 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def transfer(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def transfer(flow: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each piece, from the state of its first token to the joint of its tokens and its last state."""
     order, grid, alive = by_length(pieces)
-    states = len(model.start)
+    states = len(flow)
     m, logs = np.tile(np.eye(states), (len(pieces), 1, 1)), np.zeros(len(pieces))
     for t in range(len(grid)):
         n = alive[t]
         if t:
-            m[:n] = (m[:n].reshape(-1, states) @ model.flow).reshape(n, states, states)
-        m[:n] *= model.emit[grid[t, :n]][:, None, :]
+            m[:n] = (m[:n].reshape(-1, states) @ flow).reshape(n, states, states)
+        m[:n] *= emit[grid[t, :n]][:, None, :]
         if t % 8 == 7:
             most = m[:n].max(axis=(1, 2))
             m[:n] /= most[:, None, None]
@@ -429,54 +374,197 @@ def transfer(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return m[back], logs[back]
 
 
-def hmm_scores(texts: DataFrame, found: DataFrame, model: Model, rare_mass: np.ndarray) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, log_c (log10 of all counts) and hmm (log10 likelihood) of ``texts``."""
-    sent = Sent(texts.sparkSession, model)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_c", "hmm"]
+class Start:
+    """Which share of a word's counts is whose state's, from a few texts: by word, else by class, else alike."""
+
+    def __init__(self, texts: list[bytes], states: int = STATES):
+        places = Places()
+        coded = [np.array([places[w] for w in [*words(t), END]]) for t in texts]
+        classes = np.array([word_class(w) for w in places], int)
+        c = np.bincount(np.concatenate(coded), minlength=len(places)) if coded else np.zeros(0)
+        starts, flow, counts = np.ones(states), np.eye(states) * 50 + 1, self.seeds(coded, c, states)
+        for _ in range(START_ROUNDS if coded else 0):
+            model = model_of(class_sums(classes, c, counts), starts, flow)
+            starts, flow, counts = baum_welch(model.start, model.flow, model.emissions(classes, c, counts), coded)
+        order = np.argsort(np.array([word_hash(w) for w in places], np.uint64), kind="stable")
+        self.start, self.flow = starts, flow
+        self.hashes = np.array([word_hash(w) for w in places], np.uint64)[order]
+        every = np.stack([np.bincount(classes, counts[:, k], CLASSES + 1) for k in range(states)], axis=1) if coded else np.zeros((CLASSES + 1, states))
+        self.by_class = (every + 1 / states) / (every + 1 / states).sum(axis=1, keepdims=True)
+        mixed = counts + self.by_class[classes] if coded else counts
+        self.by_word = (mixed / np.maximum(mixed.sum(axis=1, keepdims=True), 1e-300))[order]
+
+    @staticmethod
+    def seeds(coded: list[np.ndarray], c: np.ndarray, states: int) -> np.ndarray:
+        """Counts of texts that differ most, one for each state."""
+        counts = np.zeros((len(c), states))
+        longest = sorted(coded, key=len, reverse=True)[:100]
+        profiles = [np.bincount(t, minlength=len(c)) / np.sqrt(c + 1e-9) for t in longest]
+        profiles = [p / np.linalg.norm(p) for p in profiles]
+        near = np.zeros(len(profiles))
+        for k in range(min(states, len(profiles))):
+            chosen = int(np.argmin(near))
+            near = np.maximum(near, [float(p @ profiles[chosen]) for p in profiles])
+            counts[:, k] = np.bincount(longest[chosen], minlength=len(c))
+        return counts
+
+    def counts(self, hashes: np.ndarray, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = self.by_class[classes]
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            met = self.hashes[at] == hashes
+            out[met] = self.by_word[at[met]]
+        return out * c[:, None]
+
+
+#: What buckets send: to blocks counts and shares of their words; for later rounds, where a block's words
+#: stand in the bucket; sums by class, after which those of transitions and starts come.
+SUMS = [*(f"s{i}" for i in range(3 + 2 * STATES))]
+ANSWER = "bucket int, block long, c binary, shares binary, at binary, n binary, classes binary, class int, " + ", ".join(f"{s} double" for s in SUMS)
+
+
+def answers(bucket: int, blocks: list[tuple[int, np.ndarray]], classes: np.ndarray, c: np.ndarray, counts: np.ndarray) -> list[dict]:
+    rows = [{"bucket": bucket, "block": block, "c": packed(c[at].astype(np.int64)), "shares": roots(counts[at])} for block, at in blocks]
+    sums = class_sums(classes, c, counts)
+    return rows + [{"class": int(k), **dict(zip(SUMS, sums[k].tolist(), strict=True))} for k in np.flatnonzero(sums[:, 1])]
+
+
+def merge(encoded: DataFrame, start: Start) -> DataFrame:
+    """First answers of the buckets: training counts over all blocks, and where to start from."""
+    sent, types = Sent(encoded.sparkSession, start), arrow_types(encoded.sparkSession, ANSWER)
+
+    def run(key: tuple, of: pa.Table) -> pa.Table:
+        bucket, blocks = key[0].as_py(), of.column("block").to_pylist()
+        lists = [[unpacked(x.as_py(), kind) for x in of.column(name)] for name, kind in (("words", "u8"), ("classes", "u2"), ("n", "i8"))]
+        hashes, first, at = np.unique(np.concatenate(lists[0]), return_index=True, return_inverse=True)
+        classes, c = np.concatenate(lists[1])[first], np.bincount(at, np.concatenate(lists[2]))
+        ats = np.split(at.astype(np.uint32), np.cumsum([len(x) for x in lists[0]])[:-1])
+        rows = answers(bucket, list(zip(blocks, ats, strict=True)), classes, c, sent.value.counts(hashes, classes, c))
+        rows += [{"bucket": bucket, "block": b, "at": packed(a), "n": n} for b, a, n in zip(blocks, ats, of.column("n").to_pylist(), strict=True)]
+        return as_table([*rows, {"bucket": bucket, "c": packed(c.astype(np.int64)), "classes": packed(classes)}], ANSWER, types)
+
+    words_ = encoded.where("bucket is not null").select("bucket", "block", "words", "classes", "n")
+    return materialise(words_.groupBy("bucket").applyInArrow(run, ANSWER), "lm-merge")
+
+
+def messages(answered: DataFrame) -> DataFrame:
+    return answered.where("shares is not null").select("block", "bucket", "c", "shares")
+
+
+def model_from(answered: DataFrame, start: np.ndarray | None = None, flow: np.ndarray | None = None) -> Model:
+    got = answered.where("class is not null").groupBy("class").agg(*(F.sum(s).alias(s) for s in SUMS)).toArrow()
+    sums = np.zeros((CLASSES + 2 + STATES, len(SUMS)))
+    if got.num_rows:
+        sums[got.column("class").to_numpy()] = np.stack([got.column(s).to_numpy() for s in SUMS], axis=1)
+    if start is None:
+        start, flow = sums[CLASSES + 1, :STATES], sums[CLASSES + 2 :, :STATES]
+    return model_of(sums[: CLASSES + 1], start, flow)
+
+
+def read_block(texts: pa.Table, told: pa.Table, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """(emissions, training counts, numbers in the order of the buckets, bounds of these, rows of texts) of a block."""
+    texts, told = texts.sort_by("part"), told.sort_by("bucket")
+    order, classes = unpacked(texts.column("words")[0].as_py(), "u4"), unpacked(texts.column("classes")[0].as_py(), "u2")
+    each = [unpacked(x.as_py(), "i8") for x in told.column("c")]
+    counts = np.concatenate(each).astype(float)
+    by_state = np.concatenate([shares(x.as_py()) for x in told.column("shares")]) * counts[:, None]
+    emit, c = np.empty(by_state.shape), np.empty(len(counts))
+    emit[order], c[order] = model.emissions(classes[order], counts, by_state), counts
+    return emit, c, order, np.cumsum([0, *map(len, each)]), texts
+
+
+def texts_of(texts: pa.Table, row: int) -> list[np.ndarray]:
+    return np.split(unpacked(texts.column("symbols")[row].as_py(), "u4"), np.cumsum(texts.column("size")[row].values.to_numpy())[:-1])
+
+
+PARTIAL = "bucket int, block long, shares binary, sums binary"
+
+
+def one_round(texts: DataFrame, merged: DataFrame, told: DataFrame, model: Model) -> DataFrame:
+    """The buckets' answers after one round of Baum-Welch over all training texts."""
+    spark = texts.sparkSession
+    sent, types, partial_types = Sent(spark, model), arrow_types(spark, ANSWER), arrow_types(spark, PARTIAL)
+
+    def expect(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = sent.value
+        emit, _, order, bounds, left = read_block(left, right, m)
+        learned = [t for i in range(left.num_rows) for t, train in zip(texts_of(left, i), left.column("train")[i].as_py(), strict=True) if train]
+        start, flow, every = baum_welch(m.start, m.flow, emit, learned)
+        own, block, buckets = every[order], left.column("block")[0].as_py(), sorted(right.column("bucket").to_pylist())
+        rows = [{"bucket": b, "block": block, "shares": roots(own[low:high])} for b, low, high in zip(buckets, bounds, bounds[1:], strict=False)]
+        # Any bucket will do for transitions and starts.
+        return as_table([*rows, {"bucket": buckets[block % len(buckets)], "sums": np.vstack([start, flow]).tobytes()}], PARTIAL, partial_types)
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        vocabulary = next(r for r in left.filter(left.column("classes").is_valid()).to_pylist())
+        classes, c = unpacked(vocabulary["classes"], "u2"), unpacked(vocabulary["c"], "i8").astype(float)
+        places = {r["block"]: r for r in left.filter(left.column("at").is_valid()).select(["block", "at", "n"]).to_pylist()}
+        counts, blocks, through = np.zeros((len(c), STATES)), [], np.zeros((1 + STATES, STATES))
+        for block, share, sums in zip(*(right.column(x) for x in ("block", "shares", "sums")), strict=True):
+            if sums.is_valid:
+                through += np.frombuffer(sums.as_py()).reshape(-1, STATES)
+                continue
+            at, n = (unpacked(places[block.as_py()][x], kind) for x, kind in (("at", "u4"), ("n", "i8")))
+            here = shares(share.as_py()) * n[:, None]
+            for k in range(STATES):
+                counts[:, k] += np.bincount(at, here[:, k], len(c))
+            blocks.append((block.as_py(), at))
+        rows = answers(vocabulary["bucket"], blocks, classes, c, counts)
+        rows += [{"class": CLASSES + 1 + i, **dict(zip(SUMS, row.tolist(), strict=False))} for i, row in enumerate(through)]
+        return as_table(rows, ANSWER, types)
+
+    partial = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(expect, PARTIAL)
+    static = merged.where("at is not null or classes is not null").select("bucket", "block", "c", "at", "n", "classes")
+    return materialise(static.groupBy("bucket").cogroup(partial.groupBy("bucket")).applyInArrow(add, ANSWER), "lm-round")
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, hmm double"
+
+
+def hmm_scores(texts: DataFrame, told: DataFrame, model: Model) -> DataFrame:
+    """Of each text: tokens, known ones, log10 of all counts, log10 likelihood."""
+    sent, types = Sent(texts.sparkSession, model), arrow_types(texts.sparkSession, SCORED)
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
-        size = len(m.emit)
-        _, _, c, emit = words_of(right, m, rare_mass)
-        whole, log = m.with_words(emit), np.log10(c + ADD)
-        n, known, logs, hmm = [], [], [], []
-        for at in range(0, left.num_rows, 2048):
-            part = left.slice(at, 2048)
-            codes = [coded(x, o, m) for x, o in zip(part.column("symbols").to_pylist(), part.column("others").to_pylist(), strict=True)]
-            own = [x[x >= size] - size for x in codes]
-            n += map(len, codes)
-            known += [k + int((c[x] > 0).sum()) for k, x in zip(part.column("known").to_pylist(), own, strict=True)]
-            logs += [k + float(log[x].sum()) for k, x in zip(part.column("log_c").to_pylist(), own, strict=True)]
-            hmm += log_likelihood(whole, codes).tolist()
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(hmm, pa.float64())], names=names)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, hmm double"
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+        emit, c, _, _, left = read_block(left, right, m)
+        log, out = np.log10(c + ADD), []
+        for i in range(left.num_rows):
+            codes = texts_of(left, i)
+            begin = np.cumsum([0, *map(len, codes[:-1])])
+            flat, sizes = np.concatenate(codes), left.column("size")[i].values
+            sums = [np.add.reduceat((c > 0)[flat].astype(np.int64), begin), np.add.reduceat(log[flat], begin), log_likelihood(m.start, m.flow, emit, codes)]
+            columns = [left.column("doc_id")[i].values, left.column("held_out")[i].values, sizes, *sums]
+            out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names))
+        return pa.concat_tables(out)
+
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
     held, train = training_row(doc_id, MODULUS, HELD)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), train.alias("train"), F.col(text).alias("text"))
-    counts = materialise(count_words(rows.where("train").select("text")), "lm-counts")
-    vocabulary = learn_vocabulary(counts, rows.where("train").count())
-    encoded = materialise(encode(rows, vocabulary), "lm-symbols")
-
-    learned = encoded.where("train").select("block", "symbols", "others")
-    pairs = encoded.select(F.col("block").alias("block"), F.posexplode("words").alias("place", "w")).select("block", "place", "w.*")
-    in_training = pairs.join(learned.select("block").distinct(), "block", "left_semi")
-    few = few_by_hash(encoded.where("train").select("doc_id", "row", "symbols"), ["doc_id", "row"], START_TEXTS, vocabulary.ends).collect()
-    model = starting_point([np.frombuffer(r.symbols, "<u2") for r in few], vocabulary.share)
-    # At the start words of a class differ by their counts alone.
-    model, sums = model.with_classes(np.zeros((RARE, STATES)), np.zeros((RARE, STATES))), None
-    for _ in range(ROUNDS if few else 0):
-        model, sums = one_round(learned, block_words(in_training, counts, sums, STATES), model, vocabulary.share, vocabulary.rare_mass)
-
-    texts = encoded.select("block", "doc_id", "held_out", "known", "log_c", "symbols", "others")
-    told = hmm_scores(texts, block_words(pairs, counts, sums, STATES), model, vocabulary.rare_mass)
-    return told.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("log_c") - F.col("n_tokens") * F.lit(vocabulary.log_total)).alias("base_score"), F.col("hmm").alias("score"),
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.col("train")).alias("learned")).first()
+    encoded = bucketed(encode(rows, 1 + (size.bytes or 0) // BUCKET), "block", 1 + 2 * (size.bytes or 0) // BLOCK, "lm_blocks")
+    few = few_by_hash(rows.where("train").where(F.coalesce(F.length("text"), F.lit(0)) <= START_SIZE).select("doc_id", "row", "text"), ["doc_id", "row"], START_TEXTS, size.learned)
+    start = Start([(r.text or "").encode() for r in few.collect()])
+    merged = told = merge(encoded, start)
+    model = model_from(merged, start.start, start.flow)
+    tokens, log_total = model.tokens, float(np.log10(model.tokens + ADD * (model.distinct + 1)))
+    texts = encoded.where("bucket is null")
+    learning = texts.select("block", "part", "train", "size", "symbols", "words", "classes")
+    for _ in range(ROUNDS if size.learned else 0):
+        now = one_round(learning, merged, messages(told), model)
+        if told is not merged:
+            discard(spark, told)
+        told, model = now, model_from(now)
+    scored = hmm_scores(texts.drop("train", "bucket", "n"), messages(told), model)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("log_c") - F.col("n_tokens") * F.lit(log_total)).alias("base_score"), F.col("hmm").alias("score"),
     )
 
 

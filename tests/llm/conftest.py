@@ -1,6 +1,11 @@
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import claimspark
+
+cloudpickle.register_pickle_by_value(claimspark)
+
 
 @pytest.fixture(scope="session")
 def spark():
