@@ -50,7 +50,7 @@ STATES, ROUNDS, CLASSES = 8, 3, 2048
 BLOCK, CHUNK, BUCKET = 16 << 20, 1 << 18, 32 << 20
 START_TEXTS, START_SIZE, START_ROUNDS = 400, 32_768, 6
 #: Texts up to this many tokens run as one piece; how many tokens run at once.
-SHORT, PIECE, CELLS = 2048, 256, 1 << 19
+SHORT, PIECE, CELLS = 2048, 256, 1 << 18
 #: The token that ends a text. No word is empty.
 END = b""
 
@@ -233,37 +233,54 @@ def by_length(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, grid, np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
 
 
-def expected(flow: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+class Space:
+    """Memory that batches use again."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def expected(flow: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray, space: Space) -> tuple[np.ndarray, ...]:
     """Expected counts of a batch of pieces, given the distribution of the first state of each and the
     likelihood of what follows it by its last state: transitions, first states, what the step into the
-    first state weighs, symbols met, their states, log10 likelihoods but for what follows."""
+    first state weighs, symbols met, their states. Inside, arrays have states first, pieces last."""
     order, grid, alive = by_length(pieces)
     size, states = grid.shape, len(flow)
-    alpha, scale = np.empty((*size, states)), np.ones(size)
+    alpha, weigh, scale = space("alpha", size[0], states, size[1]), space("weigh", size[0], states, size[1]), []
+    step = np.ascontiguousarray(flow.T, emit.dtype)
     for t in range(size[0]):
         n = alive[t]
-        a = before[order] if t == 0 else alpha[t - 1, :n] @ flow
-        a = a * emit[grid[t, :n]]
-        scale[t, :n] = a.sum(axis=1)
-        alpha[t, :n] = a / scale[t, :n, None]
+        a = before[order].T.astype(emit.dtype) if t == 0 else step @ alpha[t - 1, :, :n]
+        weigh[t, :, :n] = emit.take(grid[t, :n], axis=0).T
+        a *= weigh[t, :, :n]
+        scale.append(a.sum(axis=0))
+        np.divide(a, scale[t], out=alpha[t, :, :n])
+    step = np.ascontiguousarray(flow, emit.dtype)
     ends = alive - np.append(alive[1:], 0)
-    beta, through = np.empty((size[1], states)), np.zeros((states, states))
+    beta, through = np.empty((states, size[1]), emit.dtype), np.zeros((states, states))
     for t in range(size[0] - 1, -1, -1):
         n = alive[t]
+        m = n - ends[t]
+        if m:
+            x = weigh[t + 1, :, :m]
+            x *= beta[:, :m]
+            x /= scale[t + 1]
+            through += alpha[t, :, :m] @ x.T
+            beta[:, :m] = step @ x
         if ends[t]:  # pieces whose last place this is
-            last = slice(n - ends[t], n)
-            b = after[order[last]]
-            beta[last] = b / (alpha[t, last] * b).sum(axis=1, keepdims=True)
-        if t + 1 < size[0] and alive[t + 1]:
-            m = alive[t + 1]
-            x = emit[grid[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-            through += alpha[t, :m].T @ x
-            beta[:m] = x @ flow.T
-        alpha[t, :n] *= beta[:n]
+            b = after[order[m:n]].T
+            beta[:, m:n] = b / (alpha[t, :, m:n] * b).sum(axis=0)
+        alpha[t, :, :n] *= beta[:, :n]
     back = np.argsort(order)
-    into = (emit[grid[0]] * beta / scale[0][:, None])[back]
+    into = weigh[0] * beta / scale[0]
     here = np.arange(size[1]) < alive[:, None]
-    return through * flow, alpha[0][back], into, grid[here], alpha[here], np.log10(scale).sum(axis=0)[back]
+    return through * flow, alpha[0].T[back], into.T[back], grid[here], [alpha[:, k][here] for k in range(states)]
 
 
 def batches_of(texts: list[np.ndarray], cells: int) -> Iterator[list[int]]:
@@ -275,50 +292,65 @@ def batches_of(texts: list[np.ndarray], cells: int) -> Iterator[list[int]]:
         order = order[n:]
 
 
-def cut(text: np.ndarray) -> list[np.ndarray]:
-    return [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+def all_pieces(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pieces of texts in order; the first piece of each text; how many pieces it has."""
+    pieces = [text[at : at + PIECE] for text in texts for at in range(0, len(text), PIECE)]
+    counts = np.array([-(-len(text) // PIECE) for text in texts])
+    return pieces, np.cumsum(counts) - counts, counts
+
+
+def batches(pieces: list[np.ndarray]) -> list[list[np.ndarray]]:
+    step = max(1, CELLS // PIECE)
+    return [pieces[at : at + step] for at in range(0, len(pieces), step)]
+
+
+def places(first_piece: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the first pieces of texts, of their second ones and so on."""
+    return [first_piece[counts > j] + j for j in range(counts.max())]
 
 
 def baum_welch(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over whole texts: starts, transitions, words by state."""
     states = len(start)
-    starts, through, every = np.zeros(states), np.zeros((states, states)), np.zeros(emit.shape)
+    starts, through, every = np.zeros(states), np.zeros((states, states)), np.zeros(emit.shape[::-1])
+    single, space = emit.astype(np.float32), Space()
 
     def settle(pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inner, first, into, symbols, gamma, _ = expected(flow, emit, pieces, before, after)
+        inner, first, into, symbols, gamma = expected(flow, single, pieces, before, after, space)
         through[:] += inner
         for k in range(states):
-            every[:, k] += np.bincount(symbols, gamma[:, k], len(emit))
+            every[k] += np.bincount(symbols, gamma[k], len(emit))
         return first, into
 
     short = [t for t in texts if len(t) <= SHORT]
     for some in batches_of(short, CELLS):
         first, _ = settle([short[i] for i in some], np.tile(start, (len(some), 1)), np.ones((len(some), states)))
         starts += first.sum(axis=0)
-    for text in (t for t in texts if len(t) > SHORT):
-        pieces = cut(text)
-        matrices = np.concatenate([transfer(flow, emit, pieces[at : at + 1024])[0] for at in range(0, len(pieces), 1024)])
-        count = len(pieces)
-        before, after, left = np.empty((count, states)), np.ones((count, states)), np.empty((count, states))
-        before[0] = start
-        for j in range(count):
-            a = before[j] @ matrices[j]
-            left[j] = a / a.sum()
-            if j + 1 < count:
-                before[j + 1] = left[j] @ flow
-        for j in range(count - 2, -1, -1):
-            b = flow @ (matrices[j + 1] @ after[j + 1])
-            after[j] = b / b.sum()
-        step = max(1, CELLS // PIECE)
-        for at in range(0, count, step):
-            some = slice(at, at + step)
-            first, into = settle(pieces[some], before[some], after[some])
-            if at == 0:
-                starts += first[0]
-            # Steps from the last state of a piece to the first of the next.
-            joined = into if at else into[1:]
-            through += left[max(0, at - 1) : max(0, at - 1) + len(joined)].T @ joined * flow
-    return starts, through, every
+    long = [t for t in texts if len(t) > SHORT]
+    if long:
+        pieces, first_piece, counts = all_pieces(long)
+        matrices = np.concatenate([transfer(flow, emit, some)[0] for some in batches(pieces)])
+        before, left = np.empty((len(pieces), states)), np.empty((len(pieces), states))
+        for live in places(first_piece, counts):
+            before[live] = left[live - 1] @ flow
+            before[first_piece] = start
+            a = np.einsum("ni,nij->nj", before[live], matrices[live])
+            left[live] = a / a.sum(axis=1, keepdims=True)
+        after = np.ones((len(pieces), states))
+        for live in reversed(places(first_piece, counts - 1)):
+            b = np.einsum("nij,nj->ni", matrices[live + 1], after[live + 1]) @ flow.T
+            after[live] = b / b.sum(axis=1, keepdims=True)
+        into = np.empty((len(pieces), states))
+        at = 0
+        for some in batches(pieces):
+            here = slice(at, at + len(some))
+            first, into[here] = settle(some, before[here], after[here])
+            starts += first[np.isin(np.arange(at, at + len(some)), first_piece)].sum(axis=0)
+            at += len(some)
+        # Steps from the last state of a piece to the first of the next.
+        later = np.setdiff1d(np.arange(len(pieces)), first_piece)
+        through += left[later - 1].T @ into[later] * flow
+    return starts, through, every.T
 
 
 def log_likelihood(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
@@ -328,50 +360,65 @@ def log_likelihood(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts:
     for some in batches_of([texts[i] for i in short], CELLS):
         chosen = [short[i] for i in some]
         out[chosen] = forward(start, flow, emit, [texts[i] for i in chosen])
-    for i in (i for i, t in enumerate(texts) if len(t) > SHORT):
-        a, pieces = start, cut(texts[i])
-        for at in range(0, len(pieces), 1024):
-            for matrix, log in zip(*transfer(flow, emit, pieces[at : at + 1024]), strict=True):
-                a = a @ matrix
-                total = a.sum()
-                out[i] += log + np.log10(total)
-                a = a / total @ flow
+    long = [i for i, t in enumerate(texts) if len(t) > SHORT]
+    if long:
+        pieces, first_piece, counts = all_pieces([texts[i] for i in long])
+        matrices, logs = (np.concatenate(x) for x in zip(*(transfer(flow, emit, some) for some in batches(pieces)), strict=True))
+        a, sums = np.tile(start, (len(long), 1)), np.add.reduceat(logs, first_piece)
+        for j, live in enumerate(places(first_piece, counts)):
+            on = np.flatnonzero(counts > j)
+            now = np.einsum("ni,nij->nj", a[on], matrices[live])
+            total = now.sum(axis=1)
+            sums[on] += np.log10(total)
+            a[on] = now / total[:, None] @ flow
+        out[long] = sums
     return out
 
 
 def forward(start: np.ndarray, flow: np.ndarray, emit: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     order, grid, alive = by_length(texts)
-    a, logs = np.tile(start, (len(texts), 1)), np.zeros(len(texts))
+    step = np.ascontiguousarray(flow.T)
+    a, logs, out = np.tile(start[:, None], len(texts)), np.zeros(len(texts)), np.empty(len(texts))
     for t in range(len(grid)):
         n = alive[t]
+        if n < a.shape[1]:
+            logs[n : a.shape[1]] += np.log10(a[:, n:].sum(axis=0))
+            a = a[:, :n].copy()
         if t:
-            a[:n] = a[:n] @ flow
-        a[:n] *= emit[grid[t, :n]]
+            a = step @ a
+        a *= emit.take(grid[t, :n], axis=0).T
         if t % 8 == 7:
-            total = a[:n].sum(axis=1)
-            a[:n] /= total[:, None]
+            total = a.sum(axis=0)
+            a /= total
             logs[:n] += np.log10(total)
-    out = np.empty(len(texts))
-    out[order] = logs + np.log10(a.sum(axis=1))
+    logs[: a.shape[1]] += np.log10(a.sum(axis=0))
+    out[order] = logs
     return out
 
 
 def transfer(flow: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each piece, from the state of its first token to the joint of its tokens and its last state."""
     order, grid, alive = by_length(pieces)
-    states = len(flow)
-    m, logs = np.tile(np.eye(states), (len(pieces), 1, 1)), np.zeros(len(pieces))
+    states, count = len(flow), len(pieces)
+    step = np.ascontiguousarray(flow.T)
+    # Last state, first state, piece.
+    m, logs = np.repeat(np.eye(states)[:, :, None], count, axis=2), np.zeros(count)
+    out = np.empty((count, states, states))
     for t in range(len(grid)):
         n = alive[t]
+        if n < m.shape[2]:
+            out[n : m.shape[2]] = m[:, :, n:].transpose(2, 1, 0)
+            m = m[:, :, :n].copy()
         if t:
-            m[:n] = (m[:n].reshape(-1, states) @ flow).reshape(n, states, states)
-        m[:n] *= emit[grid[t, :n]][:, None, :]
+            m = (step @ m.reshape(states, -1)).reshape(states, states, n)
+        m *= np.ascontiguousarray(emit.take(grid[t, :n], axis=0).T)[:, None, :]
         if t % 8 == 7:
-            most = m[:n].max(axis=(1, 2))
-            m[:n] /= most[:, None, None]
+            most = m.max(axis=(0, 1))
+            m /= most
             logs[:n] += np.log10(most)
+    out[: m.shape[2]] = m.transpose(2, 1, 0)
     back = np.argsort(order)
-    return m[back], logs[back]
+    return out[back], logs[back]
 
 
 class Start:
