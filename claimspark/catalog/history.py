@@ -30,8 +30,15 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"), F.col("user_id").alias("u"), (F.col("event_id") % 3).alias("slot"), kind.alias("op"), F.col("value").cast("decimal(14,2)").alias("amount"), F.col("ts").cast("timestamp").alias("t"))
 
 
-MID = 600
-add("as_of_state", lambda s, d: H.as_of(log(s, d), CLAIM, MID), STATE.format(f"AND ord <= {MID}") + " SELECT u, slot FROM st WHERE op = 'ins'")
+#: Positions in the middle of the log, by its length.
+MID, LATER = ("(SELECT max(event_id) * %d // 100 FROM events)" % share for share in (60, 80))
+
+
+def position(spark: SparkSession, sf_dir: str, share: int) -> int:
+    return log(spark, sf_dir).agg(F.max("ord")).first()[0] * share // 100
+
+
+add("as_of_state", lambda s, d: H.as_of(log(s, d), CLAIM, position(s, d, 60)), STATE.format(f"AND ord <= {MID}") + " SELECT u, slot FROM st WHERE op = 'ins'")
 add("as_of_now", lambda s, d: H.as_of(log(s, d), CLAIM), STATE.format("") + " SELECT u, slot FROM st WHERE op = 'ins'")
 
 
@@ -41,14 +48,14 @@ def as_of_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("as_of_instant", as_of_instant, STATE.format("AND ord <= (SELECT max(ord) FROM log WHERE t <= TIMESTAMP '2024-01-15')") + " SELECT u, slot FROM st WHERE op = 'ins'")
-add("as_of_scoped", lambda s, d: H.as_of(log(s, d).where("slot = 1"), CLAIM, MID), STATE.format(f"AND ord <= {MID} AND slot = 1") + " SELECT u, slot FROM st WHERE op = 'ins'")
+add("as_of_scoped", lambda s, d: H.as_of(log(s, d).where("slot = 1"), CLAIM, position(s, d, 60)), STATE.format(f"AND ord <= {MID} AND slot = 1") + " SELECT u, slot FROM st WHERE op = 'ins'")
 add("provenance", lambda s, d: H.provenance(log(s, d), CLAIM), ", g AS (SELECT *, coalesce(max(CASE WHEN op = 'del' THEN ord END) OVER (PARTITION BY u, slot), -1) gone FROM log) SELECT u, slot, min(ord) asserted_at FROM g WHERE op = 'ins' AND ord > gone GROUP BY 1, 2")
 add("validity_intervals", lambda s, d: H.intervals(log(s, d), CLAIM), SPANS + " SELECT u, slot, f valid_from, t valid_to FROM iv")
 
 
 def snapshot_plus_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = log(spark, sf_dir)
-    return H.from_snapshot(H.snapshot(ops, CLAIM, 300), ops, CLAIM, MID)
+    return H.from_snapshot(H.snapshot(ops, CLAIM, position(spark, sf_dir, 30)), ops, CLAIM, position(spark, sf_dir, 60))
 
 
 add("snapshot_plus_tail", snapshot_plus_tail, STATE.format(f"AND ord <= {MID}") + " SELECT u, slot FROM st WHERE op = 'ins'")
@@ -68,11 +75,12 @@ add("replay_verify_diff", replay_verify, STATE.format("") + " SELECT u, slot, 'l
 
 def deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ops = log(spark, sf_dir)
-    later = ops.where(f"ord > {MID} AND ord <= {MID + 200}")
-    return H.as_of(ops, CLAIM, MID), later.where("op = 'ins'").select(*CLAIM), later.where("op = 'del'").select(*CLAIM)
+    middle = position(spark, sf_dir, 60)
+    later = ops.where(f"ord > {middle} AND ord <= {position(spark, sf_dir, 80)}")
+    return H.as_of(ops, CLAIM, middle), later.where("op = 'ins'").select(*CLAIM), later.where("op = 'del'").select(*CLAIM)
 
 
-PARTS = STATE.format(f"AND ord <= {MID}") + f", pre AS (SELECT u, slot FROM st WHERE op = 'ins'), asd AS (SELECT DISTINCT u, slot FROM log WHERE op = 'ins' AND ord > {MID} AND ord <= {MID + 200}), ret AS (SELECT DISTINCT u, slot FROM log WHERE op = 'del' AND ord > {MID} AND ord <= {MID + 200})"
+PARTS = STATE.format(f"AND ord <= {MID}") + f", pre AS (SELECT u, slot FROM st WHERE op = 'ins'), asd AS (SELECT DISTINCT u, slot FROM log WHERE op = 'ins' AND ord > {MID} AND ord <= {LATER}), ret AS (SELECT DISTINCT u, slot FROM log WHERE op = 'del' AND ord > {MID} AND ord <= {LATER})"
 add("effective_delta", lambda s, d: H.effective_delta(*deltas(s, d)), PARTS + " SELECT u, slot, 'ins' op FROM (SELECT * FROM asd EXCEPT SELECT * FROM pre) UNION ALL SELECT u, slot, 'del' FROM ((SELECT * FROM ret INTERSECT SELECT * FROM pre) EXCEPT SELECT * FROM asd)")
 add("candidate_state", lambda s, d: H.candidate(*deltas(s, d)), PARTS + " (SELECT * FROM pre EXCEPT SELECT * FROM ret) UNION SELECT * FROM asd")
 
@@ -103,7 +111,7 @@ def would_refuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("evaluate_would_refuse", would_refuse, BREACH + " SELECT ord FROM hit")
-add("evaluate_train_test", lambda s, d: H.split_counts(would_refuse(s, d), MID), BREACH + f" SELECT CASE WHEN ord <= {MID} THEN 'train' ELSE 'test' END AS slice, count(*) charges FROM hit GROUP BY 1")
+add("evaluate_train_test", lambda s, d: H.split_counts(would_refuse(s, d), position(s, d, 60)), BREACH + f" SELECT CASE WHEN ord <= {MID} THEN 'train' ELSE 'test' END AS slice, count(*) charges FROM hit GROUP BY 1")
 
 
 def rehearsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,24 @@ class KindError(ValueError):
     """The kinds of an expression don't fit; known before anything runs."""
 
 
+class Measured(str):
+    """The kind of a quantity: equal to the kind without its unit."""
+
+    unit: str | None = None
+
+
+def measured(kind: str, unit: str | None) -> str:
+    if unit is None:
+        return kind
+    out = Measured(kind)
+    out.unit = unit
+    return out
+
+
+def unit_of(kind: str) -> str | None:
+    return getattr(kind, "unit", None)
+
+
 def kind_of_type(t: T.DataType) -> str:
     if isinstance(t, T.StringType):
         return "Subject"

@@ -5,8 +5,14 @@ transformation are run over all rows at once against the state before: gates spl
 bindings are joins, loops explode. Nothing in a body sees what the body writes. The staged claims
 become an effective delta; the rules that the delta touches are checked for the cases it touches.
 
-``decide`` judges proposals that don't depend on each other; ``fold`` runs acts one after another,
-each seeing what the ones before committed.
+A refusal keeps its place: the number of its statement, within a branch or loop after that of the
+branch or loop and the number of the pass. The first in this order is the one reported.
+
+``decide`` gives each proposal the answer it would get if they were decided and committed one after
+another by ``pid``. Those before the first one that depends on an earlier one are decided at once, the
+rest in further rounds: a proposal depends on an earlier one that writes the same claim, a claim that
+one of its patterns may read, or a claim in the same case of a rule. ``fold`` runs acts of several
+transformations one after another.
 """
 
 from __future__ import annotations
@@ -15,17 +21,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kinds import kind_of_type, literal, measured
 from ..lang import ir
 from ..lang.analysis import suppliers
+from ..lang.lower import require_valid
 from ..plans import rules
 from ..plans.compiler import Bindings, Compiler
 from .history import candidate, effective_delta
 from .recursion import written
 
 PID = "pid"
+#: Of each row, the loops and branches it is in: numbers of statements and passes.
+PATH = "__path"
 
 
 class Ambiguous(ValueError):
@@ -40,7 +50,6 @@ class Staged:
     removes: dict[str, list[DataFrame]] = field(default_factory=dict)
     intents: dict[str, list[DataFrame]] = field(default_factory=dict)
     refusals: list[DataFrame] = field(default_factory=list)
-    trace: list[tuple[str, DataFrame]] = field(default_factory=list)
 
 
 @dataclass
@@ -58,34 +67,37 @@ class Body:
 
     def __init__(self, c: Compiler, t: ir.Transformation):
         self.c, self.t, self.staged = c, t, Staged()
-        self.minted = 0
+        self.minted = self.here = 0
 
     def run(self, proposals: DataFrame, kinds: dict[str, str]) -> Staged:
-        b = Bindings(proposals, {PID: "Decimal", "actor": "Subject", "decided_at": "Timestamp", **kinds})
-        self.block(self.t.body, b)
+        rows = proposals.withColumn(PATH, F.array().cast("array<long>"))
+        self.block(self.t.body, Bindings(rows, {PID: "Decimal", "actor": "Subject", "decided_at": "Timestamp", PATH: "Collection", **kinds}))
         return self.staged
 
     def block(self, body: tuple, b: Bindings) -> None:
-        for s in body:
+        for self.here, s in enumerate(body):
             b = getattr(self, f"on_{type(s).__name__.lower()}")(s, b)
 
-    def refuse(self, kind: str, name: str, before: Bindings, after: DataFrame) -> None:
-        gone = before.df.select(PID).distinct().join(after.select(PID).distinct(), PID, "left_anti")
-        self.staged.refusals.append(gone.select(PID, F.lit(kind).alias("kind"), F.lit(name).alias("rule")))
+    def inside(self, b: Bindings, number: Column | None = None) -> Bindings:
+        """The rows of a branch or, by the number of the pass, of a loop."""
+        step = F.array(*(x.cast("long") for x in (F.lit(self.here), *([number] if number is not None else []))))
+        return Bindings(b.df.withColumn(PATH, F.concat(PATH, step)), b.kinds)
+
+    def refuse(self, kind: str, name: str, rows: DataFrame) -> None:
+        at = F.concat(PATH, F.array(F.lit(self.here).cast("long")))
+        self.staged.refusals.append(rows.select(PID, at.alias("at"), F.lit(kind).alias("kind"), F.lit(name).alias("rule")).distinct())
 
     def on_require(self, s: ir.Require, b: Bindings) -> Bindings:
         kept = self.c.match(ir.Exists(s.prop), b)
         # Inside a loop a gate holds for every pass: a proposal is refused for any row that fails.
-        failed = b.df.select(*(f"`{n}`" for n in b.kinds)).exceptAll(kept.df.select(*(f"`{n}`" for n in b.kinds)))
-        self.staged.refusals.append(failed.select(PID).distinct().select(PID, F.lit("require").alias("kind"), F.lit(s.name or "require").alias("rule")))
+        self.refuse("require", s.name or "require", b.df.select(*(f"`{n}`" for n in b.kinds)).exceptAll(kept.df.select(*(f"`{n}`" for n in b.kinds))))
         return kept
 
     def on_bind(self, s: ir.Bind, b: Bindings) -> Bindings:
         found = self.c.match(s.prop, b)
-        self.refuse("bind", s.name or "bind", b, found.df)
-        keys = [f"`{n}`" for n in b.kinds]
-        several = found.df.groupBy(*keys).count().where("count > 1").select(PID).distinct()
-        self.staged.refusals.append(several.select(PID, F.lit("error").alias("kind"), F.lit(f"{s.name or 'bind'} is ambiguous").alias("rule")))
+        self.refuse("bind", s.name or "bind", b.df.select(PID, PATH).distinct().join(found.df.select(PID, PATH).distinct(), [PID, PATH], "left_anti"))
+        several = found.df.groupBy(*(f"`{n}`" for n in b.kinds)).count().where("count > 1")
+        self.refuse("error", f"{s.name or 'bind'} is ambiguous", several)
         return found
 
     def on_let(self, s: ir.Let, b: Bindings) -> Bindings:
@@ -95,7 +107,7 @@ class Body:
             new = F.concat(F.lit("s-"), F.substring(F.sha2(F.concat_ws("|", F.lit(self.t.name), F.col(PID).cast("string"), F.lit(str(self.minted)), *(F.col(f"`{n}`").cast("string") for n in sorted(b.kinds) if n not in (PID,))), 256), 1, 32))
             return Bindings(b.df.withColumn(s.name, new), {**b.kinds, s.name: "Subject"})
         b, v = self.c.value(s.value, b)
-        return Bindings(b.df.withColumn(s.name, self.c.checked(v)), {**b.kinds, s.name: v.kind})
+        return Bindings(b.df.withColumn(s.name, self.c.checked(v)), {**b.kinds, s.name: measured(v.kind, v.unit)})
 
     def row(self, args: tuple, names: list[str], types: list, b: Bindings) -> DataFrame:
         columns: list[Column] = []
@@ -123,25 +135,34 @@ class Body:
         for i, a in enumerate(args):
             if not isinstance(a, ir.Var):
                 bound, v = self.c.value(a, bound)
-                bound = Bindings(bound.df.withColumn(fresh[i], self.c.checked(v)), {**bound.kinds, fresh[i]: v.kind})
+                bound = Bindings(bound.df.withColumn(fresh[i], self.c.checked(v)), {**bound.kinds, fresh[i]: measured(v.kind, v.unit)})
         final = tuple(a if isinstance(a, ir.Var) else ir.Var(n) for a, n in zip(args, fresh, strict=True))
         found = self.c.match(ir.Claim(s.claim.predicate, final), bound)
         self.staged.removes.setdefault(s.claim.predicate, []).append(found.df.select(PID, *(F.col(f"`{a.name}`").alias(n) for a, n in zip(final, have.columns, strict=True))))
         return b
 
     def on_for(self, s: ir.For, b: Bindings) -> Bindings:
-        self.block(s.body, self.c.match(ir.In(ir.Var(s.name), s.source), b))
-        return b
+        outer, (inner, source) = b, self.c.value(s.source, b)
+        # Passes are numbered: equal elements are passes of their own.
+        df = inner.df.select("*", F.posexplode(self.c.checked(source)).alias("__pass", s.name))
+        kind = "Timestamp" if isinstance(s.source, ir.Builtin) and s.source.name == "periods" else kind_of_type(df.schema[s.name].dataType)
+        self.block(s.body, self.inside(Bindings(df, {**inner.kinds, s.name: kind}), F.col("__pass")))
+        return outer
 
     def on_forclaim(self, s: ir.ForClaim, b: Bindings) -> Bindings:
-        self.block(s.body, self.c.match(s.claim, b))
+        found = self.c.match(s.claim, b)
+        order = [F.col(f"`{n}`") for n in found.kinds if n not in b.kinds] or [F.lit(0)]
+        number = F.row_number().over(Window.partitionBy(PID, PATH).orderBy(*order))
+        self.block(s.body, self.inside(Bindings(found.df.withColumn("__pass", number), found.kinds), F.col("__pass")))
         return b
 
     def on_choose(self, s: ir.Choose, b: Bindings) -> Bindings:
         # The branch taken may read what the test bound nowhere, so each side keeps only its rows.
-        self.block(s.then, self.c.match(ir.Exists(s.test), b))
+        here = self.here
+        self.block(s.then, self.inside(self.c.match(ir.Exists(s.test), b)))
+        self.here = here
         if s.other:
-            self.block(s.other, self.c.match(ir.Not(s.test), b))
+            self.block(s.other, self.inside(self.c.match(ir.Not(s.test), b)))
         return b
 
 
@@ -149,23 +170,109 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def decide(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> Outcome:
-    """Judge all proposals of one transformation against the same state.
-
-    They must not depend on each other: where two touch the same case of a rule, use ``fold``.
-    """
+def stage(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]], dict[str, DataFrame]]:
+    """Refusals by gates; of the rest by predicate the claims to add and to remove; intents."""
     staged = Body(c, c.programme.transformations[name]).run(proposals, kinds)
-    none = c.spark.createDataFrame([], f"{PID} long, kind string, rule string")
+    none = c.spark.createDataFrame([], f"{PID} long, at array<long>, kind string, rule string")
+    first = F.min_by(F.struct("kind", "rule"), "at").alias("why")
     # What is staged is read many times below: written once, it is also cheap to recover.
-    gated = written(union([none, *staged.refusals]).groupBy(PID).agg(F.min(F.struct("kind", "rule")).alias("why")).select(PID, "why.kind", "why.rule"), "gated")
+    gated = written(union([none, *staged.refusals]).groupBy(PID).agg(first).select(PID, "why.kind", "why.rule"), "gated")
+    changes = {}
+    for p in sorted({*staged.adds, *staged.removes}):
+        empty = c.claims[p].limit(0).select(F.lit(0).cast("long").alias(PID), *c.claims[p].columns)
+        changes[p] = tuple(written(union([empty, *of.get(p, [])]).join(gated, PID, "left_anti"), p) for of in (staged.adds, staged.removes))
+    return gated, changes, {i: union(f).join(gated, PID, "left_anti") for i, f in staged.intents.items()}
+
+
+def decide(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> Outcome:
+    """Judge all proposals of one transformation, as if one after another by ``pid``."""
+    require_valid(c.programme)
+    outcomes, todo = [], proposals
+    while True:
+        gated, changes, intents = stage(c, name, todo, kinds)
+        first = first_dependent(c, name, todo, changes)
+        if first is not None:
+            now = F.col(PID) < first
+            gated, intents = gated.where(now), {i: f.where(now) for i, f in intents.items()}
+            changes = {p: tuple(f.where(now) for f in of) for p, of in changes.items()}
+        outcomes.append(out := judge(c, gated, changes, intents))
+        if first is None:
+            break
+        state = {p: written(df, "state") if p in out.delta else df for p, df in out.after.items()}
+        c, todo = with_state(c, state), todo.where(F.col(PID) >= first)
+    join = lambda frames: {p: union([f[p] for f in frames if p in f]) for p in sorted(set().union(*frames))}
+    return Outcome(union([o.refused for o in outcomes]), join([o.delta for o in outcomes]), join([o.intents for o in outcomes]), outcomes[-1].after)
+
+
+def text_of(column: Column, kind: str) -> Column:
+    """The same text for equal values, whatever the scale of a decimal's type."""
+    return F.coalesce((column.cast("decimal(38,10)") if kind == "Decimal" else column).cast("string"), F.lit("null"))
+
+
+def first_dependent(c: Compiler, name: str, proposals: DataFrame, changes: dict[str, tuple[DataFrame, DataFrame]]) -> int | None:
+    """The least ``pid`` whose answer may depend on what an earlier proposal does."""
+    writes = {p: union(list(of)) for p, of in changes.items()}
+    fields = {p: list(zip(c.claims[p].columns, c.kinds_of(p, c.claims[p]), strict=True)) for p in writes}
+    key = lambda tag, values: F.to_json(F.array(F.lit(tag), *values)).alias("key")
+    made: list[DataFrame] = []
+
+    def add(rows: DataFrame, tag: str, values: list[Column], wrote: bool) -> None:
+        made.append(rows.select(key(tag, values), PID, F.lit(wrote).alias("wrote")))
+
+    for p, rows in writes.items():
+        add(rows, f"claim {p}", [text_of(F.col(f"`{n}`"), k) for n, k in fields[p]], True)
+    for rule in c.programme.invariants:
+        told = rules.impact(c.programme, rule)
+        mine = [o for o in told.occurrences if o.predicate in writes]
+        shared = sorted(set.intersection(*(set(o.names.values()) for o in told.occurrences))) if told.occurrences and not told.widened else []
+        for o in mine:
+            at = {n: i for i, n in o.names.items()}
+            guards = [F.col(f"`{fields[o.predicate][i][0]}`") == literal(g.kind, g.value) for i, g in o.guards.items() if g.kind in ("Subject", "Bool", "Decimal")]
+            columns = [fields[o.predicate][at[n]] for n in shared]
+            add(writes[o.predicate].where(reduce(Column.__and__, guards, F.lit(True))), f"rule {rule.name}", [text_of(F.col(f"`{n}`"), k) for n, k in columns], True)
+    t = c.programme.transformations[name]
+    given = {p for p, _ in t.params} & set(proposals.columns)
+    for i, node in enumerate(ir.walk(t.body)):
+        if isinstance(node, ir.Claim) and node.predicate in writes:
+            known = [j for j, a in enumerate(node.args) if isinstance(a, ir.Lit) or isinstance(a, ir.Var) and a.name in given]
+            of = [fields[node.predicate][j] for j in known]
+            asked = [literal(a.kind, a.value) if isinstance(a, ir.Lit) else F.col(f"`{a.name}`") for a in (node.args[j] for j in known)]
+            add(proposals, f"read {i}", [text_of(x, k) for x, (_, k) in zip(asked, of, strict=True)], False)
+            add(writes[node.predicate], f"read {i}", [text_of(F.col(f"`{n}`"), k) for n, k in of], True)
+        elif isinstance(node, ir.Call | ir.Figure) and (read := read_by(c.programme, node.name, set()) & set(writes)):
+            add(proposals, f"call {node.name}", [], False)
+            for p in read:
+                add(writes[p], f"call {node.name}", [], True)
+    if not made:
+        return None
+    rows = union(made).groupBy("key", PID).agg(F.max("wrote").alias("wrote"))
+    # A key with one proposal only binds nobody; of the others, the second in order matters.
+    earliest = rows.groupBy("key").agg(F.min(F.when(F.col("wrote"), F.col(PID))).alias("__first"), F.count("*").alias("n")).where("n > 1").select("key", "__first")
+    return rows.join(earliest, "key").where(F.col(PID) > F.col("__first")).agg(F.min(PID)).first()[0]
+
+
+def read_by(programme: ir.Programme, name: str, seen: set[str]) -> set[str]:
+    """Predicates that a definition reads, itself or through others."""
+    if name in seen:
+        return set()
+    seen.add(name)
+    out: set[str] = set()
+    for node in ir.walk(programme.defines[name].body):
+        if isinstance(node, ir.Claim):
+            out.add(node.predicate)
+        elif isinstance(node, ir.Call | ir.Figure):
+            out |= read_by(programme, node.name, seen)
+    return out
+
+
+def judge(c: Compiler, gated: DataFrame, changes: dict[str, tuple[DataFrame, DataFrame]], intents: dict[str, DataFrame]) -> Outcome:
+    """Check the rules for proposals of which none depends on another."""
+    none = c.spark.createDataFrame([], f"{PID} long, kind string, rule string")
     delta: dict[str, DataFrame] = {}
     plain: dict[str, DataFrame] = {}
     after = dict(c.claims)
-    for p in sorted({*staged.adds, *staged.removes}):
+    for p, (adds, removes) in changes.items():
         pre = c.claims[p]
-        empty = pre.limit(0).select(F.lit(0).cast("long").alias(PID), *pre.columns)
-        adds = written(union([empty, *staged.adds.get(p, [])]).join(gated, PID, "left_anti"), "adds")
-        removes = written(union([empty, *staged.removes.get(p, [])]).join(gated, PID, "left_anti"), "removes")
         columns = pre.columns
         plain[p] = effective_delta(pre, adds.select(*columns), removes.select(*columns))
         owners = adds.withColumn("op", F.lit("ins")).unionByName(removes.withColumn("op", F.lit("del")))
@@ -186,12 +293,11 @@ def decide(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str])
     broken = broken.withColumn("place", order[F.col("rule")]).groupBy(PID).agg(F.min_by(F.struct("kind", "rule"), "place").alias("why")).select(PID, "why.kind", "why.rule")
     refused = written(gated.unionByName(broken), "refused")
     fine = {p: d.join(refused, PID, "left_anti") for p, d in delta.items()}
-    intents = {i: union(f).join(refused, PID, "left_anti") for i, f in staged.intents.items()}
     final = dict(c.claims)
     for p, d in fine.items():
         columns = c.claims[p].columns
         final[p] = candidate(c.claims[p], d.where("op = 'ins'").select(*columns), d.where("op = 'del'").select(*columns))
-    return Outcome(refused, fine, intents, final)
+    return Outcome(refused, fine, {i: f.join(refused, PID, "left_anti") for i, f in intents.items()}, final)
 
 
 def charged(c: Compiler, rule: ir.Invariant, told: rules.Impact, found: DataFrame, delta: dict[str, DataFrame]) -> DataFrame:

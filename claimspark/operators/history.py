@@ -1,7 +1,7 @@
 """The past of a set of claims, from the log of operations.
 
-A log is a DataFrame of operations: ``ord`` (the position in the log, total), ``op`` (ins, del or
-noop) and the columns of the claim. Any past state is a fold of the log, done as one aggregation
+A log is a DataFrame of operations: ``ord`` (the position in the log), ``op`` (ins, del or noop) and
+the columns of the claim. At one position a claim is deleted before it is inserted. Any past state is a fold of the log, done as one aggregation
 by claim; validity intervals make each analysis a join instead of a replay.
 """
 
@@ -25,7 +25,7 @@ FOREVER = (1 << 63) - 1
 def as_of(log: DataFrame, claim: list[str], order: int | None = None) -> DataFrame:
     """The claims that hold after the operation at ``order``."""
     upto = log.where("op <> 'noop'") if order is None else log.where((F.col("op") != "noop") & (F.col("ord") <= order))
-    return upto.groupBy(*claim).agg(F.max_by("op", "ord").alias("op")).where("op = 'ins'").select(*claim)
+    return upto.groupBy(*claim).agg(F.max_by("op", F.struct("ord", "op")).alias("op")).where("op = 'ins'").select(*claim)
 
 
 def order_at(log: DataFrame, at: str, instant: Column) -> int | None:
@@ -36,13 +36,13 @@ def order_at(log: DataFrame, at: str, instant: Column) -> int | None:
 def provenance(log: DataFrame, claim: list[str]) -> DataFrame:
     """Claims that hold, each with the position that admitted it: its first insertion after its last deletion."""
     last = F.max(F.when(F.col("op") == "del", F.col("ord"))).over(W.partitionBy(*claim))
-    alive = log.withColumn("__gone", F.coalesce(last, F.lit(-1))).where("op = 'ins' AND ord > __gone")
+    alive = log.withColumn("__gone", F.coalesce(last, F.lit(-1))).where("op = 'ins' AND ord >= __gone")
     return alive.groupBy(*claim).agg(F.min("ord").alias("asserted_at"))
 
 
 def intervals(log: DataFrame, claim: list[str]) -> DataFrame:
     """When each claim held: from (inclusive) and to (exclusive, FOREVER if it still does)."""
-    w = W.partitionBy(*claim).orderBy("ord")
+    w = W.partitionBy(*claim).orderBy("ord", "op")
     changes = log.where("op <> 'noop'").withColumn("__was", F.lag("op").over(w)).where("__was IS NULL AND op = 'ins' OR __was <> op")
     spans = changes.withColumn("__to", F.lead("ord").over(w)).where("op = 'ins'")
     return spans.select(*claim, F.col("ord").alias("valid_from"), F.coalesce("__to", F.lit(FOREVER)).alias("valid_to"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..kinds import EMPTY_EXTREMUM, VALUE_AMBIGUOUS, VALUE_MISSING, ZERO_DIVISOR, KindError, kind_of_type, literal
+from ..kinds import EMPTY_EXTREMUM, VALUE_AMBIGUOUS, VALUE_MISSING, ZERO_DIVISOR, KindError, kind_of_type, literal, measured, unit_of
 from ..lang import ir
 from ..lang.lower import branches, is_recursive
 from ..operators.recursion import least_fixpoint
@@ -79,11 +79,7 @@ class Compiler:
         if declared is None or len(declared.fields) != len(by_type):
             return by_type
         # Durations are held as numbers, so the declaration tells them from decimals.
-        return [f.kind if f.kind == "Duration" else k for f, k in zip(declared.fields, by_type, strict=True)]
-
-    def unit_of(self, predicate: str, position: int) -> str | None:
-        declared = self.programme.predicates.get(predicate)
-        return declared.fields[position].unit if declared and position < len(declared.fields) else None
+        return [measured(f.kind if f.kind == "Duration" else k, f.unit) for f, k in zip(declared.fields, by_type, strict=True)]
 
     # --- propositions
 
@@ -123,11 +119,13 @@ class Compiler:
                     filters.append(column == F.col(f"`{names[arg.name]}`"))
                     continue
                 names[arg.name] = df.columns[i]
+                if (one := unit_of(b.kinds.get(arg.name, ""))) and (other := unit_of(kind)) and one != other:
+                    raise KindError(f"{arg.name} is in {one} and in {other}")
                 (bound if arg.name in b.kinds else new)[arg.name] = (column, kind)
             else:  # a computed term: a name for its value, then a bound variable
                 value = self.value(arg, b)
                 hidden = self.name("arg")
-                b = replace(value[0], df=value[0].df.withColumn(hidden, self.checked(value[1])), kinds={**value[0].kinds, hidden: value[1].kind}, unit=False)
+                b = replace(value[0], df=value[0].df.withColumn(hidden, self.checked(value[1])), kinds={**value[0].kinds, hidden: measured(value[1].kind, value[1].unit)}, unit=False)
                 bound[hidden] = (column, kind)
         if filters:
             df = df.where(reduce(Column.__and__, filters))
@@ -231,7 +229,7 @@ class Compiler:
             b, value = self.value(a, b)
             hidden = self.name("arg")
             base = b.df if not b.unit else self.spark.range(1).select()
-            b = Bindings(base.withColumn(hidden, self.checked(value)), {**b.kinds, hidden: value.kind})
+            b = Bindings(base.withColumn(hidden, self.checked(value)), {**b.kinds, hidden: measured(value.kind, value.unit)})
             out[i] = (hidden, value.kind)
         return b, out
 
@@ -345,7 +343,7 @@ class Compiler:
 
     def value_var(self, e: ir.Var, b: Bindings) -> tuple[Bindings, Value]:
         if e.name in b.kinds:
-            return b, Value(F.col(f"`{e.name}`"), b.kinds[e.name])
+            return b, Value(F.col(f"`{e.name}`"), b.kinds[e.name], unit=unit_of(b.kinds[e.name]))
         if e.name in self.constants:
             return b, self.constants[e.name]
         raise Unbound(f"{e.name} is bound by nothing before it")
@@ -406,7 +404,7 @@ class Compiler:
             else:
                 b, v = self.value(arg, b)
                 hidden = self.name("arg")
-                b = Bindings(b.df.withColumn(hidden, self.checked(v)), {**b.kinds, hidden: v.kind})
+                b = Bindings(b.df.withColumn(hidden, self.checked(v)), {**b.kinds, hidden: measured(v.kind, v.unit)})
                 by[param] = ir.Var(hidden)
         return self.value(ir.substitute(d.body, by), b)
 

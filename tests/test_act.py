@@ -77,8 +77,76 @@ def test_rules_that_look_back(spark):
 def test_unique_keys_are_kept(spark):
     rows = [("c", "n", "ann", Decimal(1)), ("c", "n", "bob", Decimal(1)), ("c", "m", "bob", Decimal(1)), ("c", "x", "bob", Decimal(1))]
     out = act.decide(bank(spark, START), "open", ask(spark, rows, "a string, owner string, deposit decimal(12,2)"), KINDS["open"])
-    assert {r.pid: r.rule for r in out.refused.collect()} == {0: "account_unique_by_a", 1: "account_unique_by_a", 3: "fresh"}
-    assert [r.a for r in out.intents["Told"].collect()] == ["m"]
+    assert {r.pid: r.rule for r in out.refused.collect()} == {1: "fresh", 3: "fresh"}
+    assert sorted(r.a for r in out.intents["Told"].collect()) == ["m", "n"]
+
+
+SHELF = parse("""
+program shelf
+predicate Put(k: Decimal, v: Decimal)
+    unique by (k)
+predicate Cap(most: Decimal)
+predicate A(o: Decimal, c: Decimal)
+predicate Price(k: Decimal, usd: Decimal[USD])
+predicate Cost(k: Decimal, eur: Decimal[EUR])
+
+transformation put(k, v):
+    admit Put(k, v)
+
+transformation both(o, orders):
+    if o > 0:
+        require zzz: o > 5
+    require aaa: o > 5
+    for x in orders:
+        bind one: A(x, c)
+        require fits: c < 9
+        admit Put(x, c)
+
+invariant bounded:
+    Cap(most) implies sum(v | Put(_, v)) <= most
+""")
+
+
+def shelf(spark, put=()):
+    of = spark.createDataFrame
+    return Compiler(spark, SHELF, {
+        "Put": of(list(put), "k long, v long"), "Cap": of([(10,)], "most long"), "A": of([(1, 4), (2, 4), (3, 9), (4, 1), (4, 2)], "o long, c long"),
+        "Price": of([(1, Decimal(1))], "k long, usd decimal(9,2)"), "Cost": of([(1, Decimal(1))], "k long, eur decimal(9,2)"),
+    })
+
+
+def test_proposals_that_share_a_case_are_decided_one_after_another(spark):
+    rows = [("c", 1, 5), ("c", 1, 6), ("c", 2, 4), ("c", 3, 50), ("c", 4, 1), ("c", 1, 5)]
+    out = act.decide(shelf(spark), "put", ask(spark, rows, "k long, v long"), {"k": "Decimal", "v": "Decimal"})
+    assert {r.pid: r.rule for r in out.refused.collect()} == {1: "put_unique_by_k", 3: "bounded"}
+    assert sorted((r.k, r.v) for r in out.after["Put"].collect()) == [(1, 5), (2, 4), (4, 1)]
+    assert sorted((r.pid, r.k) for r in out.delta["Put"].collect()) == [(0, 1), (2, 2), (4, 4)]
+
+
+def test_the_first_statement_and_pass_that_fails_is_reported(spark):
+    rows = [("c", 1, [1]), ("c", 0, [1]), ("c", 6, [1, 1]), ("c", 7, [2, 3, 8]), ("c", 8, [8, 3]), ("c", 9, [2, 4])]
+    out = act.decide(shelf(spark), "both", ask(spark, rows, "o long, orders array<long>"), {"o": "Decimal", "orders": "Collection"})
+    assert {r.pid: (r.kind, r.rule) for r in out.refused.collect()} == {0: ("require", "zzz"), 1: ("require", "aaa"), 3: ("require", "fits"), 4: ("bind", "one"), 5: ("error", "one is ambiguous")}
+    assert [(r.pid, r.k, r.v) for r in out.delta["Put"].collect()] == [(2, 1, 4)]
+
+
+def test_units_do_not_mix(spark):
+    c = shelf(spark)
+    from claimspark.kinds import KindError
+    from claimspark.lang.parser import parse_prop
+
+    for text in ("Price(k, a) and Cost(k, b) and a <= b", "Price(k, a) and Cost(k, a)", "Price(k, a) and sum(b | Cost(_, b)) = a", "Price(k, a) and Cost(k, b) and a + b > 0"):
+        with pytest.raises(KindError):
+            c.bindings(parse_prop(text, SHELF))
+    assert c.bindings(parse_prop("Price(k, a) and a + a > 1 and Cost(k, b) and b * 2 = 2", SHELF)).count() == 1
+
+
+def test_at_one_position_a_claim_is_deleted_before_it_is_inserted(spark):
+    log = spark.createDataFrame([(1, "ins", "a"), (2, "ins", "a"), (2, "del", "a"), (3, "del", "b"), (3, "ins", "b"), (4, "del", "b")], "ord long, op string, x string")
+    for rows in (log, log.orderBy("op"), log.orderBy(F.desc("op"))):
+        assert [r.x for r in history.as_of(rows, ["x"]).collect()] == ["a"]
+        assert {(r.x, r.valid_from, r.valid_to) for r in history.intervals(rows, ["x"]).collect()} >= {("b", 3, 4), ("a", 2, history.FOREVER)}
+        assert [(r.x, r.asserted_at) for r in history.provenance(rows, ["x"]).collect()] == [("a", 2)]
 
 
 def test_loops_over_claims_and_branches(spark):
