@@ -134,10 +134,11 @@ def flagged_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binding in a loop whose collection has equal elements: each is a pass of its own."""
     asks = proposals(spark, sf_dir).select("pid", F.array("o", "o").alias("orders"), "actor", "decided_at")
     out = act.decide(desk(spark, sf_dir), "flag_all", asks, {"orders": "Collection"})
-    return out.delta["Flagged"].select("pid", "c", "o", F.lit(None).cast("string").alias("rule")).unionByName(out.refused.select("pid", "rule"), allowMissingColumns=True)
+    none = F.lit(-1).cast("long")
+    return out.delta["Flagged"].select("pid", "c", "o", F.lit("").alias("rule")).unionByName(out.refused.select("pid", none.alias("c"), none.alias("o"), "rule"))
 
 
-add("act_bind_in_loop", flagged_twice, " SELECT o pid, c, o, NULL::VARCHAR AS rule FROM ord UNION ALL SELECT -1 - k, NULL, NULL, 'known' FROM range(3) g(k)")
+add("act_bind_in_loop", flagged_twice, " SELECT o pid, c, o, '' AS rule FROM ord UNION ALL SELECT -1 - k, -1, -1, 'known' FROM range(3) g(k)")
 add("actor_authority", lambda s, d: disciplines.restricted(proposals(s, d).withColumn("c", F.col("o") % 11).select("pid", "c"), s.range(0, 11, 2).withColumnRenamed("id", "c"), ["c"]), " SELECT pid, pid % 11 AS c FROM (SELECT o pid FROM ord UNION ALL SELECT -1 - k FROM range(3) g(k)) WHERE pid % 11 NOT IN (0, 2, 4, 6, 8, 10)")
 
 # --- disciplines
