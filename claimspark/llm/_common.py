@@ -21,11 +21,13 @@ OWN_FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place for the application.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and all runs
+    on one machine, as in tests, a temporary folder takes its place for the application.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         name = spark.sparkContext.applicationId
         if name not in OWN_FOLDERS:
             OWN_FOLDERS[name] = tempfile.mkdtemp(prefix="claimspark-")
