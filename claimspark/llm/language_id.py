@@ -8,8 +8,8 @@ family, then to that family's language, with the best mean chance over its pairs
 product of the two chances.
 
 The machines are fitted on the driver, on a sample of at most ``SAMPLE`` labelled training rows,
-dealt evenly to the languages and chosen by a hash of the id. This bound is the only one: every
-text is predicted, whole.
+dealt evenly to the languages and chosen by a hash of the id; of more languages than that, the most
+frequent ones are learned. This bound is the only one: every text is predicted, whole.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0, and so is every
 text if nothing can be learned; with one language that is predicted with score 1. A null id is not
