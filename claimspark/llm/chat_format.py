@@ -8,8 +8,8 @@ for each fragment, so that a conversation of any length is never one value.
 
 *Scale.* Turns are range-partitioned by conversation and turn, so that a long conversation runs
 through many partitions. What a partition can do to the state of the conversation that it begins
-or ends with is a 4 x 4 matrix of costs; the driver chains these (two for a partition) and tells
-each partition the states at its borders, between which it repairs on its own.
+or ends with is a 4 x 4 matrix of costs; Spark chains these for each conversation that was cut, in two
+steps, and joins to each partition the states at its borders, between which it repairs on its own.
 
 Defined cases: a null or unknown role may be relabelled or merged cheaply; a null text is empty, and
 an empty turn merges for little; equal turn numbers go by role, then a hash of the text, nulls first; repeated
@@ -20,6 +20,7 @@ one with the earlier action in ``ACTIONS`` at the latest turn where they differ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,33 +168,75 @@ def runs(convs: list) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(convs)], strict=True))
 
 
-def border_states(parts: list[tuple[int, object, object, bool, np.ndarray, np.ndarray]]) -> tuple[dict[int, int], dict[int, int]]:
-    """Of each partition, the state in which its first conversation arrives and its last one leaves, if these are cut.
+def chain(matrices: list[np.ndarray], start: np.ndarray, stop: int | None) -> list[int]:
+    """The states after each of some runs of turns on the cheapest way through them.
 
-    ``parts``: partition, first and last conversation, whether these are one run, matrices of both runs; in order.
+    ``start``: costs of the states before; ``stop``: the state after all, or None for the cheapest to end in.
     """
-    arrive: dict[int, int] = {}
-    leave: dict[int, int] = {}
-    i = 0
-    while i < len(parts):
-        # A chain of partitions through which one conversation runs.
-        j = i
-        while j + 1 < len(parts) and parts[j][2] == parts[j + 1][1] and (j == i or parts[j][3]):
-            j += 1
-        if j > i:
-            costs = np.full(STATES, FAR, np.int64)
-            costs[0] = 0
-            trail = []
-            for k in range(i, j + 1):
-                through = costs[:, None] + (parts[k][5] if k == i else parts[k][4])
-                trail.append(through.argmin(axis=0))
-                costs = np.minimum(through.min(axis=0), FAR)
-            state = min(range(STATES), key=lambda s: (costs[s] + ENDING[s], -s))
-            for k in range(j, i, -1):
-                state = int(trail[k - i][state])
-                arrive[parts[k][0]] = leave[parts[k - 1][0]] = state
-        i = max(j, i + 1)
-    return arrive, leave
+    costs, trail = start, []
+    for m in matrices:
+        through = costs[:, None] + m
+        trail.append(through.argmin(axis=0))
+        costs = np.minimum(through.min(axis=0), FAR)
+    state = min(range(STATES), key=lambda s: (costs[s] + ENDING[s], -s)) if stop is None else stop
+    out = [state]
+    for came in reversed(trail[1:]):
+        out.append(int(came[out[-1]]))
+    return out[::-1]
+
+
+def only(state: int) -> np.ndarray:
+    costs = np.full(STATES, FAR, np.int64)
+    costs[state] = 0
+    return costs
+
+
+PIECES = "conv_id long, part int, matrix array<long>"
+SPANS = "conv_id long, block int, matrix array<long>"
+STATES_AT = "conv_id long, block int, arrive int, leave int"
+BORDERS = "part int, arrive int, leave int"
+
+
+def border_states(pieces: DataFrame, count: int) -> DataFrame:
+    """part, arrive, leave: the states in which a partition's first conversation arrives and its last one leaves, if these are cut.
+
+    ``pieces``: for each partition its first and its last conversation (once, if they are one run)
+    with the matrix of that run. Costs along a conversation are chained in two steps, blocks of
+    about sqrt(``count``) partitions and then the partitions of each block, so that no task and
+    not the driver holds a row for each partition.
+    """
+    width = max(2, math.isqrt(count))
+    cut = pieces.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("cut_id"))
+    pieces = pieces.join(cut, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left_semi").withColumn("block", F.floor(F.col("part") / width).cast("int"))
+
+    def squares(of: pa.Table) -> list[np.ndarray]:
+        return list(of.column("matrix").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, STATES, STATES))
+
+    def product(key: tuple, of: pa.Table) -> pa.Table:
+        whole = np.where(np.eye(STATES, dtype=bool), 0, FAR)
+        for m in squares(of.sort_by("part")):
+            whole = np.minimum((whole[:, :, None] + m[None]).min(axis=1), FAR)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([whole.ravel().tolist()], pa.list_(pa.int64()))], names=["conv_id", "block", "matrix"])
+
+    def outer(key: tuple, of: pa.Table) -> pa.Table:
+        of = of.sort_by("block")
+        after = chain(squares(of), only(0), None)
+        return pa.table([of.column("conv_id"), of.column("block"), pa.array([0, *after[:-1]], pa.int32()), pa.array(after, pa.int32())], names=["conv_id", "block", "arrive", "leave"])
+
+    def inner(key: tuple, of: pa.Table, at: pa.Table) -> pa.Table:
+        of = of.sort_by("part")
+        arrive, leave = at.column("arrive")[0].as_py(), at.column("leave")[0].as_py()
+        after = chain(squares(of), only(arrive), leave)
+        first, last = of.column("first").to_pylist(), of.column("last").to_pylist()
+        before = [arrive, *after[:-1]]
+        return pa.table([of.column("part"), pa.array([None if f else x for f, x in zip(first, before, strict=True)], pa.int32()), pa.array([None if f else x for f, x in zip(last, after, strict=True)], pa.int32())], names=["part", "arrive", "leave"])
+
+    # A conversation's first piece arrives from nowhere and its last one leaves to nowhere: no border.
+    ends = pieces.groupBy("conv_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).withColumnRenamed("conv_id", "end_id")
+    pieces = pieces.join(ends, F.col("conv_id").eqNullSafe(F.col("end_id"))).select("conv_id", "block", "part", "matrix", (F.col("part") == F.col("low")).alias("first"), (F.col("part") == F.col("high")).alias("last"))
+    blocks = pieces.groupBy("conv_id", "block").applyInArrow(product, SPANS).groupBy("conv_id").applyInArrow(outer, STATES_AT)
+    states = pieces.groupBy("conv_id", "block").cogroup(blocks.groupBy("conv_id", "block")).applyInArrow(inner, BORDERS)
+    return states.groupBy("part").agg(F.max("arrive").alias("arrive"), F.max("leave").alias("leave"))
 
 
 def format_chats(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -214,18 +257,16 @@ def format_chats(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     def borders(key: tuple, of: pa.Table) -> pa.Table:
         _, convs, kinds = read(of)
         every = runs(convs)
-        first, last = (matrix(kinds[a:b]).ravel().tolist() for a, b in (every[0], every[-1]))
-        row = {"part": key[0].as_py(), "first": convs[0], "last": convs[-1], "single": len(every) == 1, "head": first, "tail": last}
-        return pa.Table.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("single", pa.bool_()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))]))
+        rows = [{"conv_id": convs[a], "part": key[0].as_py(), "matrix": matrix(kinds[a:b]).ravel().tolist()} for a, b in ([every[0]] if len(every) == 1 else [every[0], every[-1]])]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("matrix", pa.list_(pa.int64()))]))
 
-    told = dealt.select("part", "place", "conv_id", "role", "blank").groupBy("part").applyInArrow(borders, "part int, first long, last long, single boolean, head array<long>, tail array<long>").collect()
-    square = lambda x: np.array(x, np.int64).reshape(STATES, STATES)
-    sent = spark.sparkContext.broadcast(border_states([(r.part, r["first"], r["last"], r.single, square(r.head), square(r.tail)) for r in sorted(told, key=lambda r: r.part)]))
+    pieces = materialise(dealt.select("part", "place", "conv_id", "role", "blank").groupBy("part").applyInArrow(borders, PIECES), "chat-borders")
+    states = border_states(pieces, count)
 
-    def write(key: tuple, of: pa.Table) -> pa.Table:
+    def write(key: tuple, of: pa.Table, at: pa.Table) -> pa.Table:
         of, convs, kinds = read(of)
         turns, places, bodies = of.column("turn").to_pylist(), of.column("place").to_pylist(), of.column("text").to_pylist()
-        arrive, leave = (states.get(key[0].as_py()) for states in sent.value)
+        arrive, leave = (at.column(c)[0].as_py() if at.num_rows else None for c in ("arrive", "leave"))
         rows = []
         for a, b in runs(convs):
             start = arrive if not a and arrive is not None else 0
@@ -235,7 +276,7 @@ def format_chats(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["conv_id", "turn", "place", "sub", "action", "role", "cost", "rendered"])
 
-    return dealt.drop("row").groupBy("part").applyInArrow(write, FRAGMENTS)
+    return dealt.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(write, FRAGMENTS)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
