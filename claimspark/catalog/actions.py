@@ -190,6 +190,18 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("outbox_settle", settled, f" SELECT CASE WHEN e % 5 = 0 THEN 'delivered' WHEN e % 5 = 1 OR e % 4 + 1 >= 3 THEN 'failed' ELSE 'pending' END status, count(*) n FROM eve WHERE {DUE} GROUP BY 1")
+add("outbox_take", lambda s, d: outbox.take(outbox_rows(s, d), now(), 50, 90).select("intent_id", "status", F.date_format("lease_until", "yyyy-MM-dd HH:mm").alias("lease_until")), f" SELECT eve.e intent_id, CASE WHEN k.e IS NOT NULL OR type = 'view' THEN 'in_progress' WHEN type = 'purchase' THEN 'delivered' ELSE 'pending' END status, strftime(CASE WHEN k.e IS NOT NULL THEN TIMESTAMP '{NOW}' + INTERVAL 90 SECOND WHEN type = 'view' THEN t + INTERVAL 5 DAY END, '%Y-%m-%d %H:%M') lease_until FROM eve LEFT JOIN (SELECT e FROM eve WHERE {DUE} ORDER BY t, e LIMIT 50) k ON k.e = eve.e")
+
+
+def made_up_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All outbox rows by status, with every failed one's compensation tried where its number isn't divisible by 7."""
+    rows = outbox_rows(spark, sf_dir).withColumn("status", F.when(F.col("intent_id") % 3 == 1, "failed").otherwise(F.col("status")))
+    told = rows.where("intent_id % 7 <> 0").select("intent_id", (F.col("intent_id") % 2 == 0).alias("ok"))
+    once = outbox.compensated(rows, told)
+    return outbox.compensated(once, told.withColumn("ok", ~F.col("ok"))).select("intent_id", "status")
+
+
+add("outbox_compensate", made_up_for, " SELECT e intent_id, CASE WHEN e % 3 = 1 THEN CASE WHEN e % 7 = 0 THEN 'failed' WHEN e % 2 = 0 THEN 'compensation_done' ELSE 'compensation_failed' END WHEN type = 'purchase' THEN 'delivered' WHEN type = 'view' THEN 'in_progress' ELSE 'pending' END status FROM eve")
 add("outbox_next_wake", lambda s, d: outbox.next_wake(outbox_rows(s, d)).select(F.date_format("wake_at", "yyyy-MM-dd HH:mm:ss").alias("wake_at")), " SELECT strftime(min(t + INTERVAL 20 DAY), '%Y-%m-%d %H:%M:%S') wake_at FROM eve WHERE e % 3 = 0 AND type IN ('signup', 'click', 'error')")
 
 # --- calendar
@@ -238,16 +250,39 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bottom = written(evidence.leaves(events(spark, sf_dir), "ord", ["ord", "u", "type"]), "leaves")
-    top = evidence.root(bottom)
-    size = bottom.count()
-    proof = evidence.inclusion(bottom, size // 3)
+    rows = events(spark, sf_dir)
+    bottom = written(evidence.leaves(rows, "ord", ["ord", "u", "type"]), "leaves")
+    tree, size = evidence.levels(bottom), bottom.count()
+    top = evidence.top_of(tree)
     mine = bottom.where(F.col("idx") == size // 3).first().hash
-    return spark.createDataFrame([(top, size, evidence.verify(mine, proof, top))], "root string, leaves long, proven boolean")
+    proven = evidence.verify(mine, evidence.inclusion(tree, size // 3), top)
+    before = 2 * size // 3
+    old = evidence.root(bottom.where(F.col("idx") < before))
+    grew = evidence.verify_consistency(before, size, old, top, evidence.consistency(tree, before, size))
+    return spark.createDataFrame([(top, old, size, proven, grew)], "root string, earlier_root string, leaves long, proven boolean, consistent boolean")
 
 
+def root_sql(name: str, leaves: str) -> str:
+    """CTEs that end in ``name``, one row with the root of the leaves (idx, hash)."""
+    node = "sha256(unhex('01') || unhex(hash) || unhex(nxt))"
+    return f"{name}_up AS (SELECT idx, hash, count(*) OVER () AS n FROM {leaves} UNION ALL SELECT idx // 2, CASE WHEN nxt IS NULL THEN hash ELSE {node} END, (n + 1) // 2 FROM (SELECT *, lead(hash) OVER (ORDER BY idx) nxt FROM {name}_up WHERE n > 1) WHERE idx % 2 = 0), {name} AS (SELECT hash FROM {name}_up WHERE n = 1 LIMIT 1)"
+
+
+LEAVES = """leaf AS (SELECT row_number() OVER (ORDER BY e) - 1 idx, sha256(unhex('00') || encode('{"ord":' || e || ',"u":' || u || ',"type":"' || type || '"}')) hash FROM eve), part AS (SELECT * FROM leaf WHERE idx < (SELECT 2 * count(*) // 3 FROM leaf))"""
 add("merkle_root", merkle, None)
-add("receipt", lambda s, d: s.createDataFrame([(evidence.receipt(claims(s, d)["Nation"], desk_programme(), "0"),)], "receipt string"), None)
+SQL["merkle_root"] = WITH.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", {LEAVES}, {root_sql('whole', 'leaf')}, {root_sql('earlier', 'part')} SELECT (SELECT hash FROM whole) root, (SELECT hash FROM earlier) earlier_root, (SELECT count(*) FROM leaf) leaves, true proven, true consistent"
+
+
+def receipt_sql() -> str:
+    """The receipt of all nations, hash by hash."""
+    rows = """(SELECT sha256('{"n":' || n_nationkey || ',"name":"' || n_name || '","r":' || n_regionkey || '}') h FROM nation)"""
+    level = f"(SELECT h p, h || ':' || count(*) h FROM {rows} GROUP BY 1)"
+    for n in (12, 8, 4, 0):
+        level = f"(SELECT substr(p, 1, {n}) p, sha256(string_agg(h, ',' ORDER BY h)) h FROM {level} GROUP BY 1)"
+    return f" SELECT sha256('{evidence.programme_hash(desk_programme())}|0|' || h) receipt FROM {level}"
+
+
+add("receipt", lambda s, d: s.createDataFrame([(evidence.receipt(claims(s, d)["Nation"], desk_programme(), "0"),)], "receipt string"), receipt_sql())
 
 
 def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +302,25 @@ def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("store_commits", sinks, PAY + " SELECT 1::BIGINT AS ord, count(*) n FROM okay UNION ALL SELECT 2, count(*) FROM okay WHERE o % 2 <> 0")
 
 
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived claim's cache after two refreshes, with the commit between them."""
+    import uuid
+
+    programme = parse("program cached\npredicate Order(o: Decimal, c: Decimal, total: Decimal)\npredicate Spent(c: Decimal, total: Decimal)\nderived Spent(c):\n    over Order(_, c, _)\n    value total = sum(t | Order(_, c, t))\n")
+    keep = store.Store(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", programme)
+    rows = claims(spark, sf_dir)["Order"].selectExpr("o", "c", "total", "'ins' AS op")
+    keep.commit({"Order": rows.where("o % 3 <> 0")}, "2024-01-01T00:00:00Z", 0)
+    keep.refresh("Spent")
+    first = keep.cached("Spent")
+    keep.commit({"Order": rows.where("o % 3 = 0")}, "2024-01-02T00:00:00Z", 1)
+    keep.refresh("Spent")
+    shown = lambda df, n: df.select(F.lit(n).cast("long").alias("generation"), F.col("c").cast("long").alias("c"), F.col("total").cast("decimal(18,2)").alias("total"))
+    return shown(first, 1).unionByName(shown(keep.cached("Spent"), keep.generation("Spent")["generation"]))
+
+
+add("derived_refresh", refreshed, " SELECT 1::BIGINT generation, c, CAST(sum(total) AS DECIMAL(18,2)) total FROM ord WHERE o % 3 <> 0 GROUP BY c UNION ALL SELECT 2, c, CAST(sum(total) AS DECIMAL(18,2)) FROM ord GROUP BY c")
+
+
 def from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals written as JSON lines and read back, decided, with a receipt for each."""
     import uuid

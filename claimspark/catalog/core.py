@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lang.parser import parse
 from ..plans import rules
+from ..plans.compiler import Compiler
 from ..plans.derived import derived, figure, live
-from .tables import compiler, programme, prop, value
+from .tables import claims, compiler, programme, prop, value
 
 QUERIES, SQL = {}, {}
 
@@ -131,8 +133,6 @@ computed("value_lookup_default", "Order(o, _, _, _, on, _)", {"total": "value Te
 
 def flagged_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a lookup has as error: several matches, or none."""
-    from ..plans.compiler import Compiler
-
     c = compiler(spark, sf_dir)
     c = Compiler(spark, c.programme, c.claims, flag_errors=True)
     b, v = c.value(value("value Parent(p, _)"), c.match(prop("Part(p, _, _, _, _, _)")))
@@ -145,6 +145,16 @@ computed("conditional_value", "Customer(c, _, _, balance, _)", {"v": "if(Order(_
 computed("min_max_abs", "Customer(c, _, _, b, _)", {"low": "min(b, 100)", "high": "max(-100, b)", "size": "abs(b)"}, ["c", money("low"), money("high"), money("size")], "SELECT c, CAST(least(balance, 100) AS DECIMAL(18,2)) low, CAST(greatest(-100, balance) AS DECIMAL(18,2)) high, CAST(abs(balance) AS DECIMAL(18,2)) size FROM cus")
 computed("round_half_away", "Customer(c, _, _, b, _)", {"tens": "round(b, 0.05)", "half": "round(b / 100, 0.01)"}, ["c", money("tens"), money("half")], "SELECT c, CAST(sign(balance) * floor(abs(balance) / 0.05 + 0.5) * 0.05 AS DECIMAL(18,2)) tens, CAST(sign(balance) * floor(abs(balance) + 0.5) / 100 AS DECIMAL(18,2)) half FROM cus")
 computed("decimal_mod", "Customer(c, _, _, b, _)", {"rest": "b % 7"}, ["c", money("rest")], "SELECT c, CAST(balance % 7 AS DECIMAL(18,2)) rest FROM cus")
+
+
+def wide_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of decimals as wide as a schema's own: exact, or flagged."""
+    programme = parse("program wide\npredicate W(o: Decimal, n: Decimal, a: Decimal, b: Decimal)\npredicate Out(o: Decimal, n: Decimal, a: Decimal, b: Decimal, p: Decimal)\nderived Out(o, n, a, b):\n    over W(o, n, a, b)\n    value p = a * b\n")
+    w = claims(spark, sf_dir)["Line"].select("o", "n", F.expr("cast(if(n = 3, price / 100, price) AS decimal(28,10))").alias("a"), F.expr("cast(if(n = 3, disc / 100000000, disc) AS decimal(28,10))").alias("b"))
+    return live(Compiler(spark, programme, {"W": w}), programme.derived["Out"]).selectExpr("o", "n", "cast(p AS decimal(28,12)) AS p", "_error AS error")
+
+
+add("decimal_exact_or_error", wide_products, "SELECT o, n, CASE WHEN n <> 3 THEN CAST(price * disc AS DECIMAL(28,12)) WHEN k % 100 = 0 THEN CAST(k // 100 AS DECIMAL(15,0)) * CAST('0.000000000001' AS DECIMAL(13,12)) END p, CASE WHEN n = 3 AND k % 100 <> 0 THEN 'decimal_inexact' END error FROM (SELECT *, CAST(price * disc * 10000 AS BIGINT) k FROM lin)")
 computed("safe_div", "Line(o, _, _, n, qty, price, _, _, _, _, _)", {"unit": "round(price / qty, 1)"}, ["o", "n", money("unit")], "SELECT o, n, CAST((2 * CAST(price * 100 AS BIGINT) + CAST(qty * 100 AS BIGINT)) // (2 * CAST(qty * 100 AS BIGINT)) AS DECIMAL(18,2)) unit FROM lin")
 computed("date_plus_span", "Order(o, _, _, _, on, _)", {"due": "on + span(P1M)", "back": "on - span(P1Y2D)"}, ["o", "due", "back"], "SELECT o, CAST(d + INTERVAL 1 MONTH AS DATE) due, CAST(d - INTERVAL 12 MONTH - INTERVAL 2 DAY AS DATE) back FROM ord")
 computed("date_diff_days", "Order(o, _, _, _, on, _) and Line(o, _, _, n, _, _, _, _, _, _, shipped)", {"gap": "shipped - on"}, ["o", "n", "cast(gap AS bigint) AS gap"], "SELECT ord.o, n, date_diff('day', d, shipped) gap FROM ord JOIN lin USING (o)")

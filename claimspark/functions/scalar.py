@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +90,8 @@ def canonical(kind: str, x: Column) -> Column:
     if kind == "Timestamp":
         return iso_instant(x)
     if kind == "Collection":
-        return F.concat(F.lit("["), F.array_join(x.cast("array<string>"), ", "), F.lit("]"))
+        quoted = F.transform(x.cast("array<string>"), lambda e: F.concat(F.lit('"'), F.regexp_replace(e, r'(["\\])', r"\\$1"), F.lit('"')))
+        return F.concat(F.lit("["), F.array_join(quoted, ", ", "null"), F.lit("]"))
     return x.cast("string")
 
 
@@ -113,3 +116,48 @@ def as_decimal(x: Column, precision: int = 28, scale: int = 10) -> Column:
     """To a narrower decimal, or an error if that would change the value."""
     narrow = x.cast(T.DecimalType(precision, scale))
     return F.when(narrow == x, narrow).otherwise(F.raise_error(F.lit("decimal_inexact")).cast(T.DecimalType(precision, scale)))
+
+
+#: Digits after the point of a product whose exact type is wider than 38 digits, and all its digits.
+PRODUCT_SCALE, PRODUCT_DIGITS = 12, 38
+
+
+def exact_product(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType) -> tuple[Column, Column | None]:
+    """The exact product, and a condition for rows where it has none.
+
+    Where the exact type fits 38 digits nothing can be lost. Elsewhere the factors are taken apart
+    into whole and broken parts, whose four products are exact, and the sum has ``PRODUCT_SCALE``
+    digits after the point; a value that this can't hold (one more digit there, or a part of
+    10^18 or a term of 10^24 before it) is inexact.
+    """
+    if of_x.precision + of_y.precision + 1 <= 38:
+        return x * y, None
+    unit = F.lit(1).cast("decimal(1,0)")
+    bad: list[Column] = []
+
+    def exactly(v: Column, digits: int, scale: int, own: T.DecimalType) -> Column:
+        # Compared in v's own type: a common one could be too wide, and rounded.
+        narrow = v.try_cast(T.DecimalType(digits, scale))
+        bad.append(v.isNotNull() & (narrow.isNull() | (narrow.cast(own) != v)))
+        return narrow
+
+    def parts(v: Column, of: T.DecimalType) -> tuple[Column, Column]:
+        broken = v % unit
+        return exactly((v - broken).cast("decimal(38,0)"), 18, 0, T.DecimalType(38, 0)), exactly(broken, 18, 18, T.DecimalType(of.scale + 1, of.scale))
+
+    (xh, xl), (yh, yl) = parts(x, of_x), parts(y, of_y)
+    products = ((xh * yh, 0), (xh * yl, 18), (xl * yh, 18), (xl * yl, 36))
+    terms = [exactly(v, PRODUCT_DIGITS - 2, PRODUCT_SCALE, T.DecimalType(37, at)) for v, at in products]
+    # Equal types: each sum is one digit wider, so the four fit 38 digits.
+    return (terms[0] + terms[1]) + (terms[2] + terms[3]), reduce(Column.__or__, bad)
+
+
+def exact_sum(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType) -> Column | None:
+    """A condition for rows where x + y or x - y loses digits; None if the types say that none does."""
+    scale = max(of_x.scale, of_y.scale)
+    over = max(of_x.precision - of_x.scale, of_y.precision - of_y.scale) + scale + 1 - 38
+    if over <= 0:
+        return None
+    kept = max(scale - over, min(scale, 6))
+    lossy = [v != v.cast(T.DecimalType(38, kept)) for v, of in ((x, of_x), (y, of_y)) if of.scale > kept]
+    return reduce(Column.__or__, lossy) if lossy else None

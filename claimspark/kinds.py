@@ -16,8 +16,8 @@ TYPES: dict[str, T.DataType] = {
 }
 ORDERED = {"Decimal", "Date", "Timestamp", "Duration"}
 #: Names of the errors that a value can have.
-EMPTY_EXTREMUM, VALUE_MISSING, VALUE_AMBIGUOUS, ZERO_DIVISOR, KIND_MISMATCH, UNIT_MISMATCH, BAD_STEP = (
-    "empty_extremum", "value_missing", "value_ambiguous", "division_by_zero", "kind_mismatch", "unit_mismatch", "round_step",
+EMPTY_EXTREMUM, VALUE_MISSING, VALUE_AMBIGUOUS, ZERO_DIVISOR, KIND_MISMATCH, UNIT_MISMATCH, BAD_STEP, DECIMAL_INEXACT = (
+    "empty_extremum", "value_missing", "value_ambiguous", "division_by_zero", "kind_mismatch", "unit_mismatch", "round_step", "decimal_inexact",
 )
 
 

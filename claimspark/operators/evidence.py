@@ -59,25 +59,114 @@ def above(hashes: list[str]) -> list[str]:
     return [hashlib.sha256(b"\x01" + bytes.fromhex(p[0]) + bytes.fromhex(p[1])).hexdigest() if len(p) == 2 else p[0] for p in pairs]
 
 
+Tree = tuple[list[DataFrame], list[list[str]]]
+
+
+def top_of(tree: Tree) -> str:
+    return tree[1][-1][0] if tree[1][-1] else EMPTY
+
+
 def root(bottom: DataFrame) -> str:
-    _, rest = levels(bottom)
-    return rest[-1][0] if rest[-1] else EMPTY
+    return top_of(levels(bottom))
+
+
+def nodes(tree: Tree, wanted: list[tuple[int, int]]) -> list[str | None]:
+    """The hashes at some (level, index), each level read once; None where there is no such node."""
+    made, rest = tree
+    found: dict[tuple[int, int], str] = {}
+    for depth in {level for level, _ in wanted}:
+        ask = sorted({at for level, at in wanted if level == depth})
+        if depth < len(made) - 1:
+            found |= {(depth, r.idx): r.hash for r in made[depth].where(F.col("idx").isin(ask)).collect()}
+        elif depth - len(made) + 1 < len(rest):
+            row = rest[depth - len(made) + 1]
+            found |= {(depth, at): row[at] for at in ask if at < len(row)}
+    return [found.get(w) for w in wanted]
 
 
-def inclusion(bottom: DataFrame, idx: int) -> list[tuple[str, str]]:
+def inclusion(tree: Tree, idx: int) -> list[tuple[str, str]]:
     """(side, hash) of the neighbours on the way up from a leaf."""
-    made, rest = levels(bottom)
-    out, at = [], idx
-    for level in made[:-1]:
-        found = {r.idx: r.hash for r in level.where(F.col("idx").isin(at, at ^ 1)).collect()}
-        if at ^ 1 in found:
-            out.append(("left" if at % 2 else "right", found[at ^ 1]))
-        at //= 2
-    for level in rest[:-1]:
-        if (at ^ 1) < len(level):
-            out.append(("left" if at % 2 else "right", level[at ^ 1]))
-        at //= 2
-    return out
+    depth = len(tree[0]) + len(tree[1]) - 2
+    ways = [(level, idx >> level) for level in range(depth)]
+    others = nodes(tree, [(level, at ^ 1) for level, at in ways])
+    return [("left" if at % 2 else "right", other) for (_, at), other in zip(ways, others, strict=True) if other is not None]
+
+
+def covering(begin: int, end: int) -> tuple[int, int]:
+    """The (level, index) of the node over leaves ``begin`` to ``end``, which a split of the tree made."""
+    level = (end - begin - 1).bit_length()
+    return level, begin >> level
+
+
+def consistency(tree: Tree, before: int, size: int) -> list[str]:
+    """What shows that the tree of the first ``before`` leaves grew into the one of all ``size``."""
+    if not 0 < before <= size:
+        raise ValueError("an earlier tree has at least one leaf, and no more than the later one")
+    begin, end, whole, out = 0, size, True, []
+    while before != end:
+        half = 1 << (end - begin - 1).bit_length() - 1
+        if before - begin <= half:
+            out.append(covering(begin + half, end))
+            end = begin + half
+        else:
+            out.append(covering(begin, begin + half))
+            begin, whole = begin + half, False
+    if not whole:
+        out.append(covering(begin, end))
+    return nodes(tree, out[::-1])
+
+
+def verify_consistency(before: int, size: int, old: str, new: str, proof: list[str]) -> bool:
+    """Whether a tree of ``size`` leaves with root ``new`` starts with the ``before`` leaves of root ``old``."""
+    if before == size:
+        return not proof and old == new
+    both = lambda a, b: hashlib.sha256(b"\x01" + a + b).digest()
+    path = [bytes.fromhex(p) for p in proof]
+    if before & (before - 1) == 0:
+        path.insert(0, bytes.fromhex(old))
+    if not path:
+        return False
+    at, last = before - 1, size - 1
+    while at & 1:
+        at, last = at >> 1, last >> 1
+    mine = theirs = path[0]
+    for other in path[1:]:
+        if not last:
+            return False
+        if at & 1 or at == last:
+            mine, theirs = both(other, mine), both(other, theirs)
+            while not at & 1 and at:
+                at, last = at >> 1, last >> 1
+        else:
+            theirs = both(theirs, other)
+        at, last = at >> 1, last >> 1
+    return mine.hex() == old and theirs.hex() == new and not last
+
+
+def frontier(tree: Tree, size: int) -> list[tuple[int, str]]:
+    """(level, hash) of the full subtrees that ``size`` leaves make, left to right: all that appending needs."""
+    wanted, begin = [], 0
+    for level in reversed(range(size.bit_length())):
+        if size >> level & 1:
+            wanted.append((level, begin >> level))
+            begin += 1 << level
+    return [(level, h) for (level, _), h in zip(wanted, nodes(tree, wanted), strict=True)]
+
+
+def grown(front: list[tuple[int, str]], leaf_hash: str) -> list[tuple[int, str]]:
+    """The frontier after one more leaf."""
+    level, at, out = 0, leaf_hash, list(front)
+    while out and out[-1][0] == level:
+        at = above([out.pop()[1], at])[0]
+        level += 1
+    return [*out, (level, at)]
+
+
+def root_of_frontier(front: list[tuple[int, str]]) -> str:
+    at = None
+    for _, h in reversed(front):
+        at = h if at is None else above([h, at])[0]
+    return at or EMPTY
 
 
 def verify(leaf_hash: str, proof: list[tuple[str, str]], root_hash: str) -> bool:

@@ -18,9 +18,10 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar
-from ..kinds import EMPTY_EXTREMUM, VALUE_AMBIGUOUS, VALUE_MISSING, ZERO_DIVISOR, KindError, kind_of_type, literal, measured, unit_of
+from ..kinds import DECIMAL_INEXACT, EMPTY_EXTREMUM, VALUE_AMBIGUOUS, VALUE_MISSING, ZERO_DIVISOR, KindError, kind_of_type, literal, measured, unit_of
 from ..lang import ir
 from ..lang.lower import branches, is_recursive
 from ..operators.recursion import least_fixpoint
@@ -362,7 +363,24 @@ class Compiler:
             months, days = e.right.value
             return b, Value(scalar.shift_date(left.column, sign * months, sign * days), "Date", left.error)
         b, right = self.value(e.right, b)
-        return b, arithmetic(e.op, left, right)
+        return b, self.exact(e.op, left, right, b) if e.op in "+-*" and left.kind == right.kind == "Decimal" else arithmetic(e.op, left, right)
+
+    def exact(self, op: str, left: Value, right: Value, b: Bindings) -> Value:
+        """Sum, difference or product of decimals: exact, or an error."""
+        plain = arithmetic(op, left, right)
+        rows = self.spark.range(1) if b.unit else b.df
+        types = [f.dataType for f in rows.select(left.column.alias("l"), right.column.alias("r")).schema]
+        if not any(isinstance(t, T.DecimalType) for t in types):
+            return plain  # whole numbers: exact, or Spark's own overflow error
+        of_left, of_right = map(as_decimal_type, types)
+        column = plain.column
+        if op == "*":
+            column, lossy = scalar.exact_product(left.column.cast(of_left), right.column.cast(of_right), of_left, of_right)
+        else:
+            lossy = scalar.exact_sum(left.column, right.column, of_left, of_right)
+        if lossy is None:
+            return plain
+        return Value(column, "Decimal", either(plain.error, F.when(lossy, F.lit(DECIMAL_INEXACT))), plain.unit)
 
     def value_builtin(self, e: ir.Builtin, b: Bindings) -> tuple[Bindings, Value]:
         if e.name in ("period_index", "period_start_of"):
@@ -560,6 +578,13 @@ def same_kind(a: Value, b: Value, where) -> None:
         raise KindError(f"{a.unit} and {b.unit} don't go together")
 
 
+def as_decimal_type(t: T.DataType) -> T.DecimalType:
+    """The decimal that Spark takes a number for in arithmetic with decimals."""
+    if isinstance(t, T.DecimalType):
+        return t
+    return T.DecimalType({"tinyint": 3, "smallint": 5, "int": 10, "bigint": 20}.get(t.simpleString(), 20), 0)
+
+
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     error, kinds = either(a.error, b.error), (a.kind, b.kind)
     x, y = a.column, b.column

@@ -1,13 +1,19 @@
 """Claims, the log and the outbox as Parquet tables in one folder.
 
-A commit is a folder of operations; it exists once the manifest names it. The manifest is replaced
-by a rename, and a writer that finds another commit than it started from must decide again, so
-there is one order of commits without locks. All paths go through Spark's file systems.
+A commit is a folder of operations; it exists once a manifest names it. A manifest is written aside,
+whole, and takes its name in one step that fails if another has it, so readers and crashes never
+see half of one; a writer that finds another commit than it started from must decide again, so
+there is one order of commits without locks. A manifest names its own commit; every ``WHOLE``-th one
+names all before it too, so that a commit costs the same however many there are.
+
+The one step is a hard link on a local disk and a rename without overwriting elsewhere, which HDFS
+does atomically; object stores without such a rename aren't supported for more than one writer.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +24,11 @@ from ..functions import scalar
 from ..kinds import DECIMAL, TYPES
 from ..lang import ir
 from ..operators import history
+from ..plans.compiler import Compiler
+from ..plans.derived import derived
+
+
+WHOLE = 100
 
 
 class Conflict(RuntimeError):
@@ -43,35 +54,59 @@ class Store:
     def head(self) -> dict:
         """The commits so far: {"version": n, "order": last position, "commits": [...]}."""
         names = [f.getPath().getName() for f in self.fs.listStatus(self.hadoop(self.path))] if self.fs.exists(self.hadoop(self.path)) else []
-        versions = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
-        if not versions:
+        last = max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
+        if not last:
             return {"version": 0, "order": 0, "commits": []}
-        rows = self.spark.read.text(f"{self.path}/manifest-{versions[-1]}.json").collect()
-        return json.loads("".join(r.value for r in rows))
+        first = max(1, last // WHOLE * WHOLE)
+        rows = self.spark.read.text([f"{self.path}/manifest-{v}.json" for v in range(first, last + 1)]).collect()
+        told = sorted((json.loads(r.value) for r in rows), key=lambda m: m["version"])
+        return {"version": last, "order": told[-1]["order"], "commits": [c for m in told for c in m["commits"]]}
+
+    def write_aside(self, text: str) -> str:
+        """A file of this text under a name that nothing reads."""
+        name = f"{self.path}/.new-{uuid.uuid4().hex}"
+        out = self.fs.create(self.hadoop(name), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return name
 
     def publish(self, head: dict) -> None:
-        """Name a commit. Creation without overwriting is what makes one of two writers fail."""
-        target = self.hadoop(f"{self.path}/manifest-{head['version']}.json")
+        """Name a commit: the last of ``head``'s. Of two writers of one version the later fails."""
+        version = head["version"]
+        told = {**head, "commits": head["commits"] if version % WHOLE == 0 else head["commits"][-1:]}
+        self.named(json.dumps(told), f"{self.path}/manifest-{version}.json")
+
+    def named(self, text: str, name: str) -> None:
+        """A whole file under a name that nothing had before."""
+        aside, target = self.hadoop(self.write_aside(text)), self.hadoop(name)
         try:
-            out = self.fs.create(target, False)
-        except Exception as e:  # the file system says that it is there
-            raise Conflict(f"version {head['version']} is taken") from e
-        out.write(bytearray(json.dumps(head).encode()))
-        out.close()
+            if self.fs.getScheme() == "file":
+                os.link(aside.toUri().getPath(), target.toUri().getPath())
+            else:
+                jvm = self.spark.sparkContext._jvm
+                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                files.rename(aside, target, never)
+        except Exception as e:
+            if not self.fs.exists(target):
+                raise
+            raise Conflict(f"{target.getName()} is taken") from e
+        finally:
+            self.fs.delete(aside, False)
 
     # --- reading
 
-    def log(self, predicate: str) -> DataFrame:
-        """All operations of a predicate, with ``ord``, ``op``, ``committed_at`` and ``transition``."""
+    def log(self, predicate: str, upto: int | None = None) -> DataFrame:
+        """All operations of a predicate, with ``ord``, ``op``, ``committed_at`` and ``transition``; commits beyond a position aren't opened."""
         columns = schema_of(self.programme.predicates[predicate])
-        parts = [f"{self.path}/{c['id']}/{predicate}" for c in self.head()["commits"] if predicate in c["predicates"]]
+        parts = [f"{self.path}/{c['id']}/{predicate}" for c in self.head()["commits"] if predicate in c["predicates"] and (upto is None or c["order"] <= upto)]
         schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("op", T.StringType()), T.StructField("committed_at", T.TimestampType()), T.StructField("transition", T.StringType()), *columns.fields])
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def claims(self, predicate: str, order: int | None = None, where: dict | None = None) -> DataFrame:
         """Current claims, or those at a position; ``where`` compares fields for equality."""
         p = self.programme.predicates[predicate]
-        log = self.log(predicate)
+        log = self.log(predicate, order)
         for name, value in (where or {}).items():
             if name not in p.names():
                 raise KeyError(f"{predicate} has no field {name}")
@@ -101,6 +136,35 @@ class Store:
         for name, df in self.state().items():
             df.createOrReplaceTempView(name)
 
+    def generation(self, name: str) -> dict | None:
+        """The newest generation of a derived claim's cache: {"generation": n, "order": position, "path": folder}."""
+        folder = self.hadoop(f"{self.path}/derived/{name}")
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        last = max((int(n[8:-5]) for n in names if n.startswith("current-") and n.endswith(".json")), default=0)
+        return json.loads(self.spark.read.text(f"{self.path}/derived/{name}/current-{last}.json").first().value) if last else None
+
+    def refresh(self, name: str) -> dict:
+        """Compute a derived claim from the current claims and make the result its newest generation.
+
+        Readers see the generation before until the new one is whole; of two refreshes at once the later fails.
+        """
+        head, before = self.head(), self.generation(name)
+        d = self.programme.derived[name]
+        answer = derived(Compiler(self.spark, self.programme, self.state(head["order"])), d)
+        number = (before["generation"] if before else 0) + 1
+        path = f"{self.path}/derived/{name}/{uuid.uuid4().hex}"
+        answer.write.parquet(path)
+        told = {"generation": number, "order": head["order"], "path": path}
+        self.named(json.dumps(told), f"{self.path}/derived/{name}/current-{number}.json")
+        return told
+
+    def cached(self, name: str) -> DataFrame:
+        """A derived claim as last refreshed; ``generation`` says at which position."""
+        told = self.generation(name)
+        if told is None:
+            raise KeyError(f"{name} was never refreshed")
+        return self.spark.read.parquet(told["path"])
+
     def catalogue(self) -> DataFrame:
         """Predicates, fields, kinds and disciplines."""
         rows = [(p.name, i, f.name, f.kind, f.unit, p.append_only) for p in self.programme.predicates.values() for i, f in enumerate(p.fields)]

@@ -1,6 +1,6 @@
 """The outbox: effects with a status, delivered at least once under leases.
 
-States: pending, in_progress, delivered, failed, and the same for compensation. All steps are set
+States: pending, in_progress, delivered, failed, compensation_done and compensation_failed. All steps are set
 operations on a frame of rows: intent_id, intent, idempotency_key, status, attempts, enqueued_at,
 next_attempt_at, lease_until.
 """
@@ -30,6 +30,26 @@ def claim_next(rows: DataFrame, now: Column, k: int = 1) -> DataFrame:
     return due(rows, now).orderBy("enqueued_at", "intent_id").limit(k)
 
 
+def take(rows: DataFrame, now: Column, k: int = 1, lease_seconds: int = 60) -> DataFrame:
+    """All rows after a worker has taken the ``k`` oldest due ones: those are in progress until their lease ends."""
+    mine = claim_next(rows, now, k).select("intent_id", F.lit(True).alias("__mine"))
+    out = rows.join(F.broadcast(mine) if k <= 10_000 else mine, "intent_id", "left")
+    until = F.timestamp_seconds(F.unix_seconds(now) + lease_seconds)
+    taken = F.col("__mine").isNotNull()
+    return out.withColumns({"status": F.when(taken, F.lit("in_progress")).otherwise(F.col("status")), "lease_until": F.when(taken, until).otherwise(F.col("lease_until"))}).select(*rows.columns)
+
+
+def compensated(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """Rows after acts that make up for failed effects: ``results`` has intent_id and ok.
+
+    A failed row becomes ``compensation_done`` or ``compensation_failed``; rows in other states,
+    and those without a result, stay as they are, so a result that comes twice changes nothing more.
+    """
+    r = rows.join(results.groupBy("intent_id").agg(F.min("ok").alias("__ok")), "intent_id", "left")
+    after = F.when(F.col("__ok"), "compensation_done").otherwise("compensation_failed")
+    return r.withColumn("status", F.when((F.col("status") == "failed") & F.col("__ok").isNotNull(), after).otherwise(F.col("status"))).select(*rows.columns)
+
+
 def settle(rows: DataFrame, results: DataFrame, now: Column, most: int, base_seconds: int = 2) -> DataFrame:
     """Rows after attempts: ``results`` has intent_id and ok (null: to be tried again).
 

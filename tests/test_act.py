@@ -241,7 +241,7 @@ def test_merkle_tree_and_proofs(spark, monkeypatch, n):
     assert evidence.root(bottom) == plain(hashes)
     if n:
         at = n // 2
-        proof = evidence.inclusion(bottom, at)
+        proof = evidence.inclusion(evidence.levels(bottom), at)
         assert evidence.verify(hashes[at], proof, plain(hashes)) and not evidence.verify("00" * 32, proof, plain(hashes))
 
 
@@ -254,3 +254,58 @@ def test_fixpoint_over_a_long_chain(spark):
     edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
     step = lambda fresh: fresh.alias("f").join(edges.alias("e"), F.expr("f.b = e.a")).selectExpr("f.a AS a", "e.b AS b")
     assert least_fixpoint(edges.where("a = 0"), step).count() == 40
+
+
+def test_consistency_proofs_and_frontiers_of_all_sizes():
+    hashes = [f"{k:064x}" for k in range(1, 24)]
+
+    def grown(leaves):
+        rest = [leaves]
+        while len(rest[-1]) > 1:
+            rest.append(evidence.above(rest[-1]))
+        return [None], rest
+
+    trees = {n: grown(hashes[:n]) for n in range(1, 24)}
+    front = []
+    for n, tree in trees.items():
+        new = evidence.top_of(tree)
+        front = evidence.grown(front, hashes[n - 1])
+        assert front == evidence.frontier(tree, n) and evidence.root_of_frontier(front) == new
+        for before in range(1, n + 1):
+            old, proof = evidence.top_of(trees[before]), evidence.consistency(tree, before, n)
+            assert evidence.verify_consistency(before, n, old, new, proof)
+            if before < n:
+                assert not evidence.verify_consistency(before, n, "0" * 64, new, proof)
+                assert not evidence.verify_consistency(before, n, old, "0" * 64, proof)
+                assert not evidence.verify_consistency(before, n, old, new, proof[:-1])
+
+
+def test_a_crash_before_the_manifest_has_its_name_changes_nothing(spark, tmp_path, monkeypatch):
+    keep = Store(spark, str(tmp_path / "store"), BANK)
+    rows = spark.createDataFrame([("x", "ann", Decimal(5), "ins")], DDL["Account"] + ", op string")
+    keep.commit({"Account": rows}, "2024-01-01T00:00:00Z", 0)
+
+    def crash(text, name):
+        keep.write_aside(text)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(keep, "named", crash)
+    with pytest.raises(RuntimeError):
+        keep.commit({"Account": rows}, "2024-01-02T00:00:00Z", 1)
+    monkeypatch.undo()
+    assert keep.head()["version"] == 1 and keep.claims("Account").count() == 1
+    with pytest.raises(Conflict):
+        keep.publish({"version": 1, "order": 9, "commits": [{"id": "z", "order": 9, "at": "", "predicates": []}]})
+    assert keep.head()["order"] == 1
+
+
+def test_manifests_name_all_commits_every_so_often(spark, tmp_path, monkeypatch):
+    from claimspark.sources import store
+
+    monkeypatch.setattr(store, "WHOLE", 3)
+    keep = Store(spark, str(tmp_path / "store"), BANK)
+    keep.fs.mkdirs(keep.hadoop(keep.path))
+    for version in range(1, 9):
+        head = keep.head()
+        keep.publish({"version": version, "order": version, "commits": [*head["commits"], {"id": str(version), "order": version, "at": "", "predicates": []}]})
+        assert [c["order"] for c in keep.head()["commits"]] == list(range(1, version + 1))

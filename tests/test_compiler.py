@@ -150,3 +150,14 @@ def test_case_local_plan_starts_from_the_cases(spark):
     change = {"Q": spark.createDataFrame([("s1", Decimal(2))], "a string, n decimal(10,2)")}
     plan = rules.checked(c, rule, change)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "CartesianProduct" not in plan
+
+
+def test_wide_decimals_are_exact_or_errors(spark):
+    programme = parse("program wide\npredicate W(a: Decimal, b: Decimal)\npredicate Out(a: Decimal, p: Decimal)\nderived Out(a):\n    over W(a, _)\n    value p = a * sum(b | W(a, b))\n")
+    rows = [("2.5", "1.25"), ("0.0000000003", "0.0000000003"), ("1000000", "0.000001"), ("900000000000000", "90000000000")]
+    df = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in rows], "a decimal(28,10), b decimal(28,10)")
+    c = Compiler(spark, programme, {"W": df})
+    got = {str(r.a.normalize()): (r.p, r._error) for r in live(c, programme.derived["Out"]).collect()}
+    assert got == {"2.5": (Decimal("3.125"), None), "3E-10": (None, "decimal_inexact"), "1E+6": (Decimal(1), None), "9E+14": (None, "decimal_inexact")}
+    with pytest.raises(Exception, match="decimal_inexact"):
+        derived(c, programme.derived["Out"]).collect()

@@ -1,5 +1,5 @@
 from datetime import date, timedelta
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +48,26 @@ def test_narrowing_is_exact_or_an_error(spark):
     assert df.select(scalar.as_decimal(F.col("x"), 10, 2)).first()[0] == Decimal("1.25")
     with pytest.raises(Exception, match="decimal_inexact"):
         df.select(scalar.as_decimal(F.col("x"), 10, 1)).collect()
+
+
+def test_products_are_exact_or_errors(spark):
+    values = [Decimal(x) for x in ("0", "1.5", "-0.0000000003", "0.000001", "-123456789012.25", "987654321.0000000001", "999999999999999999.9999999999", "-7", "1000000000000000000")]
+    wide = [v for v in values if abs(v) < 10**18]
+    df = spark.createDataFrame([(a, b) for a in wide for b in wide], "x decimal(28,10), y decimal(28,10)")
+    types = (df.schema["x"].dataType, df.schema["y"].dataType)
+    product, bad = scalar.exact_product(F.col("x"), F.col("y"), *types)
+    with localcontext(prec=80):
+        for r in df.select("x", "y", product.alias("p"), F.coalesce(bad, F.lit(False)).alias("bad")).collect():
+            exact = r.x * r.y
+            if not r.bad:
+                assert r.p == exact
+            else:
+                assert exact != round(exact, scalar.PRODUCT_SCALE) or abs(exact) > 10**22
+    narrow = spark.sql("SELECT CAST(1.25 AS decimal(10,2)) x, CAST(0.05 AS decimal(10,4)) y")
+    assert scalar.exact_product(F.col("x"), F.col("y"), *(f.dataType for f in narrow.schema))[1] is None
+
+
+def test_collections_with_commas_have_keys_of_their_own(spark):
+    df = spark.sql("SELECT array('a, b') AS x, array('a', 'b') AS y, array('a\", \"b') AS z")
+    keys = df.select(*(scalar.value_key("Collection", F.col(c)) for c in "xyz")).first()
+    assert len(set(keys)) == 3
