@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -65,3 +66,44 @@ def test_svm_separates_what_can_be_separated():
     y = np.where(x[:, 0] - x[:, 1] > 0, 1.0, -1.0)
     x[:, 0] += y
     assert ((x @ M.fit_svm(x, y) > 0) == (y > 0)).all()
+
+
+def plain_features(text):
+    """The n-gram counts one at a time."""
+    points, counts = [ord(c) for c in f" {text.lower()} "], {}
+    for order in range(1, M.ORDERS + 1):
+        for i in range(len(points) - order + 1):
+            gram = 0
+            for p in points[i : i + order]:
+                gram = (gram * 1_000_003) % 2**64 ^ p
+            slot = (gram + order - 1) * 0x9E3779B97F4A7C15 % 2**64 >> 51
+            counts[slot] = counts.get(slot, 0) + 1
+    damped = {k: math.log1p(n) for k, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in damped.values()))
+    return {**{k: v / norm for k, v in damped.items()}, M.DIMENSIONS: 1.0}
+
+
+def plain_vote(machines, x):
+    """The name with the best mean chance over its pairs, and that chance."""
+    names, won = machines.names, {name: [] for name in machines.names}
+    for (i, j), weights in zip(machines.pairs, machines.weights, strict=True):
+        chance = 1 / (1 + math.exp(-3 * sum(float(weights[k]) * v for k, v in x.items())))
+        won[names[i]].append(chance)
+        won[names[j]].append(1 - chance)
+    means = {name: sum(c) / len(c) if c else 1.0 for name, c in won.items()}
+    best = max(names, key=means.get)
+    return best, means[best]
+
+
+def test_decisions_are_those_of_a_plain_vote(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = M.train(docs)
+    got = {r.doc_id: r for r in M.identify(docs, model).collect()}
+    for r in docs.collect():
+        if not M.has_letter(r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        x = plain_features(r.text)
+        family, sure = plain_vote(model.top, x)
+        language, chance = plain_vote(model.within[model.top.names.index(family)], x)
+        assert got[r.doc_id].lang_pred == language and abs(got[r.doc_id].score - sure * chance) < 1e-4

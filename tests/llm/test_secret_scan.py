@@ -70,3 +70,28 @@ def test_query_against_brute_force(spark):
         base = brute(texts[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for k, _, _ in base) for i in range(3)]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{M.KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_query_spans_with_planted_secrets(spark, tmp_path):
+    """All spans of the query: the plain patterns' and each planted secret's, at its place."""
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    key = base64.b64encode(rsa()).decode()
+    secrets = [(3, f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"), (4, key), (4, rsa().hex()), (4, f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----")]
+    rows, planted = [], {}
+    for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()):
+        words, text, spans = (r.text or "").split(" "), "", []
+        for n, word in enumerate(words):
+            if n % 40 == 20 and i % 3:
+                kind, secret = secrets[(i + n // 40) % 4]
+                spans.append((kind, len(text), len(text) + len(secret)))
+                text += secret + " "
+            text += word + " "
+        rows.append((r.doc_id, text))
+        planted[r.doc_id] = (text, spans)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = M.op9_secret_scan(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and sum(r.n_confirmed for r in found) > 20
+    for r in found:
+        text, spans = planted[r.doc_id]
+        every = sorted(brute(text) + spans, key=lambda x: (x[1], x[0], x[2]))
+        assert r.spans == M.joined(every) and r.n_confirmed == len(spans)
