@@ -122,13 +122,14 @@ def as_decimal(x: Column, precision: int = 28, scale: int = 10) -> Column:
 PRODUCT_SCALE, PRODUCT_DIGITS = 12, 38
 
 
-def exact_product(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType) -> tuple[Column, Column | None]:
+def exact_product(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType, keep=lambda v: v) -> tuple[Column, Column | None]:
     """The exact product, and a condition for rows where it has none.
 
     Where the exact type fits 38 digits nothing can be lost. Elsewhere the factors are taken apart
     into whole and broken parts, whose four products are exact, and the sum has ``PRODUCT_SCALE``
     digits after the point; a value that this can't hold (one more digit there, or a part of
-    10^18 or a term of 10^24 before it) is inexact.
+    10^18 or a term of 10^24 before it) is inexact. ``keep`` may put a step into a column of its own,
+    so that it isn't computed again wherever it is used.
     """
     if of_x.precision + of_y.precision + 1 <= 38:
         return x * y, None
@@ -137,19 +138,20 @@ def exact_product(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType
 
     def exactly(v: Column, digits: int, scale: int, own: T.DecimalType) -> Column:
         # Compared in v's own type: a common one could be too wide, and rounded.
-        narrow = v.try_cast(T.DecimalType(digits, scale))
+        v = keep(v)
+        narrow = keep(v.try_cast(T.DecimalType(digits, scale)))
         bad.append(v.isNotNull() & (narrow.isNull() | (narrow.cast(own) != v)))
         return narrow
 
     def parts(v: Column, of: T.DecimalType) -> tuple[Column, Column]:
-        broken = v % unit
+        broken = keep(v % unit)
         return exactly((v - broken).cast("decimal(38,0)"), 18, 0, T.DecimalType(38, 0)), exactly(broken, 18, 18, T.DecimalType(of.scale + 1, of.scale))
 
     (xh, xl), (yh, yl) = parts(x, of_x), parts(y, of_y)
     products = ((xh * yh, 0), (xh * yl, 18), (xl * yh, 18), (xl * yl, 36))
     terms = [exactly(v, PRODUCT_DIGITS - 2, PRODUCT_SCALE, T.DecimalType(37, at)) for v, at in products]
     # Equal types: each sum is one digit wider, so the four fit 38 digits.
-    return (terms[0] + terms[1]) + (terms[2] + terms[3]), reduce(Column.__or__, bad)
+    return keep((terms[0] + terms[1]) + (terms[2] + terms[3])), keep(reduce(Column.__or__, bad))
 
 
 def exact_sum(x: Column, y: Column, of_x: T.DecimalType, of_y: T.DecimalType) -> Column | None:

@@ -363,24 +363,33 @@ class Compiler:
             months, days = e.right.value
             return b, Value(scalar.shift_date(left.column, sign * months, sign * days), "Date", left.error)
         b, right = self.value(e.right, b)
-        return b, self.exact(e.op, left, right, b) if e.op in "+-*" and left.kind == right.kind == "Decimal" else arithmetic(e.op, left, right)
+        return self.exact(e.op, left, right, b) if e.op in "+-*" and left.kind == right.kind == "Decimal" else (b, arithmetic(e.op, left, right))
 
-    def exact(self, op: str, left: Value, right: Value, b: Bindings) -> Value:
+    def exact(self, op: str, left: Value, right: Value, b: Bindings) -> tuple[Bindings, Value]:
         """Sum, difference or product of decimals: exact, or an error."""
+
+        def keep(v: Column) -> Column:
+            nonlocal b
+            if b.unit:
+                return v
+            hidden = self.name("x")
+            b = b.with_df(b.df.withColumn(hidden, v))
+            return F.col(hidden)
+
         plain = arithmetic(op, left, right)
         rows = self.spark.range(1) if b.unit else b.df
         types = [f.dataType for f in rows.select(left.column.alias("l"), right.column.alias("r")).schema]
         if not any(isinstance(t, T.DecimalType) for t in types):
-            return plain  # whole numbers: exact, or Spark's own overflow error
+            return b, plain  # whole numbers: exact, or Spark's own overflow error
         of_left, of_right = map(as_decimal_type, types)
         column = plain.column
         if op == "*":
-            column, lossy = scalar.exact_product(left.column.cast(of_left), right.column.cast(of_right), of_left, of_right)
+            column, lossy = scalar.exact_product(left.column.cast(of_left), right.column.cast(of_right), of_left, of_right, keep)
         else:
             lossy = scalar.exact_sum(left.column, right.column, of_left, of_right)
         if lossy is None:
-            return plain
-        return Value(column, "Decimal", either(plain.error, F.when(lossy, F.lit(DECIMAL_INEXACT))), plain.unit)
+            return b, plain
+        return b, Value(column, "Decimal", either(plain.error, F.when(lossy, F.lit(DECIMAL_INEXACT))), plain.unit)
 
     def value_builtin(self, e: ir.Builtin, b: Bindings) -> tuple[Bindings, Value]:
         if e.name in ("period_index", "period_start_of"):
