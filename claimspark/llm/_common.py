@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as every contract here means it: blank and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 OWN_FOLDERS: dict[str, str] = {}
+#: The folders written so far by the work that ``settled`` is doing, if it is doing any.
+BETWEEN: ContextVar[list[str] | None] = ContextVar("between", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +53,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (folders := BETWEEN.get()) is not None:
+        folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written by ``materialise``; the tables written on the way are deleted."""
+    token = BETWEEN.set(folders := [])
+    out = None
+    try:
+        out = materialise(make(), tag)
+    finally:
+        BETWEEN.reset(token)
+        for path in folders if out is None else folders[:-1]:
+            remove(spark, path)
+    return out
+
+
 def bucketed(df: DataFrame, column: str, count: int, tag: str) -> DataFrame:
     """Like ``materialise``, in ``count`` buckets by ``column``: grouping by it needs no shuffle."""
     spark = df.sparkSession
@@ -67,11 +85,14 @@ def bucketed(df: DataFrame, column: str, count: int, tag: str) -> DataFrame:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(spark, parent)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Sent:

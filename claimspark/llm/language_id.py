@@ -198,8 +198,14 @@ def identify(docs: DataFrame, model: Hierarchy | None, doc_id: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are in some language; those that are ``und`` go."""
-    predict = predictor(docs.sparkSession, train(docs, doc_id, text, lang))
+    """The rows of ``docs`` that are in some language; those that are ``und`` go.
+
+    If there is nothing to learn languages from, only texts without letters go.
+    """
+    model = train(docs, doc_id, text, lang)
+    if model is None:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    predict = predictor(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

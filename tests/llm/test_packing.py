@@ -98,3 +98,13 @@ def test_edges_and_several_groups(spark, monkeypatch, group):
     assert all(len(r.ids) == r.length for r in rows)
     assert used <= -(-sum(r.length for r in rows) // 16) + (2 if group > 10 else 4)
     assert M.pack(docs.limit(0)).count() == 0
+
+
+def test_null_ids_repeated_rows_and_a_very_long_text(spark):
+    long = "some words and more " * 30_000
+    docs = spark.createDataFrame([(None, "a b c"), (None, None), (1, "twice"), (1, "twice"), (2, long)], "doc_id long, text string")
+    rows = M.pack(docs).collect()
+    check(rows, {2: long}, 4096)
+    ids = lambda text: len(TOKENIZER.encode(text, add_special_tokens=False).ids) + 1
+    assert sorted(r.length for r in rows if r.doc_id is None) == sorted([ids("a b c"), 1])
+    assert [(r.piece, r.start, r.length) for r in rows if r.doc_id == 1] == [(0, 0, ids("twice"))] * 2

@@ -1,7 +1,11 @@
+import os
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
+from claimspark.llm import _common
 from test_mixing import plain_targets
 from test_packing import check
 from test_simhash import plain_components, plain_print
@@ -61,3 +65,53 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     # Sequences are gapless whatever is in them; documents taken once can be told by their id.
     check(rows, {r.doc_id: r.text for r in bodies if many[r.doc_id] == 1}, 4096)
     assert sum(r.piece == 0 for r in rows) == len(bodies)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i * i % 7919}" for i in range(70_000))
+ODD = [
+    (None, "a text without an id, in words of its own", None, None, None),
+    (None, "another text that has no id but says other things", "en", "a", 1),
+    (1, None, "en", "a", 0),
+    (2, "", None, None, 0),
+    (3, "12 34 . !", "en", "a", 9),
+    (4, LONG, "en", "b", len(LONG)),
+    (5, "one row that is there twice over", "en", "a", 3),
+    (5, "one row that is there twice over", "en", "a", 3),
+    (6, "one  row that is there\ttwice over", "en", None, 3),
+    (7, "ein Satz in einer anderen Sprache", "de", "c", 3),
+]
+
+
+def whole_run(spark, folder, rows, labels=()):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_run_on_nulls_repeated_rows_and_very_long_texts(spark, tmp_path, labelled):
+    rows = [r if labelled else (*r[:2], None, *r[3:]) for r in ODD]
+    made = whole_run(spark, tmp_path, rows)
+    # Without white space 5, 5 and 6 are equal; 6 is longer. Two texts without ids both stay.
+    kept = {4, 6, 7}
+    assert {r.doc_id for r in made} == {None, *kept}
+    words = Counter()
+    for doc_id, text, _, source, _ in ODD:
+        if doc_id is None or doc_id in kept:
+            words[source] += len(text.split())
+    goal = plain_targets(words)
+    # b holds nearly all words, so the others are taken three times over and b less often than once.
+    assert goal["a"] == 3 * words["a"] and goal[None] == 3 * words[None]
+    starts = Counter(r.doc_id for r in made if r.piece == 0)
+    assert starts[6] == 3 and starts[7] == 3 and starts[None] == 6 and starts[4] == 1
+    check(made, {}, 4096)
+
+
+def test_run_on_an_empty_table_and_what_it_leaves_behind(spark, tmp_path):
+    assert whole_run(spark, tmp_path / "none", []) == []
+    root = _common.shared_dir(spark)
+    before = set(os.listdir(root))
+    whole_run(spark, tmp_path / "some", ODD)
+    new = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
+    assert new == {"pipeline-mixing", "pack-pieces", "pack-placed"}

@@ -104,3 +104,8 @@ def test_each_component_keeps_one_row_though_ids_are_null_or_shared(spark, monke
     for group, doc_id in least.items():
         assert [k for k, t in kept if (k, t) in group] == [doc_id]
     assert {t for _, t in kept} >= {a, b, c, d}
+
+
+def test_very_long_texts_and_one_word():
+    for text in (" ".join(f"w{i * i % 7919}" for i in range(70_000)), "A" * 3_000_000, "\x0b \t"):
+        assert M.fingerprint(text.encode()) == plain_print(text)
