@@ -130,6 +130,15 @@ add("act_collection_loop", paid_lists, ", x AS (SELECT CAST(c * 2 + CASE WHEN st
 add("act_gate_order", lambda s, d: act.decide(desk(s, d), "audit", proposals(s, d), {"o": "Decimal", "amount": "Decimal"}).refused, PAY + " SELECT pid, 'require' kind, CASE WHEN amount > 100000 THEN 'zealous' ELSE 'aware' END AS rule FROM p WHERE amount > 100000 OR status <> 'O' UNION ALL SELECT -1 - k, 'require', 'aware' FROM range(3) g(k)")
 
 
+def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each statement of an audit made of each proposal."""
+    told = act.trace(desk(spark, sf_dir), "audit", proposals(spark, sf_dir), {"o": "Decimal", "amount": "Decimal"})
+    return told.withColumn("at", F.concat_ws("/", F.col("at").cast("array<string>"))).withColumn("what", F.coalesce("what", F.lit("")))
+
+
+add("act_trace", traced, PAY + ", q AS (SELECT pid, amount, status = 'O' AS is_open FROM p UNION ALL SELECT -1 - k, 5, false FROM range(3) g(k)) SELECT pid, '0' AS at, 'choose' AS statement, '' AS what, 1::BIGINT came, 1::BIGINT went_on FROM q UNION ALL SELECT pid, '0/0', 'require', 'zealous', 1, CASE WHEN amount <= 100000 THEN 1 ELSE 0 END FROM q WHERE amount > 0 UNION ALL SELECT pid, '1', 'require', 'aware', 1, CASE WHEN is_open THEN 1 ELSE 0 END FROM q WHERE amount <= 100000")
+
+
 def flagged_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binding in a loop whose collection has equal elements: each is a pass of its own."""
     asks = proposals(spark, sf_dir).select("pid", F.array("o", "o").alias("orders"), "actor", "decided_at")

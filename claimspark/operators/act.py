@@ -65,9 +65,18 @@ class Outcome:
 class Body:
     """Runs the statements of one transformation over the rows of ``proposals``."""
 
-    def __init__(self, c: Compiler, t: ir.Transformation):
+    def __init__(self, c: Compiler, t: ir.Transformation, traced: bool = False):
         self.c, self.t, self.staged = c, t, Staged()
         self.minted = self.here = 0
+        self.steps: list[DataFrame] | None = [] if traced else None
+
+    def fields(self, predicate: str) -> list:
+        """Names and types of a predicate's columns."""
+        return self.c.claims[predicate].schema.fields
+
+    def found(self, claim: ir.Claim, b: Bindings) -> Bindings:
+        """The claims that a pattern matches in the state before."""
+        return self.c.match(claim, b)
 
     def run(self, proposals: DataFrame, kinds: dict[str, str]) -> Staged:
         rows = proposals.withColumn(PATH, F.array().cast("array<long>"))
@@ -76,7 +85,10 @@ class Body:
 
     def block(self, body: tuple, b: Bindings) -> None:
         for self.here, s in enumerate(body):
+            here, before = self.here, b
             b = getattr(self, f"on_{type(s).__name__.lower()}")(s, b)
+            if self.steps is not None:
+                self.steps.append(step(here, s, before, b))
 
     def inside(self, b: Bindings, number: Column | None = None) -> Bindings:
         """The rows of a branch or, by the number of the pass, of a loop."""
@@ -117,8 +129,8 @@ class Body:
         return b.df.select(PID, *(c.cast(t).alias(n) if t is not None else c.alias(n) for c, n, t in zip(columns, names, types, strict=True)))
 
     def on_admit(self, s: ir.Admit, b: Bindings) -> Bindings:
-        have = self.c.claims[s.predicate]
-        self.staged.adds.setdefault(s.predicate, []).append(self.row(s.args, have.columns, [f.dataType for f in have.schema.fields], b))
+        have = self.fields(s.predicate)
+        self.staged.adds.setdefault(s.predicate, []).append(self.row(s.args, [f.name for f in have], [f.dataType for f in have], b))
         return b
 
     def on_emit(self, s: ir.Emit, b: Bindings) -> Bindings:
@@ -127,8 +139,8 @@ class Body:
         return b
 
     def on_retract(self, s: ir.Retract, b: Bindings) -> Bindings:
-        have = self.c.claims[s.claim.predicate]
-        fresh = [self.c.name("r") for _ in have.columns]
+        have = [f.name for f in self.fields(s.claim.predicate)]
+        fresh = [self.c.name("r") for _ in have]
         # The pattern's open places take names of their own, so that the whole claim is found.
         args = tuple(ir.Var(n) if isinstance(a, ir.Wild) or isinstance(a, ir.Var) and a.name not in b.kinds else a for a, n in zip(s.claim.args, fresh, strict=True))
         bound = b
@@ -137,8 +149,8 @@ class Body:
                 bound, v = self.c.value(a, bound)
                 bound = Bindings(bound.df.withColumn(fresh[i], self.c.checked(v)), {**bound.kinds, fresh[i]: measured(v.kind, v.unit)})
         final = tuple(a if isinstance(a, ir.Var) else ir.Var(n) for a, n in zip(args, fresh, strict=True))
-        found = self.c.match(ir.Claim(s.claim.predicate, final), bound)
-        self.staged.removes.setdefault(s.claim.predicate, []).append(found.df.select(PID, *(F.col(f"`{a.name}`").alias(n) for a, n in zip(final, have.columns, strict=True))))
+        found = self.found(ir.Claim(s.claim.predicate, final), bound)
+        self.staged.removes.setdefault(s.claim.predicate, []).append(found.df.select(PID, *(F.col(f"`{a.name}`").alias(n) for a, n in zip(final, have, strict=True))))
         return b
 
     def on_for(self, s: ir.For, b: Bindings) -> Bindings:
@@ -150,7 +162,7 @@ class Body:
         return outer
 
     def on_forclaim(self, s: ir.ForClaim, b: Bindings) -> Bindings:
-        found = self.c.match(s.claim, b)
+        found = self.found(s.claim, b)
         order = [F.col(f"`{n}`") for n in found.kinds if n not in b.kinds] or [F.lit(0)]
         number = F.row_number().over(Window.partitionBy(PID, PATH).orderBy(*order))
         self.block(s.body, self.inside(Bindings(found.df.withColumn("__pass", number), found.kinds), F.col("__pass")))
@@ -166,6 +178,30 @@ class Body:
         return b
 
 
+def step(here: int, s, before: Bindings, after: Bindings) -> DataFrame:
+    """A row for each proposal and pass that came to a statement: how many bindings came and went on."""
+    what = next((x for x in (getattr(s, n, None) for n in ("name", "predicate", "intent")) if x), None) or (s.claim.predicate if isinstance(s, ir.Retract | ir.ForClaim) else None)
+    counted = lambda b, n: b.df.groupBy(PID, PATH).agg(F.count("*").alias(n))
+    rows = counted(before, "came").join(counted(after, "went_on"), [PID, PATH], "left")
+    at = F.concat(PATH, F.array(F.lit(here).cast("long"))).alias("at")
+    return rows.select(PID, at, F.lit(type(s).__name__.lower()).alias("statement"), F.lit(what).alias("what"), "came", F.coalesce("went_on", F.lit(0)).cast("long").alias("went_on"))
+
+
+def trace(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """What each statement made of each proposal, up to the first that refuses it, without committing.
+
+    pid, at (the statement's place: its number, within a branch or loop after that one's number and
+    the pass), statement, what (its name, or the predicate or intent it is about), came and went_on
+    (bindings before and after). Rules are not statements.
+    """
+    body = Body(c, c.programme.transformations[name], traced=True)
+    staged = body.run(proposals, kinds)
+    none = c.spark.createDataFrame([], f"{PID} long, at array<long>, kind string, rule string")
+    first = union([none, *staged.refusals]).groupBy(F.col(PID).alias("__pid")).agg(F.min("at").alias("__stop"))
+    entries = union(body.steps) if body.steps else none.select(PID, "at", F.col("kind").alias("statement"), F.col("rule").alias("what"), F.lit(0).cast("long").alias("came"), F.lit(0).cast("long").alias("went_on"))
+    return entries.join(first, F.col(PID) == F.col("__pid"), "left").where(F.col("__stop").isNull() | (F.col("at") <= F.col("__stop"))).drop("__pid", "__stop")
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
