@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lang.parser import parse
 from ..operators import act, disciplines, evidence
+from ..operators import history as H
 from ..operators.recursion import shared_dir, written
 from ..plans.compiler import Compiler
 from ..sources import calendar, calls, store
@@ -139,6 +140,17 @@ def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("act_trace", traced, PAY + ", q AS (SELECT pid, amount, status = 'O' AS is_open FROM p UNION ALL SELECT -1 - k, 5, false FROM range(3) g(k)) SELECT pid, '0' AS at, 'choose' AS statement, '' AS what, 1::BIGINT came, 1::BIGINT went_on FROM q UNION ALL SELECT pid, '0/0', 'require', 'zealous', 1, CASE WHEN amount <= 100000 THEN 1 ELSE 0 END FROM q WHERE amount > 0 UNION ALL SELECT pid, '1', 'require', 'aware', 1, CASE WHEN is_open THEN 1 ELSE 0 END FROM q WHERE amount <= 100000")
 
 
+def used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of all payments, and of acts of a transformation that is no more."""
+    p = proposals(spark, sf_dir)
+    done = p.select("pid").join(outcome(spark, sf_dir).refused, "pid", "left").select(F.lit("pay").alias("transformation"), F.col("kind").isNull().alias("accepted"), "kind", "rule")
+    gone = spark.sql("SELECT 'refund' AS transformation, true AS accepted, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS rule FROM range(2)")
+    return H.usage(desk(spark, sf_dir), done.unionByName(gone))
+
+
+add("act_usage", used, PAY + " SELECT 'pay' AS transformation, why IS NULL accepted, why AS cause, count(*) acts, true in_programme FROM (SELECT why FROM w UNION ALL SELECT 'bind/known' FROM range(3)) GROUP BY why UNION ALL SELECT 'refund', true, NULL, 2, false UNION ALL SELECT unnest(['clear', 'pay_all', 'audit', 'flag_all']), NULL, NULL, 0, true")
+
+
 def flagged_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binding in a loop whose collection has equal elements: each is a pass of its own."""
     asks = proposals(spark, sf_dir).select("pid", F.array("o", "o").alias("orders"), "actor", "decided_at")

@@ -124,10 +124,29 @@ def rehearsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("rehearse_classes", lambda s, d: rehearsed(s, d).groupBy("verdict").agg(F.count("*").alias("n")), SPANS + ", a AS (SELECT event_id AS ord, user_id u, event_type = 'purchase' acc FROM events WHERE event_type IN ('purchase', 'click')), p AS (SELECT ord, acc, EXISTS (SELECT 1 FROM iv WHERE iv.u = a.u AND slot = 2 AND f < ord AND ord <= t) ok FROM a) SELECT CASE WHEN ok = acc THEN 'same' WHEN acc THEN 'would_reject' ELSE 'would_accept' END verdict, count(*) n FROM p GROUP BY 1")
 
 
-def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refused = spark.sql("SELECT explode(array('r_low', 'r_low')) AS rule")
-    tests = {"r_low": F.col("u") == 7, "r_high": F.col("u") == 149, "r_none": F.col("u") < 0}
-    return H.coverage(log(spark, sf_dir), CLAIM, tests, refused)
+#: Rules as history meets them; nothing follows from the last one.
+COVERED = """
+invariant r_low:
+    Held(7, slot) implies slot < 3
+invariant r_high:
+    Held(149, slot) implies slot < 3
+invariant r_none:
+    Held(u, slot) and u < 0 implies slot < 3
+invariant r_pair:
+    Held(u, 0) and Held(u, 2) and u > 120 implies u < 0
+invariant r_lacks:
+    Held(u, 0) and not Held(u, 1) and u < 9 implies u < 0
+invariant r_twice:
+    (Held(7, 0) implies 1 < 2) and (Held(149, 1) implies 1 < 2)
+invariant r_plain:
+    not Noted(5)
+"""
+
+
+def covered(spark: SparkSession, sf_dir: str, only: list[str]) -> DataFrame:
+    refused = spark.sql("SELECT explode(array('r_low', 'r_low', 'r_gone')) AS rule").where(F.col("rule").isin([*only, "r_gone"]))
+    c = Compiler(spark, parse(PROGRAMME + COVERED), {})
+    return H.coverage(c, {"Held": log(spark, sf_dir)}, refused, only)
 
 
 def fired(name: str, test: str, refused: int) -> str:
@@ -136,5 +155,16 @@ def fired(name: str, test: str, refused: int) -> str:
     return f"SELECT '{name}' rule, count(*) fired, min(ord) AS first, max(ord) AS last, CAST({refused} AS BIGINT) refused, {verdict} verdict FROM ({hits})"
 
 
-add("coverage_verdicts", covered, SPANS + " " + " UNION ALL ".join([fired("r_low", "iv.u = 7", 2), fired("r_high", "iv.u = 149", 0), fired("r_none", "iv.u < 0", 0)]))
+add("coverage_verdicts", lambda s, d: covered(s, d, ["r_low", "r_high", "r_none"]).where("in_programme").drop("in_programme"), SPANS + " " + " UNION ALL ".join([fired("r_low", "iv.u = 7", 2), fired("r_high", "iv.u = 149", 0), fired("r_none", "iv.u < 0", 0)]))
+PAIR = "EXISTS (SELECT 1 FROM iv a JOIN iv b ON a.u = b.u WHERE a.slot = 0 AND b.slot = 2 AND a.u > 120 AND a.f <= l.ord AND l.ord < a.t AND b.f <= l.ord AND l.ord < b.t)"
+LACKS = "EXISTS (SELECT 1 FROM iv a WHERE a.slot = 0 AND a.u < 9 AND a.f <= l.ord AND l.ord < a.t AND NOT EXISTS (SELECT 1 FROM iv b WHERE b.u = a.u AND b.slot = 1 AND b.f <= l.ord AND l.ord < b.t))"
+TWICE = "EXISTS (SELECT 1 FROM iv WHERE (u = 7 AND slot = 0 OR u = 149 AND slot = 1) AND f <= l.ord AND l.ord < iv.t)"
+add(
+    "coverage_rules",
+    lambda s, d: covered(s, d, ["r_none", "r_pair", "r_lacks", "r_twice", "r_plain"]),
+    SPANS
+    + " "
+    + " UNION ALL ".join(f"SELECT '{name}' rule, count(*) fired, min(ord) AS first, max(ord) AS last, 0::BIGINT refused, CASE WHEN count(*) > 0 THEN 'fired' ELSE 'never_fired' END verdict, true in_programme FROM log l WHERE op <> 'noop' AND {test}" for name, test in {"r_none": "ord < 0", "r_pair": PAIR, "r_lacks": LACKS, "r_twice": TWICE}.items())
+    + " UNION ALL SELECT 'r_plain', 0, NULL, NULL, 0, 'always_on', true UNION ALL SELECT 'r_gone', 0, NULL, NULL, 1, 'constrained', false",
+)
 add("running_total", lambda s, d: H.running_total(log(s, d).select("ord", "amount"), "ord", "amount", 700).selectExpr("ord", "cast(total AS decimal(18,2)) AS total"), " SELECT ord, CAST(sum(amount) OVER (ORDER BY ord) AS DECIMAL(18,2)) total FROM log")

@@ -7,6 +7,7 @@ by claim; validity intervals make each analysis a join instead of a replay.
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
 from functools import reduce
 from itertools import count
 
@@ -18,6 +19,7 @@ from ..kinds import literal
 from ..lang import ir
 from ..plans import rules
 from ..plans.compiler import Bindings, Compiler
+from .recursion import written
 
 FOREVER = (1 << 63) - 1
 
@@ -103,6 +105,8 @@ AT = "__at"
 def at_version(node, before: bool, fresh=None):
     """A proposition read at the version ``AT``: each pattern also asks that its claim held then."""
     fresh = fresh or count()
+    if isinstance(node, ir.Pre):
+        return at_version(node.inner, True, fresh)
     if isinstance(node, ir.Claim):
         start, end = ir.Var(f"__from{(n := next(fresh))}"), ir.Var(f"__to{n}")
         low, high = ("<", "<=") if before else ("<=", "<")
@@ -110,22 +114,21 @@ def at_version(node, before: bool, fresh=None):
     if isinstance(node, tuple):
         return tuple(at_version(x, before, fresh) for x in node)
     if hasattr(node, "__dataclass_fields__") and not isinstance(node, ir.Lit | ir.Var):
-        from dataclasses import fields, replace
-
         return replace(node, **{f.name: at_version(v, before, fresh) for f in fields(node) if isinstance(v := getattr(node, f.name), tuple) or hasattr(v, "__dataclass_fields__")})
     return node
 
 
 def versioned(c: Compiler, logs: dict[str, DataFrame]) -> Compiler:
     """A compiler over claims with their validity as two further columns."""
-    from dataclasses import replace
+    return over_spans(c, {name: intervals(log, c.programme.predicates[name].names()) for name, log in logs.items()})
+
 
-    claims, declared = {}, {}
-    for name, log in logs.items():
+def over_spans(c: Compiler, spans: dict[str, DataFrame]) -> Compiler:
+    declared = {}
+    for name in spans:
         p = c.programme.predicates[name]
-        claims[name] = intervals(log, p.names())
         declared[name] = replace(p, fields=(*p.fields, ir.Field("valid_from", "Decimal"), ir.Field("valid_to", "Decimal")))
-    return Compiler(c.spark, replace(c.programme, predicates={**c.programme.predicates, **declared}), claims)
+    return Compiler(c.spark, replace(c.programme, predicates={**c.programme.predicates, **declared}), spans)
 
 
 def evaluate(c: Compiler, rule: ir.Invariant, logs: dict[str, DataFrame]) -> DataFrame:
@@ -185,27 +188,116 @@ def rehearse(c: Compiler, gate, proposals: DataFrame, kinds: dict[str, str], log
     return decided.select("ord", verdict.alias("verdict"))
 
 
-def coverage(log: DataFrame, claim: list[str], antecedents: dict[str, Column], refused: DataFrame | None = None) -> DataFrame:
-    """For each rule, how many positions fired it, the first and the last, and its verdict.
+# --- coverage --------------------------------------------------------------------------------------
+
+
+def antecedents(node) -> list:
+    """What the implications of a rule's body speak of, where the body asserts them."""
+    if isinstance(node, ir.Implies):
+        return [node.left, *antecedents(node.right)]
+    if isinstance(node, ir.Forall):
+        return [node.source, *antecedents(node.body)]
+    return [x for item in node.items for x in antecedents(item)] if isinstance(node, ir.And) else []
+
+
+def spans_of(v: Compiler, prop) -> DataFrame | None:
+    """valid_from and valid_to of each match of claims and comparisons; None if the proposition says more."""
+    parts = prop.items if isinstance(prop, ir.And) else (prop,)
+    if not all(isinstance(x, ir.Claim | ir.Compare) for x in parts) or any(isinstance(x, ir.Sum | ir.Extremum | ir.Figure | ir.ValueOf) for x in ir.walk(prop)):
+        return None
+    claims = [x for x in parts if isinstance(x, ir.Claim)]
+    if not claims:
+        return None
+    ends = [(ir.Var(f"__from{i}"), ir.Var(f"__to{i}")) for i in range(len(claims))]
+    timed = iter(ir.Claim(x.predicate, (*x.args, *e)) for x, e in zip(claims, ends, strict=True))
+    df = v.match(ir.And(tuple(next(timed) if isinstance(x, ir.Claim) else x for x in parts))).df
+    begin, end = ([F.col(f"`{e[i].name}`") for e in ends] for i in (0, 1))
+    both = df.select((F.greatest(*begin) if len(ends) > 1 else begin[0]).alias("valid_from"), (F.least(*end) if len(ends) > 1 else end[0]).alias("valid_to"))
+    return both.where("valid_from < valid_to")
+
 
-    A position fires a rule if its operations touch the predicate that the rule speaks of and some
-    claim matches in the state after it. The number of matches at each position is a running total
-    of what begins and ends to match.
+def fired_at(lines: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(rule, ord) where the sum of ``step`` up to a position that is ``touched`` is above 0, by one shuffle.
+
+    Lines are (rule, ord, step, touched). They are dealt by rule and range of positions; only the
+    ranges' totals of a rule come together.
     """
-    held = intervals(log, claim)
-    touched = log.where("op <> 'noop'").select("ord").distinct()
-    made = []
-    for name, test in antecedents.items():
-        match = held.where(test)
-        steps = match.select(F.col("valid_from").alias("ord"), F.lit(1).alias("step")).unionByName(match.where(F.col("valid_to") < FOREVER).select(F.col("valid_to").alias("ord"), F.lit(-1).alias("step")))
-        line = touched.withColumn("step", F.lit(0)).unionByName(steps).groupBy("ord").agg(F.sum("step").alias("step"))
-        fired = running_total(line, "ord", "step").where("total > 0")
-        made.append(fired.agg(F.count("*").alias("fired"), F.min("ord").alias("first"), F.max("ord").alias("last")).withColumn("rule", F.lit(name)))
-    out = reduce(DataFrame.unionByName, made)
+    dealt = lines.withColumn("__range", F.floor(F.col("ord") / width)).repartition("rule", "__range")
+    line = dealt.groupBy("rule", "__range", "ord").agg(F.sum("step").alias("step"), F.max("touched").alias("touched"))
+    totals = line.groupBy("rule", "__range").agg(F.sum("step").alias("__sum"))
+    earlier = W.partitionBy("rule").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("rule", "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    within = F.sum("step").over(W.partitionBy("rule", "__range").orderBy("ord"))
+    return line.withColumn("__within", within).join(before, ["rule", "__range"]).where("touched AND __before + __within > 0").select("rule", "ord")
+
+
+def coverage(c: Compiler, logs: dict[str, DataFrame], refused: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+    """For each rule: rule, fired, first, last, refused, verdict, in_programme.
+
+    A position fires a rule if its operations touch a predicate that the antecedent of an
+    implication in it speaks of and that antecedent has a match, old or new, in the state after it;
+    an antecedent that looks back may be fired by any position. ``refused`` has a row (rule) for
+    each refusal; rules that only it names are told with ``in_programme`` false. The verdict is
+    ``constrained`` if the rule refused anything, else ``always_on`` if it has no implication, else
+    ``fired`` or ``never_fired``. Calls aren't looked into: an antecedent that is one is matched at
+    each touched position like all that is not a conjunction of claims and comparisons.
+    """
+    spans = {p: written(intervals(log, c.programme.predicates[p].names()), "spans") for p, log in logs.items()}
+    v = over_spans(c, spans)
+    touched = {p: log.where("op <> 'noop'").select("ord") for p, log in logs.items()}
+    lines: list[DataFrame] = []
+    matched: list[DataFrame] = []
+    listed: dict[str, bool] = {}
+    by_predicate: dict[str, list[str]] = {}
+    several = False
+    for rule in c.programme.invariants:
+        if only is not None and rule.name not in only:
+            continue
+        parts = antecedents(rule.body)
+        listed[rule.name] = not parts
+        several = several or len(parts) > 1
+        for i, left in enumerate(parts):
+            name = f"{i} {rule.name}"
+            reads = sorted(set(logs) if any(isinstance(x, ir.Pre) for x in ir.walk(left)) else ir.predicates(left) & set(logs))
+            held = spans_of(v, left)
+            if held is not None:
+                ends = F.array(*(F.struct(F.col(at).alias("ord"), F.lit(by).alias("step")) for at, by in (("valid_from", 1), ("valid_to", -1))))
+                lines.append(held.select(F.explode(ends).alias("end")).select(F.lit(name).alias("rule"), "end.ord", "end.step", F.lit(False).alias("touched")).where(F.col("ord") < FOREVER))
+                for p in reads:
+                    by_predicate.setdefault(p, []).append(name)
+            elif reads:
+                at = reduce(DataFrame.unionByName, (touched[p] for p in reads)).distinct().withColumnRenamed("ord", AT)
+                found = v.match(ir.Exists(at_version(left, False)), Bindings(at, {AT: "Decimal"}))
+                matched.append(found.df.select(F.lit(name).alias("rule"), F.col(AT).alias("ord")))
+    for p, names in by_predicate.items():
+        lines.append(touched[p].select(F.explode(F.array(*map(F.lit, names))).alias("rule"), "ord", F.lit(0).alias("step"), F.lit(True).alias("touched")))
+    if lines:
+        matched.append(fired_at(reduce(DataFrame.unionByName, lines)))
+    every = c.spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(x).alias("plain")) for n, x in listed.items()))).alias("r")).select("r.*") if listed else c.spark.sql("SELECT '' AS rule, true AS plain WHERE false")
+    counts = every.withColumns({"fired": F.lit(0).cast("long"), "first": F.lit(None).cast("long"), "last": F.lit(None).cast("long"), "refused": F.lit(0).cast("long")})
+    if matched:
+        fired = reduce(DataFrame.unionByName, matched).select(F.substring_index("rule", " ", -1).alias("rule"), "ord")
+        if several:  # a position counts once for a rule with several antecedents
+            fired = fired.distinct()
+        seen = fired.groupBy("rule").agg(F.count("*").alias("fired"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+        counts = counts.unionByName(seen, allowMissingColumns=True)
     if refused is not None:
-        out = out.join(refused.groupBy("rule").agg(F.count("*").alias("refused")), "rule", "left")
-    else:
-        out = out.withColumn("refused", F.lit(0))
-    refusals = F.coalesce("refused", F.lit(0))
-    verdict = F.when(refusals > 0, "constrained").when(F.col("fired") > 0, "fired").otherwise("never_fired")
-    return out.select("rule", "fired", "first", "last", refusals.cast("long").alias("refused"), verdict.alias("verdict"))
+        counts = counts.unionByName(refused.groupBy("rule").agg(F.count("*").alias("refused")), allowMissingColumns=True)
+    counts = counts.groupBy("rule").agg(F.max("plain").alias("plain"), F.sum("fired").alias("fired"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("refused").alias("refused"))
+    refusals, hits = (F.coalesce(n, F.lit(0)).cast("long") for n in ("refused", "fired"))
+    verdict = F.when(refusals > 0, "constrained").when(F.col("plain"), "always_on").when(hits > 0, "fired").otherwise("never_fired")
+    return counts.select("rule", hits.alias("fired"), "first", "last", refusals.alias("refused"), verdict.alias("verdict"), F.col("plain").isNotNull().alias("in_programme"))
+
+
+def usage(c: Compiler, acts: DataFrame) -> DataFrame:
+    """How often each transformation was accepted or refused, and of the refusals how many had which cause.
+
+    ``acts``: transformation, accepted, kind and rule (of refusals). A row for each transformation
+    and cause (null for the acts accepted), one with 0 acts for those that were never asked for;
+    names that the programme doesn't have are told with ``in_programme`` false.
+    """
+    cause = F.when(~F.col("accepted"), F.concat_ws("/", "kind", "rule")).alias("cause")
+    counts = acts.groupBy(F.col("transformation").alias("__t"), "accepted", cause).agg(F.count("*").alias("n"))
+    names = c.spark.createDataFrame([(t,) for t in c.programme.transformations], "transformation string")
+    both = names.join(counts, F.col("transformation") == F.col("__t"), "full")
+    return both.select(F.coalesce("transformation", "__t").alias("transformation"), "accepted", "cause", F.coalesce("n", F.lit(0)).cast("long").alias("acts"), F.col("transformation").isNotNull().alias("in_programme"))
