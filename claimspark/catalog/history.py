@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..lang import ir
 from ..lang.parser import Parser, parse
 from ..operators import history as H
+from ..operators.rehearsal import rehearse_acts
 from ..plans.compiler import Compiler
 
 QUERIES, SQL = {}, {}
@@ -124,6 +125,49 @@ def rehearsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("rehearse_classes", lambda s, d: rehearsed(s, d).groupBy("verdict").agg(F.count("*").alias("n")), SPANS + ", a AS (SELECT event_id AS ord, user_id u, event_type = 'purchase' acc FROM events WHERE event_type IN ('purchase', 'click')), p AS (SELECT ord, acc, EXISTS (SELECT 1 FROM iv WHERE iv.u = a.u AND slot = 2 AND f < ord AND ord <= t) ok FROM a) SELECT CASE WHEN ok = acc THEN 'same' WHEN acc THEN 'would_reject' ELSE 'would_accept' END verdict, count(*) n FROM p GROUP BY 1")
 
 
+#: A stricter way to take and give back slots, with a gate, a side effect and a rule that history lacks.
+STRICTER = """
+transformation take(who, slot, type):
+    if #error = type:
+        retract Held(who, slot)
+    else:
+        require room: not (Held(who, 0) and slot = 1)
+        admit Held(who, slot)
+        if type = #click and slot = 2:
+            admit Held(who, 0)
+
+invariant slot_1_needs_2:
+    Held(u, 1) implies Held(u, 2)
+"""
+
+
+def rehearsed_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event that changed the log, as the act it was, decided again in a stricter way; every 50th lacks its type."""
+    ops = log(spark, sf_dir)
+    told = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'view'")
+    kind = F.when(F.col("event_id") % 50 != 0, F.col("event_type")).alias("type")
+    acts = told.select(F.col("event_id").alias("ord"), F.lit("clerk").alias("actor"), F.col("ts").cast("timestamp").alias("decided_at"), F.col("user_id").alias("who"), (F.col("event_id") % 3).alias("slot"), kind, (F.col("event_id") % 10 != 3).alias("accepted"))
+    c = Compiler(spark, parse(PROGRAMME + STRICTER), {})
+    return rehearse_acts(c, "take", acts, {"who": "Decimal", "slot": "Decimal", "type": "Subject"}, {"Held": ops})
+
+
+def before(slot: str) -> str:
+    return f"EXISTS (SELECT 1 FROM iv WHERE iv.u = e.user_id AND iv.slot = {slot} AND f < e.event_id AND e.event_id <= t)"
+
+
+add(
+    "rehearse_acts",
+    rehearsed_acts,
+    SPANS
+    + f", a AS (SELECT event_id AS ord, event_id % 3 AS slot, event_type AS type, event_id % 10 <> 3 AS accepted, event_id % 50 <> 0 AS whole, {before('0')} a0, {before('1')} a1, {before('2')} a2 FROM events e WHERE event_type <> 'view')"
+    # What the candidate would do, and what the record says was done, unless a gate refuses.
+    ", b AS (SELECT *, CASE slot WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END mine, type <> 'error' AND slot = 1 AND a0 AS gate FROM a)"
+    ", d AS (SELECT *, CASE WHEN slot = 1 THEN type <> 'error' ELSE a1 END n1, CASE WHEN slot = 2 THEN type <> 'error' ELSE a2 END n2, mine = (type = 'error') AS changes FROM b)"
+    ", w AS (SELECT *, NOT gate AND changes AND slot IN (1, 2) AND n1 AND NOT n2 AS rule_breaks FROM d)"
+    " SELECT ord, CASE WHEN NOT whole THEN 'unreplayable' WHEN (gate OR rule_breaks) AND accepted THEN 'would_reject' WHEN gate OR rule_breaks THEN 'same' WHEN NOT accepted THEN 'would_accept' WHEN type = 'click' AND slot = 2 AND NOT a0 THEN 'different_delta' ELSE 'same' END verdict,"
+    " CASE WHEN whole AND gate THEN 'require' WHEN whole AND rule_breaks THEN 'invariant' END kind, CASE WHEN whole AND gate THEN 'room' WHEN whole AND rule_breaks THEN 'slot_1_needs_2' END AS rule FROM w",
+)
+
 #: Rules as history meets them; nothing follows from the last one.
 COVERED = """
 invariant r_low:
