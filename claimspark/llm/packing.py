@@ -21,10 +21,12 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain, compress
 from operator import add
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -124,13 +126,27 @@ class Encoder:
             yield b"".join(map(known.__getitem__, words))
 
 
+def encoder_of_worker(path: str | None) -> Encoder:
+    """The one encoder of a Python worker: the words it knows serve the worker's later tasks too.
+
+    It is kept in a module of its own, as this one may be sent along anew with each task. What it
+    knows stays within ``CACHED``, and ids don't depend on it.
+    """
+    worker = sys.modules.setdefault("claimspark_worker", ModuleType("claimspark_worker"))
+    kept = worker.__dict__.setdefault("encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, end: int = END, keep_ids: bool = False) -> DataFrame:
     """uid, doc_id, piece, start, length, ids_crc32 and, if asked for, ids of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, uid = Encoder(path), TaskContext.get().partitionId() << 40
+        encoder, uid = encoder_of_worker(path), TaskContext.get().partitionId() << 40
         close = end.to_bytes(4, "little")
         for batch in batches:
             rows = []
