@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from ..functions import scalar
 from ..kinds import DECIMAL_INEXACT, EMPTY_EXTREMUM, VALUE_AMBIGUOUS, VALUE_MISSING, ZERO_DIVISOR, KindError, kind_of_type, literal, measured, unit_of
 from ..lang import ir
-from ..lang.lower import branches, is_recursive
+from ..lang.lower import branches, in_force, is_recursive
+from ..operators.disciplines import versions_in_force
 from ..operators.recursion import least_fixpoint
 
 
@@ -175,6 +176,10 @@ class Compiler:
         return before.match(p.inner, b)
 
     def match_compare(self, p: ir.Compare, b: Bindings) -> Bindings:
+        b, test = self.compared(p, b)
+        return b.with_df(b.df.where(test))
+
+    def compared(self, p: ir.Compare, b: Bindings) -> tuple[Bindings, Column]:
         b, left = self.value(p.left, b)
         b, right = self.value(p.right, b)
         same_kind(left, right, p)
@@ -183,8 +188,7 @@ class Compiler:
         if p.op not in ("=", "!=") and left.kind in ("Subject", "Bool", "Collection"):
             raise KindError(f"{left.kind} has no order")
         x, y = self.checked(left), self.checked(right)
-        test = {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[p.op]
-        return b.with_df(b.df.where(test))
+        return b, {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[p.op]
 
     def match_in(self, p: ir.In, b: Bindings) -> Bindings:
         b, source = self.value(p.source, b)
@@ -202,6 +206,8 @@ class Compiler:
         d = self.programme.defines[p.name]
         if is_recursive(d):
             return self.recursive(d, p, b)
+        if (found := self.in_force(d, p, b)) is not None:
+            return found
         body = self.renamed(d)
         params = [self.param(d, i) for i in range(len(d.params))]
         if self.alone(body, params):
@@ -218,6 +224,35 @@ class Compiler:
         args = tuple(ir.Var(ground[i][0]) if i in ground else a for i, a in enumerate(p.args))
         return self.pattern(found.df.select(*params).distinct(), [found.kinds[n] for n in params], args, b)
 
+    def in_force(self, d: ir.Define, p: ir.Call, b: Bindings) -> Bindings | None:
+        """A call of a version in force whose keys and date are bound and whose other places are open.
+
+        By one shuffle of rows and versions by key; None for other calls.
+        """
+        of = next((q for q in self.programme.predicates.values() if q.effective and q.name in self.claims and d == in_force(q)), None)
+        if of is None or b.unit:
+            return None
+        claims, names, e = self.claims[of.name], of.names(), of.effective
+        asked, open_ = p.args[: len(e.keys) + 1], p.args[len(e.keys) + 1 :]
+        new = [a.name for a in open_ if isinstance(a, ir.Var)]
+        if len(claims.columns) != len(names) or any(not isinstance(a, ir.Var) or a.name not in b.kinds for a in asked) or any(not isinstance(a, ir.Var | ir.Wild) for a in open_) or any(n in b.kinds or n in self.constants for n in new) or len(set(new)) < len(new) or b.kinds[asked[-1].name] != "Date":
+            return None
+        column = {n: F.col(f"`{c}`") for n, c in zip(names, claims.columns, strict=True)}
+        kinds = dict(zip(names, self.kinds_of(of.name, claims), strict=True))
+        rest = [n for n in names if n not in e.keys and n != e.on]
+        keys, at, on, versions = [self.name("key") for _ in e.keys], self.name("at"), self.name("on"), self.name("versions")
+        if kinds[e.on] != "Date" or any(unit_of(kinds[k]) != unit_of(b.kinds[a.name]) for k, a in zip(e.keys, asked, strict=False)):
+            return None
+        whole = reduce(Column.__and__, (column[n].isNotNull() for n in (*e.keys, e.on)))
+        stand = F.collect_set(F.struct(*(column[n].alias(f"_{i}") for i, n in enumerate(rest)), F.lit(0).alias("_"))).alias(versions)
+        held = claims.where(whole).groupBy(*(column[k].alias(n) for k, n in zip(e.keys, keys, strict=True)), column[e.on].alias(on)).agg(stand)
+        rows = b.df.withColumns({n: F.col(f"`{a.name}`") for n, a in zip((*keys, at), asked, strict=True)}).where(reduce(Column.__and__, (F.col(n).isNotNull() for n in (*keys, at))))
+        one = self.name("version")
+        found = versions_in_force(rows, held, keys, at, on).withColumn(one, F.explode(versions))
+        bound = {a.name: kinds[n] for a, n in zip(open_, rest, strict=True) if isinstance(a, ir.Var)}
+        values = [F.col(f"{one}._{i}").alias(a.name) for i, a in enumerate(open_) if isinstance(a, ir.Var)]
+        return Bindings(found.select(*(F.col(f"`{n}`") for n in b.df.columns), *values), {**b.kinds, **bound})
+
     def ground(self, args: tuple, b: Bindings) -> tuple[Bindings, dict[int, tuple[str, str]]]:
         """Arguments that have a value in ``b``, each as a column of its own or a variable's."""
         out = {}
@@ -259,6 +294,16 @@ class Compiler:
             base = b.df if not b.unit else self.spark.range(1).select()
             found = base.withColumn("__one", F.lit(1)).join(some, F.col("__one") == F.col("__some"), how).drop("__one")
             return Bindings(found, b.kinds)
+        parts = body.items if isinstance(body, ir.And) else (body,)
+        if all(isinstance(x, ir.Compare) and all(isinstance(n, ir.Compare | ir.Var | ir.Lit | ir.Bin) for n in ir.walk(x)) for x in parts):
+            # Each row tells by itself; a null among what is compared makes the test fail, as in a join.
+            wide, tests = b, []
+            for x in parts:
+                wide, test = self.compared(x, wide)
+                tests.append(test)
+            holds = reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys)) & F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+            rows = wide.df.where(holds if how == "left_semi" else ~holds)
+            return b.with_df(rows.select(*(F.col(f"`{n}`") for n in b.df.columns)))
         inner = self.match(body) if self.alone(body, keys) else self.match(body, self.seeds(b, keys))
         hidden = {k: self.name("t") for k in keys}
         right = inner.df.select(*(F.col(f"`{k}`").alias(h) for k, h in hidden.items()))
