@@ -143,7 +143,7 @@ add("act_trace", traced, PAY + ", q AS (SELECT pid, amount, status = 'O' AS is_o
 def used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of all payments, and of acts of a transformation that is no more."""
     p = proposals(spark, sf_dir)
-    done = p.select("pid").join(outcome(spark, sf_dir).refused, "pid", "left").select(F.lit("pay").alias("transformation"), F.col("kind").isNull().alias("accepted"), "kind", "rule")
+    done = p.select("pid").join(outcome(spark, sf_dir).refused.hint("merge"), "pid", "left").select(F.lit("pay").alias("transformation"), F.col("kind").isNull().alias("accepted"), "kind", "rule")
     gone = spark.sql("SELECT 'refund' AS transformation, true AS accepted, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS rule FROM range(2)")
     return H.usage(desk(spark, sf_dir), done.unionByName(gone))
 

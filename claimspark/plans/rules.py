@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..kinds import literal
 from ..lang import ir
-from ..lang.lower import is_recursive
+from ..lang.lower import is_recursive, unique_rule
 from .compiler import Bindings, Compiler
 
 
@@ -163,6 +163,15 @@ def checked(c: Compiler, rule: ir.Invariant, delta: dict[str, DataFrame]) -> Dat
     return violations(c, rule, None if told == "unbounded" else told)
 
 
+def unique_keys(programme: ir.Programme, rule: ir.Invariant) -> tuple[str, list[int]] | None:
+    """The predicate and the places of the keys, if a rule is that these are unique."""
+    for p in programme.predicates.values():
+        for keys in (*p.unique, *([p.pointer] if p.pointer else []), *([(*p.effective.keys, p.effective.on)] if p.effective else [])):
+            if keys and set(keys) < set(p.names()) and rule.body == unique_rule(p, keys).body:
+                return p.name, [p.names().index(k) for k in keys]
+    return None
+
+
 def first_violation(found: DataFrame) -> DataFrame:
     """The least violation in the order of its columns: the witness."""
     return found.orderBy(*found.columns).limit(1)

@@ -28,7 +28,7 @@ def read_calls(spark: SparkSession, path: str, name: str, kinds: dict[str, str])
 
 def receipts(proposals: DataFrame, outcome: Outcome) -> DataFrame:
     """A row for each proposal: accepted, or by what it was refused."""
-    return proposals.select(PID).join(outcome.refused, PID, "left").select(PID, F.col("kind").isNull().alias("accepted"), "kind", "rule")
+    return proposals.select(PID).join(outcome.refused.hint("merge"), PID, "left").select(PID, F.col("kind").isNull().alias("accepted"), "kind", "rule")
 
 
 def misfits(stored: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
 
 from claimspark.lang.parser import parse, parse_prop
+from claimspark.operators import act
 from claimspark.plans.compiler import Compiler
 
 TERMS = parse("""
@@ -12,6 +14,16 @@ predicate Terms(c: Decimal, on: Date, total: Decimal)
     effective by (c) on (on) partial
 predicate Asked(k: Decimal, c: Decimal, day: Date)
 """)
+LISTS = parse("""
+program lists
+predicate A(o: Decimal)
+predicate Put(o: Decimal)
+
+transformation put(orders):
+    for o in orders:
+        require A(o)
+        admit Put(o)
+""")
 
 
 def test_versions_in_force_meet_rows_by_key_alone(spark):
@@ -21,3 +33,21 @@ def test_versions_in_force_meet_rows_by_key_alone(spark):
     found = c.bindings(parse_prop("Asked(k, c, day) and terms_in_force_on(c, day, total)", TERMS))
     assert sorted((r.k, str(r.total)) for r in found.collect()) == [(1, "5"), (2, "6"), (2, "6"), (2, "7"), (2, "7"), (3, "None")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_that_are_gathered_in_another_order_each_time(spark):
+    import os
+
+    order = F.udf(lambda n: [int(x) for x in sorted(range(n), key=lambda _: os.urandom(4))], "array<long>").asNondeterministic()
+    asks = spark.range(4).select(F.col("id").alias("pid"), order(F.lit(12).cast("int")).alias("orders"), F.lit("c").alias("actor"), F.to_timestamp(F.lit("2024-01-01")).alias("decided_at"))
+    c = Compiler(spark, LISTS, {"A": spark.range(12).select(F.col("id").alias("o")), "Put": spark.createDataFrame([], "o long")})
+    out = act.stage(c, "put", act.written(asks, "asked"), {"orders": "Collection"})
+    assert out[0].count() == 0
+    assert act.decide(c, "put", asks.where("pid = 0"), {"orders": "Collection"}).refused.count() == 0
+
+
+def test_no_frame_of_proposals_is_sent_whole_to_every_node(spark):
+    from claimspark.catalog import actions
+
+    out = actions.outcome(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in out.intents["Receipt"]._jdf.queryExecution().executedPlan().toString()
