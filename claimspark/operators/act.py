@@ -400,7 +400,7 @@ def judge(c: Compiler, gated: DataFrame, changes: dict[str, tuple[DataFrame, Dat
         told = rules.impact(c.programme, rule)
         owners = charged(c, rule, told, found, delta)
         breaches.append(owners.select(PID, F.lit("invariant").alias("kind"), F.lit(rule.name).alias("rule")))
-    order = F.create_map(*(x for i, r in enumerate(c.programme.invariants) for x in (F.lit(r.name), F.lit(i)))) if c.programme.invariants else F.lit(None)
+    order = F.create_map(*(x for i, r in enumerate(c.programme.invariants) for x in (F.lit(r.name), F.lit(i)))) if c.programme.invariants else F.lit(None).cast("map<string,int>")
     broken = union(breaches).distinct()
     broken = broken.withColumn("place", order[F.col("rule")]).groupBy(PID).agg(F.min_by(F.struct("kind", "rule"), "place").alias("why")).select(PID, "why.kind", "why.rule")
     broken = written(broken, "broken")
