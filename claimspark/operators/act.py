@@ -58,6 +58,8 @@ class Staged:
     #: How many gates the rows of each frame have passed, by the frame's id, and how many there are.
     passed: dict[int, int] = field(default_factory=dict)
     gates: int = 0
+    #: Whether no proposal is in two of the refusals.
+    once: bool = True
 
     def accepted(self, rows: DataFrame, gated: DataFrame) -> DataFrame:
         """Rows of proposals that no gate refuses; those behind all gates are."""
@@ -77,12 +79,14 @@ class Outcome:
 class Body:
     """Runs the statements of one transformation over the rows of ``proposals``."""
 
-    def __init__(self, c: Compiler, t: ir.Transformation, traced: bool = False):
+    def __init__(self, c: Compiler, t: ir.Transformation, traced: bool = False, single: bool = False):
         self.c, self.t, self.staged = c, t, Staged()
         self.minted = self.here = 0
         #: Gates so far; those that all rows here have passed, once each proposal is known to be one row.
         self.gates = self.passed = 0
-        self.single = self.looping = False
+        self.single, self.looping = single, False
+        #: Numbers of the branches that all rows here are in.
+        self.place: tuple[int, ...] = ()
         self.steps: list[DataFrame] | None = [] if traced else None
 
     def fields(self, predicate: str) -> list:
@@ -113,10 +117,10 @@ class Body:
 
     def nested(self, body: tuple, b: Bindings, looping: bool = False) -> None:
         """The block of a branch or loop: its gates say nothing of the rows that go on after it."""
-        before = self.passed, self.single, self.looping
-        self.looping = self.looping or looping
+        before = self.passed, self.single, self.looping, self.place
+        self.looping, self.place = self.looping or looping, (*self.place, self.here)
         self.block(body, b)
-        self.passed, self.single, self.looping = before
+        self.passed, self.single, self.looping, self.place = before
 
     def gate(self) -> None:
         self.gates += 1
@@ -128,6 +132,8 @@ class Body:
 
     def refuse(self, kind: str, name: str, rows: DataFrame) -> None:
         at = F.concat(PATH, F.array(F.lit(self.here).cast("long")))
+        # Outside of branches and loops, one row for each proposal ends at its first refusal.
+        self.staged.once = self.staged.once and self.single and not self.place
         self.staged.refusals.append(rows.select(PID, at.alias("at"), F.lit(kind).alias("kind"), F.lit(name).alias("rule")))
 
     def on_require(self, s: ir.Require, b: Bindings) -> Bindings:
@@ -138,6 +144,8 @@ class Body:
         return kept
 
     def on_bind(self, s: ir.Bind, b: Bindings) -> Bindings:
+        if self.single and not self.looping and isinstance(s.prop, ir.Claim) and (counted := self.c.counted(s.prop, b, "__n")) is not None:
+            return self.bound(s, counted)
         found = self.c.match(s.prop, b)
         # All statements below start from here: written once, not joined again for each of them.
         found = replace(found, df=written(found.df.select(*(F.col(f"`{n}`") for n in found.kinds)), "bound"))
@@ -147,6 +155,7 @@ class Body:
         if one := odd.where("n > 1").isEmpty():
             self.single = self.single or not self.looping
         else:
+            self.single = False
             several = found.df.groupBy(*(f"`{n}`" for n in b.kinds)).count().where("count > 1")
             self.refuse("error", f"{s.name or 'bind'} is ambiguous", several)
         if one:
@@ -155,6 +164,18 @@ class Body:
             self.gates += 1
         return found
 
+    def bound(self, s: ir.Bind, counted: Bindings) -> Bindings:
+        """Of proposals that are one row each: those with one claim go on, the others are refused here."""
+        flat = [n for n in counted.kinds if n != PATH]
+        rows = written(counted.df.select(*(F.col(f"`{n}`") for n in flat), "__n"), "bound")
+        # All rows are in the same place, which needn't be written.
+        rows = rows.withColumn(PATH, F.array(*(F.lit(i).cast("long") for i in self.place)).cast("array<long>"))
+        name = s.name or "bind"
+        self.refuse("bind", name, rows.where("__n = 0"))
+        self.refuse("error", f"{name} is ambiguous", rows.where("__n > 1").select(PID, PATH).distinct())
+        self.gate()
+        return Bindings(rows.where("__n = 1").drop("__n"), counted.kinds)
+
     def on_let(self, s: ir.Let, b: Bindings) -> Bindings:
         if isinstance(s.value, ir.New):
             self.minted += 1
@@ -250,13 +271,17 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def stage(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]], dict[str, DataFrame]]:
-    """Refusals by gates; of the rest by predicate the claims to add and to remove; intents."""
-    staged = Body(c, c.programme.transformations[name]).run(proposals, kinds)
+def stage(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str], single: bool = False) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]], dict[str, DataFrame]]:
+    """Refusals by gates; of the rest by predicate the claims to add and to remove; intents.
+
+    ``single``: whether each proposal is known to be one row.
+    """
+    staged = Body(c, c.programme.transformations[name], single=single).run(proposals, kinds)
     none = c.spark.createDataFrame([], f"{PID} long, at array<long>, kind string, rule string")
     first = F.min_by(F.struct("kind", "rule"), "at").alias("why")
+    refused = union([none, *staged.refusals])
     # What is staged is read many times below: written once, it is also cheap to recover.
-    gated = written(union([none, *staged.refusals]).groupBy(PID).agg(first).select(PID, "why.kind", "why.rule"), "gated")
+    gated = written(refused.drop("at") if staged.once else refused.groupBy(PID).agg(first).select(PID, "why.kind", "why.rule"), "gated")
     changes = {}
     for p in sorted({*staged.adds, *staged.removes}):
         empty = c.claims[p].limit(0).select(F.lit(0).cast("long").alias(PID), *c.claims[p].columns)
@@ -276,8 +301,9 @@ def decide(c: Compiler, name: str, proposals: DataFrame, kinds: dict[str, str])
     removing = {s.claim.predicate for s in ir.walk(c.programme.transformations[name].body) if isinstance(s, ir.Retract)}
     # Read by each statement: the same rows each time, with lists in the same order.
     outcomes, todo = [], written(proposals, "asked")
+    single = todo.groupBy(PID).agg(F.count("*").alias("n")).where(f"n > 1 OR {PID} IS NULL").isEmpty()
     while True:
-        gated, changes, intents = stage(c, name, todo, kinds)
+        gated, changes, intents = stage(c, name, todo, kinds, single)
         first = first_dependent(c, name, todo, changes)
         if first is not None:
             now = F.col(PID) < first
@@ -373,64 +399,98 @@ def read_by(programme: ir.Programme, name: str, seen: set[str]) -> set[str]:
 
 def judge(c: Compiler, gated: DataFrame, changes: dict[str, tuple[DataFrame, DataFrame]], intents: dict[str, DataFrame], removing: set[str]) -> Outcome:
     """Check the rules for proposals of which none depends on another."""
-    none = c.spark.createDataFrame([], f"{PID} long, kind string, rule string")
+    none = c.spark.createDataFrame([], f"{PID} long, place int")
+    ruled = {o.predicate for rule in c.programme.invariants for o in rules.impact(c.programme, rule).occurrences}
     delta: dict[str, DataFrame] = {}
     plain: dict[str, DataFrame] = {}
     after = dict(c.claims)
     for p, (adds, removes) in changes.items():
         pre = c.claims[p]
         columns = pre.columns
-        full = reduce(Column.__and__, (F.col(f"`{n}`").isNotNull() for n in columns))
-        # The effective delta with its owners: a claim that stands is not added, one asserted too not removed.
-        added = adds.where(full).join(pre.hint("merge"), columns, "left_anti").select(PID, *columns).distinct()
-        removed = removes.where(full).join(pre.hint("merge"), columns, "left_semi").join(adds.select(*columns).hint("merge"), columns, "left_anti").select(PID, *columns).distinct()
-        delta[p] = written(added.withColumn("op", F.lit("ins")).unionByName(removed.withColumn("op", F.lit("del"))), "delta")
+        delta[p] = effective(pre, adds, removes)
+        if p in ruled:  # read by each rule
+            delta[p] = written(delta[p], "delta")
         plain[p] = delta[p].drop(PID).distinct()
         after[p] = candidate(pre, adds.select(*columns), removes.select(*columns))
     checker = Compiler(c.spark, c.programme, after, c.claims, constants=c.constants)
     breaches = [none]
-    for rule in c.programme.invariants:
+    for place, rule in enumerate(c.programme.invariants):
         if (one := rules.unique_keys(c.programme, rule)) and one[0] in delta:
             p, keys = one[0], [c.claims[one[0]].columns[i] for i in one[1]]
-            breaches.append(clashing(keys, kept(c.claims[p], changes[p][1]).unionByName(changes[p][0].drop(PID)), delta[p]).select(PID, F.lit("invariant").alias("kind"), F.lit(rule.name).alias("rule")))
+            # Claims added that the delta hasn't are in the state before or hold a null.
+            void = reduce(Column.__or__, (F.col(f"`{n}`").isNull() for n in c.claims[p].columns))
+            others = kept(c.claims[p], changes[p][1]).unionByName(changes[p][0].drop(PID).where(void))
+            breaches.append(clashing(keys, others, delta[p]).select(PID, F.lit(place).alias("place")))
+            continue
+        if (alone := rules.local(c.programme, rule, c.constants)) and alone[0].predicate in delta:
+            breaches.append(breaking(c, *alone, delta[alone[0].predicate]).select(PID, F.lit(place).alias("place")))
             continue
         found = rules.checked(checker, rule, {p: d.drop("op") for p, d in plain.items()})
         if found is None:
             continue
         told = rules.impact(c.programme, rule)
         owners = charged(c, rule, told, found, delta)
-        breaches.append(owners.select(PID, F.lit("invariant").alias("kind"), F.lit(rule.name).alias("rule")))
-    order = F.create_map(*(x for i, r in enumerate(c.programme.invariants) for x in (F.lit(r.name), F.lit(i)))) if c.programme.invariants else F.lit(None).cast("map<string,int>")
-    broken = union(breaches).distinct()
-    broken = broken.withColumn("place", order[F.col("rule")]).groupBy(PID).agg(F.min_by(F.struct("kind", "rule"), "place").alias("why")).select(PID, "why.kind", "why.rule")
-    broken = written(broken, "broken")
+        breaches.append(owners.select(PID, F.lit(place).alias("place")))
+    named = F.array(*(F.lit(rule.name) for rule in c.programme.invariants)).cast("array<string>")
+    broken = union(breaches).groupBy(PID).agg(F.min("place").alias("place"))
+    broken = written(broken.select(PID, F.lit("invariant").alias("kind"), F.get(named, F.col("place")).alias("rule")), "broken")
     # What gates refuse is staged nowhere.
     fine = {p: without(d, broken) for p, d in delta.items()}
     final = dict(c.claims)
     for p, d in fine.items():
         columns = c.claims[p].columns
         gone = d.where("op = 'del'") if p in removing else c.claims[p].limit(0)
-        final[p] = candidate(c.claims[p], d.where("op = 'ins'").select(*columns), gone.select(*columns))
+        # The delta's claims are distinct, and none of them stands.
+        final[p] = kept(c.claims[p], gone).distinct().unionByName(d.where("op = 'ins'").select(*columns))
     return Outcome(gated.unionByName(broken), fine, {i: without(f, broken) for i, f in intents.items()}, final)
 
 
+def effective(pre: DataFrame, adds: DataFrame, removes: DataFrame) -> DataFrame:
+    """What changes and whose it is, by one shuffle: a claim that stands is not added, one asserted too not removed.
+
+    None of the proposals depends on another, so no two of them have the same claim.
+    """
+    columns = [F.col(f"`{n}`") for n in pre.columns]
+    full = reduce(Column.__and__, (c.isNotNull() for c in columns))
+    part = lambda df, pid, what: df.where(full).select(*columns, pid.alias(PID), F.lit(what).alias("__what"))
+    rows = union([part(adds, F.col(PID), 0), part(pre, F.lit(None).cast(adds.schema[PID].dataType), 1), part(removes, F.col(PID), 2)])
+    told = [F.max(F.col("__what") == i).alias(f"__{i}") for i in range(3)]
+    met = rows.groupBy(*columns).agg(F.min(PID).alias(PID), *told).where("__0 AND NOT __1 OR __2 AND __1 AND NOT __0")
+    return met.select(PID, *columns, F.when(F.col("__0"), "ins").otherwise("del").alias("op"))
+
+
+def breaking(c: Compiler, claim: ir.Claim, asked, delta: DataFrame) -> DataFrame:
+    """Proposals that add a claim which by itself breaks a rule."""
+    columns = delta.columns[1:-1]
+    kinds = c.kinds_of(claim.predicate, c.claims[claim.predicate])
+    added = delta.where("op = 'ins'")
+    for n, a in zip(columns, claim.args, strict=True):
+        if isinstance(a, ir.Lit):
+            added = added.where(F.col(f"`{n}`") == literal(a.kind, a.value))
+    names = {a.name: (n, k) for a, n, k in zip(claim.args, columns, kinds, strict=True) if isinstance(a, ir.Var)}
+    b = Bindings(added.select(F.col(PID).alias("__owner"), *(F.col(f"`{n}`").alias(v) for v, (n, _) in names.items())), {v: k for v, (_, k) in names.items()})
+    return rules.broken(c, b, asked).df.select(F.col("__owner").alias(PID))
+
+
 def kept(pre: DataFrame, removes: DataFrame) -> DataFrame:
     return pre.join(removes.select(*pre.columns).hint("merge"), pre.columns, "left_anti")
 
 
-def clashing(keys: list[str], after: DataFrame, delta: DataFrame) -> DataFrame:
+def clashing(keys: list[str], others: DataFrame, delta: DataFrame) -> DataFrame:
     """Proposals that add a claim under keys that other claims have in the state after, by one shuffle.
 
     None depends on another, so no two of them touch the same keys.
     """
-    names = after.columns
+    names = others.columns
     rest = [F.col(f"`{n}`") for n in names if n not in keys]
-    value = [*(F.col(f"`{k}`") for k in keys), F.struct(*rest).alias("__rest"), reduce(Column.__or__, (x.isNull() for x in rest)).alias("__void")]
+    value = [*(F.col(f"`{k}`") for k in keys), *(x.alias(f"__{i}") for i, x in enumerate(rest)), reduce(Column.__or__, (x.isNull() for x in rest)).alias("__void")]
     none = F.lit(None).cast(delta.schema[PID].dataType).alias(PID)
-    rows = after.select(*value, none, F.lit(False).alias("__new")).unionByName(delta.where("op = 'ins'").select(*value, PID, F.lit(True).alias("__new")))
-    low, high = F.min("__rest").alias("low"), F.max("__rest").alias("high")
-    met = rows.where(reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys))).groupBy(*(f"`{k}`" for k in keys)).agg(low, high, F.max("__void").alias("__void"), F.max(PID).alias("__pid"), F.max("__new").alias("__new"))
-    return met.where("__new AND (low <> high OR __void)").select(F.col("__pid").alias(PID))
+    rows = others.select(*value, none, F.lit(False).alias("__new")).unionByName(delta.where("op = 'ins'").select(*value, PID, F.lit(True).alias("__new")))
+    # Column by column: numbers are aggregated by hashing, whole rows would be sorted.
+    ends = [f(f"__{i}").alias(f"{n}{i}") for i in range(len(rest)) for f, n in ((F.min, "low"), (F.max, "high"))]
+    unlike = " OR ".join(f"low{i} <> high{i}" for i in range(len(rest)))
+    met = rows.where(reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys))).groupBy(*(f"`{k}`" for k in keys)).agg(*ends, F.max("__void").alias("__void"), F.max(PID).alias("__pid"), F.max("__new").alias("__new"))
+    return met.where(f"__new AND ({unlike} OR __void)").select(F.col("__pid").alias(PID))
 
 
 def charged(c: Compiler, rule: ir.Invariant, told: rules.Impact, found: DataFrame, delta: dict[str, DataFrame]) -> DataFrame:

@@ -27,7 +27,10 @@ FOREVER = (1 << 63) - 1
 def as_of(log: DataFrame, claim: list[str], order: int | None = None) -> DataFrame:
     """The claims that hold after the operation at ``order``."""
     upto = log.where("op <> 'noop'") if order is None else log.where((F.col("op") != "noop") & (F.col("ord") <= order))
-    return upto.groupBy(*claim).agg(F.max_by("op", F.struct("ord", "op")).alias("op")).where("op = 'ins'").select(*claim)
+    # Numbers and flags only, which are aggregated by hashing: no sort of the log.
+    came, added, gone = F.max(F.col("op") == "ins"), F.max(F.when(F.col("op") == "ins", F.col("ord"))), F.max(F.when(F.col("op") != "ins", F.col("ord")))
+    held = upto.groupBy(*claim).agg(came.alias("__came"), added.alias("__added"), gone.alias("__gone"))
+    return held.where("__came AND (__gone IS NULL OR __added >= __gone)").select(*claim)
 
 
 def order_at(log: DataFrame, at: str, instant: Column) -> int | None:

@@ -12,11 +12,11 @@ the outer variables that it uses, which pushes these into it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, is_dataclass, replace
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,12 @@ class Value:
     unit: str | None = None
 
 
+def tells_by_itself(prop) -> bool:
+    """Whether a proposition only compares what is bound, so that each row tells whether it holds."""
+    parts = prop.items if isinstance(prop, ir.And) else (prop,)
+    return all(isinstance(x, ir.Compare) and all(isinstance(n, ir.Compare | ir.Var | ir.Lit | ir.Bin) for n in ir.walk(x) if is_dataclass(n)) for x in parts)
+
+
 class Compiler:
     """Compiles against current claims, and ``pre`` claims where a rule asks for them.
 
@@ -105,6 +111,37 @@ class Compiler:
 
     def pattern(self, df: DataFrame, kinds: list[str], args: tuple, b: Bindings) -> Bindings:
         """Join a relation whose columns stand for ``args``."""
+        b, df, bound, new = self.terms(df, kinds, args, b)
+        kinds_out = {**b.kinds, **{n: k for n, (_, k) in new.items()}}
+        if b.unit:
+            return Bindings(df.select(*(c.alias(n) for n, (c, _) in new.items())), kinds_out, unit=False) if new else Bindings(df.select(), kinds_out)
+        keys = {n: self.name("k") for n in bound}
+        right = df.select(*(c.alias(keys[n]) for n, (c, _) in bound.items()), *(c.alias(n) for n, (c, _) in new.items()))
+        if not keys:
+            return Bindings(b.df.crossJoin(right), kinds_out)
+        on = reduce(Column.__and__, (F.col(f"`{n}`") == F.col(k) for n, k in keys.items()))
+        return Bindings(b.df.join(right, on).drop(*keys.values()), {n: k for n, k in kinds_out.items()})
+
+    def counted(self, p: ir.Claim, b: Bindings, n: str) -> Bindings | None:
+        """Rows of ``b`` with the claims that a pattern matches and, as ``n``, how many these are; rows without one too.
+
+        None where nothing bound is in the pattern. Claims are counted where the join has them sorted.
+        """
+        df = self.claims[p.predicate]
+        b, df, bound, new = self.terms(df, self.kinds_of(p.predicate, df), p.args, b)
+        if b.unit or not bound:
+            return None
+        keys = {name: self.name("k") for name in bound}
+        whole = reduce(Column.__and__, (c.isNotNull() for c, _ in bound.values()))
+        right = df.where(whole).select(*(c.alias(keys[name]) for name, (c, _) in bound.items()), *(c.alias(name) for name, (c, _) in new.items()))
+        right = right.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys.values())))
+        on = reduce(Column.__and__, (F.col(f"`{name}`") == F.col(k) for name, k in keys.items()))
+        rows = b.df.join(right, on, "left").withColumn(n, F.coalesce(n, F.lit(0)))
+        kinds = {**b.kinds, **{name: k for name, (_, k) in new.items()}}
+        return Bindings(rows.drop(*keys.values()), {name: k for name, k in kinds.items() if not name.startswith("__arg")})
+
+    def terms(self, df: DataFrame, kinds: list[str], args: tuple, b: Bindings) -> tuple[Bindings, DataFrame, dict, dict]:
+        """A relation's rows that fit ``args`` by themselves, and its columns for bound and for new variables."""
         if len(df.columns) != len(args):
             raise ValueError(f"{len(df.columns)} fields, {len(args)} terms")
         filters, bound, new, names = [], {}, {}, {}
@@ -131,15 +168,7 @@ class Compiler:
                 bound[hidden] = (column, kind)
         if filters:
             df = df.where(reduce(Column.__and__, filters))
-        kinds_out = {**b.kinds, **{n: k for n, (_, k) in new.items()}}
-        if b.unit:
-            return Bindings(df.select(*(c.alias(n) for n, (c, _) in new.items())), kinds_out, unit=False) if new else Bindings(df.select(), kinds_out)
-        keys = {n: self.name("k") for n in bound}
-        right = df.select(*(c.alias(keys[n]) for n, (c, _) in bound.items()), *(c.alias(n) for n, (c, _) in new.items()))
-        if not keys:
-            return Bindings(b.df.crossJoin(right), kinds_out)
-        on = reduce(Column.__and__, (F.col(f"`{n}`") == F.col(k) for n, k in keys.items()))
-        return Bindings(b.df.join(right, on).drop(*keys.values()), {n: k for n, k in kinds_out.items()})
+        return b, df, bound, new
 
     def match_and(self, p: ir.And, b: Bindings) -> Bindings:
         return reduce(lambda out, item: self.match(item, out), p.items, b)
@@ -294,11 +323,10 @@ class Compiler:
             base = b.df if not b.unit else self.spark.range(1).select()
             found = base.withColumn("__one", F.lit(1)).join(some, F.col("__one") == F.col("__some"), how).drop("__one")
             return Bindings(found, b.kinds)
-        parts = body.items if isinstance(body, ir.And) else (body,)
-        if all(isinstance(x, ir.Compare) and all(isinstance(n, ir.Compare | ir.Var | ir.Lit | ir.Bin) for n in ir.walk(x)) for x in parts):
-            # Each row tells by itself; a null among what is compared makes the test fail, as in a join.
+        if tells_by_itself(body):
+            # A null among what is compared makes the test fail, as in a join.
             wide, tests = b, []
-            for x in parts:
+            for x in body.items if isinstance(body, ir.And) else (body,):
                 wide, test = self.compared(x, wide)
                 tests.append(test)
             holds = reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys)) & F.coalesce(reduce(Column.__and__, tests), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..kinds import literal
 from ..lang import ir
 from ..lang.lower import is_recursive, unique_rule
-from .compiler import Bindings, Compiler
+from .compiler import Bindings, Compiler, tells_by_itself
 
 
 def split(body) -> tuple[object, object] | None:
@@ -163,6 +163,19 @@ def checked(c: Compiler, rule: ir.Invariant, delta: dict[str, DataFrame]) -> Dat
     return violations(c, rule, None if told == "unbounded" else told)
 
 
+def local(programme: ir.Programme, rule: ir.Invariant, constants) -> tuple[ir.Claim, object] | None:
+    """The one claim that a rule speaks of and what it asks of that, if each claim tells by itself whether it breaks the rule."""
+    parts = split(rule.body)
+    if parts is None or not isinstance(parts[0], ir.Claim):
+        return None
+    names = [a.name for a in parts[0].args if isinstance(a, ir.Var)]
+    if not names or len(set(names)) < len(names) or set(names) & set(constants) or any(not isinstance(a, ir.Var | ir.Lit) for a in parts[0].args):
+        return None
+    if parts[1] is not None and not (tells_by_itself(parts[1]) and ir.variables(parts[1]) and ir.variables(parts[1]) <= set(names)):
+        return None
+    return parts
+
+
 def unique_keys(programme: ir.Programme, rule: ir.Invariant) -> tuple[str, list[int]] | None:
     """The predicate and the places of the keys, if a rule is that these are unique."""
     for p in programme.predicates.values():

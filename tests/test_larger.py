@@ -51,3 +51,68 @@ def test_no_frame_of_proposals_is_sent_whole_to_every_node(spark):
 
     out = actions.outcome(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in out.intents["Receipt"]._jdf.queryExecution().executedPlan().toString()
+
+
+def decided(spark, monkeypatch):
+    """The plans of all tables that a decision of the bench's payments writes, by tag, and its outcome."""
+    from claimspark.catalog import actions
+
+    plans, write = {}, act.written
+    monkeypatch.setattr(act, "written", lambda df, tag: (plans.setdefault(tag, []).append(df._jdf.queryExecution()), write(df, tag))[1])
+    return plans, actions.outcome(spark, "/root/testdata/sf0.001")
+
+
+def test_a_decision_joins_once_and_shuffles_each_table_once(spark, monkeypatch):
+    plans, out = decided(spark, monkeypatch)
+    text = {tag: [p.optimizedPlan().toString() for p in of] for tag, of in plans.items()}
+    assert {tag: sum(p.count("Join ") for p in of) for tag, of in text.items() if any("Join " in p for p in of)} == {"bound": 1}
+    assert len(plans["delta"]) == 1  # only Paid has rules
+    assert sum(p.executedPlan().toString().count("Exchange hashpartitioning") for p in plans["delta"]) == 1
+    assert not any("SortAggregate" in p.executedPlan().toString() for of in plans.values() for p in of)
+
+
+ONE = parse("""
+program one
+predicate Of(o: Decimal, c: Decimal)
+predicate Put(o: Decimal, c: Decimal)
+    unique by (o)
+predicate Seen(o: Decimal, n: Decimal)
+
+transformation put(o, n):
+    bind known: Of(o, c)
+    if n > 1 and c < 100:
+        require small: n < 4
+        admit Seen(o, n)
+    admit Put(o, c)
+
+invariant bounded:
+    Put(o, c) implies c <= 50
+invariant not_nine:
+    not Put(9, c)
+""")
+
+
+def put(spark, rows):
+    of = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (3, 60), (4, 40), (5, None), (6, 30), (6, 30), (7, 7), (8, 8), (9, 9), (None, 5)], "o long, c long")
+    c = Compiler(spark, ONE, {"Of": of, "Put": spark.createDataFrame([(4, 40), (8, 1)], "o long, c long"), "Seen": spark.createDataFrame([], "o long, n long")})
+    asks = spark.createDataFrame(rows, "pid long, o long, n long").selectExpr("*", "'x' AS actor", "timestamp '2024-01-01' AS decided_at")
+    out = act.decide(c, "put", asks, {"o": "Decimal", "n": "Decimal"})
+    refused = sorted(((r.pid, r.kind, r.rule) for r in out.refused.collect()), key=repr)
+    return refused, {p: sorted(map(tuple, d.collect())) for p, d in out.delta.items()}, {p: sorted(map(tuple, d.collect())) for p, d in out.after.items() if p != "Of"}
+
+
+def test_a_binding_that_is_counted_in_its_join(spark):
+    rows = [(1, 1, 3), (2, 2, 1), (3, 3, 1), (4, 4, 5), (5, 5, 1), (6, 6, 1), (7, 7, 0), (8, 8, 1), (9, 9, 1), (10, 99, 1), (11, None, 1)]
+    refused, delta, after = put(spark, rows)
+    assert refused == sorted([(2, "error", "known is ambiguous"), (3, "invariant", "bounded"), (4, "require", "small"), (6, "error", "known is ambiguous"), (8, "invariant", "put_unique_by_o"), (9, "invariant", "not_nine"), (10, "bind", "known"), (11, "bind", "known")], key=repr)
+    assert delta == {"Put": [(1, 1, 10, "ins"), (7, 7, 7, "ins")], "Seen": [(1, 1, 3, "ins")]}
+    assert after == {"Put": [(1, 10), (4, 40), (7, 7), (8, 1)], "Seen": [(1, 3)]}
+
+
+def test_the_past_is_aggregated_by_hashing(spark):
+    from claimspark.operators import history
+
+    log = spark.createDataFrame([(1, "ins", 1), (2, "del", 1), (2, "ins", 1), (1, "ins", 2), (3, "del", 2), (4, "noop", 2), (1, "del", 3), (5, "ins", 4)], "ord long, op string, k long")
+    assert sorted(r.k for r in history.as_of(log, ["k"]).collect()) == [1, 4]
+    assert sorted(r.k for r in history.as_of(log, ["k"], 2).collect()) == [1, 2]
+    assert "SortAggregate" not in history.as_of(log, ["k"])._jdf.queryExecution().executedPlan().toString()
