@@ -324,12 +324,7 @@ class Compiler:
             found = base.withColumn("__one", F.lit(1)).join(some, F.col("__one") == F.col("__some"), how).drop("__one")
             return Bindings(found, b.kinds)
         if tells_by_itself(body):
-            # A null among what is compared makes the test fail, as in a join.
-            wide, tests = b, []
-            for x in body.items if isinstance(body, ir.And) else (body,):
-                wide, test = self.compared(x, wide)
-                tests.append(test)
-            holds = reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys)) & F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+            wide, holds = self.holds(body, b)
             rows = wide.df.where(holds if how == "left_semi" else ~holds)
             return b.with_df(rows.select(*(F.col(f"`{n}`") for n in b.df.columns)))
         inner = self.match(body) if self.alone(body, keys) else self.match(body, self.seeds(b, keys))
@@ -338,6 +333,15 @@ class Compiler:
         on = reduce(Column.__and__, (F.col(f"`{k}`") == F.col(h) for k, h in hidden.items()))
         return b.with_df(b.df.join(right, on, how))
 
+    def holds(self, body, b: Bindings) -> tuple[Bindings, Column]:
+        """Whether what only compares holds in a row; a null among what is compared makes it fail, as in a join."""
+        tests = []
+        for x in body.items if isinstance(body, ir.And) else (body,):
+            b, test = self.compared(x, b)
+            tests.append(test)
+        keys = sorted(ir.variables(body) & set(b.kinds))
+        return b, reduce(Column.__and__, (F.col(f"`{k}`").isNotNull() for k in keys)) & F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+
     def seeds(self, b: Bindings, keys: list[str]) -> Bindings:
         return Bindings(b.df.select(*(F.col(f"`{k}`") for k in keys)).distinct(), {k: b.kinds[k] for k in keys})
 
