@@ -8,7 +8,8 @@
    whose numbers agree but for their lowest three bits meet and are merged eight ways. A run is
    cut by digest prefix before it is sent, and the number of cuts grows eightfold with each
    exchange, so that a task never holds more than a few ten thousand entries. A digest that a
-   third of all rows share is one entry a run from the start.
+   third of all rows share is one entry a run from the start. What merges also deals its result
+   out for the next exchange: a task never needs a second Python worker, which would stay.
 4. The last runs name each digest's row that stays; a join by digest tells every row. Spark
    splits the hot side of this join (adaptive skew join).
 
@@ -30,8 +31,8 @@ from ._common import BLANKS, materialise, table
 
 #: Runs merged in one exchange: 2 ** ROUNDS.
 ROUNDS = 3
-#: Rows after which a partition closes a run, and into how many prefix ranges such a run is cut.
-RUN_ROWS, RUN_CUTS = 1 << 18, 8
+#: Rows after which a partition closes a run, into how many prefix ranges such a run is cut, and into how many any is.
+RUN_ROWS, RUN_CUTS, MOST_CUTS = 1 << 18, 8, 1 << 48
 
 ENTRY = np.dtype([
     ("d0", "u8"), ("d1", "u8"), ("d2", "u8"), ("d3", "u8"), ("bytes", "i8"), ("check", "i8"),
@@ -39,6 +40,8 @@ ENTRY = np.dtype([
 ])
 IDENTITY = ["d0", "d1", "d2", "d3", "bytes", "check"]
 RANK = ["short", "no_id", "id", "uid"]
+PIECES = "run long, cut long, entries binary"
+OPENED = "digest binary, bytes long, check long, keep_id long, keep_uid long, group_size long"
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,14 +106,16 @@ def tree_merge(rows: DataFrame) -> DataFrame:
         if count:
             yield close()
 
-    level = materialise(rows.select("doc_id", "points", "digest", "bytes", "check", "uid").mapInArrow(runs, "run long, cut long, entries binary"), "dedup-runs")
+    level = materialise(rows.select("doc_id", "points", "digest", "bytes", "check", "uid").mapInArrow(runs, PIECES), "dedup-runs")
     last = level.agg(F.max("run")).first()[0] or 0
-    cuts = RUN_CUTS
-    while last:
-        cuts = min(cuts << ROUNDS, 1 << 48)
+    if not last:
+        return level.select("entries").mapInArrow(_open, OPENED)
+    cuts = RUN_CUTS << ROUNDS
+    level = level.select("run", "entries").mapInArrow(_deal(cuts), PIECES)
+    while last := last >> ROUNDS:
+        cuts = min(cuts << ROUNDS, MOST_CUTS)
         level = _exchange(level, cuts)
-        last >>= ROUNDS
-    return level.select("entries").mapInArrow(_open, "digest binary, bytes long, check long, keep_id long, keep_uid long, group_size long")
+    return _exchange(level, None)
 
 
 def _entries(batch: pa.RecordBatch) -> np.ndarray:
@@ -125,33 +130,45 @@ def _entries(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _exchange(level: DataFrame, cuts: int) -> DataFrame:
-    """2 ** ROUNDS runs at a time become one; its pieces are cut finer by as much."""
+def _deal(cuts: int):
+    """Pieces of runs as the next exchange needs them: cut finer, under the number that their run will have."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(run >> ROUNDS, part, piece) for run, entries in zip(batch.column("run").to_pylist(), batch.column("entries").to_pylist(), strict=True) for part, piece in _cut(np.frombuffer(entries, ENTRY), cuts)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["run", "cut", "entries"])
+            for run, entries in zip(batch.column("run").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                yield _dealt(run, np.frombuffer(entries, ENTRY), cuts)
+
+    return deal
+
+
+def _dealt(run: int, entries: np.ndarray, cuts: int) -> pa.RecordBatch:
+    part, piece = zip(*_cut(entries, cuts), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([run >> ROUNDS] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(piece, pa.binary())], names=["run", "cut", "entries"])
+
+
+def _exchange(level: DataFrame, cuts: int | None) -> DataFrame:
+    """2 ** ROUNDS runs at a time become one; its pieces are dealt out again, in ``cuts``, or opened if it is the last."""
 
     def merge(key: tuple, pieces: pa.Table) -> pa.Table:
         merged = _merge(np.concatenate([np.frombuffer(x, ENTRY) for x in pieces.column("entries").to_pylist()]))
-        return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "cut": pa.array([key[1].as_py()], pa.int64()), "entries": pa.array([merged.tobytes()], pa.binary())})
+        return pa.Table.from_batches([_opened(merged) if cuts is None else _dealt(key[0].as_py(), merged, cuts)])
 
-    schema = "run long, cut long, entries binary"
-    return level.select("run", "entries").mapInArrow(deal, schema).groupBy("run", "cut").applyInArrow(merge, schema)
+    return level.groupBy("run", "cut").applyInArrow(merge, OPENED if cuts is None else PIECES)
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for entries in batch.column("entries").to_pylist():
-            run = np.frombuffer(entries, ENTRY)
-            words = np.stack([run[f"d{i}"] for i in range(4)], axis=1).astype(">u8").tobytes()
-            digest = [words[i : i + 32] for i in range(0, len(words), 32)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(run["bytes"]), pa.array(run["check"]), pa.array(run["id"], mask=run["no_id"].astype(bool)), pa.array(run["uid"]), pa.array(run["rows"])],
-                names=["digest", "bytes", "check", "keep_id", "keep_uid", "group_size"],
-            )
+            yield _opened(np.frombuffer(entries, ENTRY))
+
+
+def _opened(run: np.ndarray) -> pa.RecordBatch:
+    words = np.stack([run[f"d{i}"] for i in range(4)], axis=1).astype(">u8").tobytes()
+    digest = [words[i : i + 32] for i in range(0, len(words), 32)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(digest, pa.binary()), pa.array(run["bytes"]), pa.array(run["check"]), pa.array(run["id"], mask=run["no_id"].astype(bool)), pa.array(run["uid"]), pa.array(run["rows"])],
+        names=["digest", "bytes", "check", "keep_id", "keep_uid", "group_size"],
+    )
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

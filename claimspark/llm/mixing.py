@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import BLANKS, materialise, table
+from ._common import materialise, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WEIGHTS, MOST_EPOCHS, BUCKETS = (5, 2, 1), 3, 1 << 12
@@ -44,15 +45,12 @@ def count_words(column: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.empty(0, np.uint8)
     at = offsets - offsets[0]
-    blank = np.zeros(256, bool)
-    blank[list(BLANKS.encode())] = True
-    solid = ~blank[data]
+    solid = (data != 32) & (data - np.uint8(9) > 4)  # BLANKS; an index by bytes would take 8 times the text
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     begins = at[:-1][at[:-1] < at[1:]]  # a text's first character starts a word whatever precedes it
     start[begins] = solid[begins]
-    total = np.r_[0, np.cumsum(start)]
-    return total[at[1:]] - total[at[:-1]]
+    return np.array([np.count_nonzero(start[a:b]) for a, b in pairwise(at.tolist())], np.int64)
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, table, texts
 
-LIMIT, END, GROUP, CACHED = 4096, 1, 1 << 16, 600_000
+LIMIT, END, GROUP = 4096, 1, 1 << 16
+#: Words, and parts of words, that an encoder knows before it lets go of those not just used; 300,000 of both take about 75 MB.
+#: Those of more than LONG characters, which may be whole texts, are never kept.
+CACHED, LONG = 300_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -82,9 +85,7 @@ class Encoder:
                 self.parts.update((part, self.ask(part).tobytes()) for part in some)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.parts) > CACHED:
-            self.parts = {"": b""}
-        parts, plain = self.parts, self.PLAIN.fullmatch
+        plain = self.PLAIN.fullmatch
         # Most words are letters, then punctuation or nothing.
         every = list(words)
         cores = [w.rstrip(".,;:!?") for w in every]
@@ -97,9 +98,13 @@ class Encoder:
                 hard[word] = self.PARTS.findall(word.lower())
             else:
                 self.words[word] = self.ask(word).tobytes()
-        self.learn_parts(list(set(chain(lows, tails, *hard.values())).difference(parts)))
+        used = set(chain(lows, tails, *hard.values()))
+        self.parts = parts = trimmed(self.parts, used)
+        self.learn_parts(list(used.difference(parts)))
         self.words.update(zip(easy_words, map(add, map(parts.__getitem__, lows), map(parts.__getitem__, tails)), strict=True))
         self.words.update((word, b"".join(map(parts.__getitem__, found))) for word, found in hard.items())
+        for part in [p for p in used if len(p) > LONG]:
+            del parts[part]
 
     def encode_all(self, bodies: list[str]) -> Iterator[bytes]:
         """The ids of each text, some at a time."""
@@ -113,17 +118,26 @@ class Encoder:
         yield from self.settle(held)
 
     def settle(self, texts_: list[list[str]]) -> Iterator[bytes]:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        known, collecting = self.words, gc.isenabled()
+        collecting = gc.isenabled()
         gc.disable()  # it would walk the caches again and again; nothing here makes cycles
         try:
-            self.learn(set(chain.from_iterable(texts_)).difference(known))
+            used = set(chain.from_iterable(texts_))
+            self.words = known = trimmed(self.words, used)
+            self.learn(new := used.difference(known))
+            long = [w for w in new if len(w) > LONG]
+            del used, new
         finally:
             if collecting:
                 gc.enable()
         for words in texts_:
             yield b"".join(map(known.__getitem__, words))
+        for word in long:
+            del known[word]
+
+
+def trimmed(cache: dict[str, bytes], used: set[str]) -> dict[str, bytes]:
+    """The cache, or if it has grown beyond ``CACHED`` what of it is used now."""
+    return cache if len(cache) <= CACHED else {"": b""} | {x: cache[x] for x in used & cache.keys()}
 
 
 def encoder_of_worker(path: str | None) -> Encoder:

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -18,6 +19,17 @@ def test_words_are_counted_as_the_pattern_counts_them(texts):
     assert M.count_words(pa.array(["x y", *texts], pa.string())[1:]).tolist() == plain
 
 
+def test_counting_words_takes_a_few_times_the_memory_of_the_texts():
+    texts = pa.array(["seven letters " * 100_000, "", None, "a b " * 300_000])
+    M.count_words(texts[:1])
+    tracemalloc.start()
+    try:
+        assert M.count_words(texts).tolist() == [200_000, 0, 0, 600_000]
+        assert tracemalloc.get_traced_memory()[1] < 6 * texts.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def plain_targets(size):
     """Shared by weight again and again until no target is above its cap."""
     order = sorted((s for s in size if s is not None)) + [None] * (None in size)

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import defaultdict
 
@@ -108,3 +109,29 @@ def test_null_ids_repeated_rows_and_a_very_long_text(spark):
     ids = lambda text: len(TOKENIZER.encode(text, add_special_tokens=False).ids) + 1
     assert sorted(r.length for r in rows if r.doc_id is None) == sorted([ids("a b c"), 1])
     assert [(r.piece, r.start, r.length) for r in rows if r.doc_id == 1] == [(0, 0, ids("twice"))] * 2
+
+
+def test_what_an_encoder_keeps_is_bounded_whatever_it_has_read(monkeypatch):
+    encoder = M.Encoder()
+    kept = lambda: [x for cache in (encoder.words, encoder.parts) for x in (*cache, *cache.values())]
+    # Whole texts that count as one word are not kept, and still have their ids.
+    odd = [f"a\x1c{i} " + "some words " * 2000 for i in range(200)] + ["x" * 50_000 + str(i) for i in range(20)]
+    for text, ids in zip(odd, encoder.encode_all(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, kept())) < 100_000
+    # Nor are more words than a worker has room for, and those in use are known on.
+    monkeypatch.setattr(M, "CACHED", min(M.CACHED, 300_000) // 100)
+    for at in range(0, 10 * M.CACHED, 1000):
+        text = "often used, " + " ".join(f"w{i}x" for i in range(at, at + 1000))
+        assert np.frombuffer(b"".join(encoder.encode_all([text])), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert max(len(encoder.words), len(encoder.parts)) <= M.CACHED + 2100 and {"often", "used,"} <= encoder.words.keys()
+
+
+def test_full_caches_leave_room_for_two_workers_in_an_executor():
+    encoder = M.Encoder()
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    most = 0
+    for at in range(0, 750_000, 30_000):
+        b"".join(encoder.encode_all([" ".join(letters(i) + "." * (i % 3) for i in range(at, at + 30_000))]))
+        most = max(most, sum(sys.getsizeof(x) for cache in (encoder.words, encoder.parts) for x in (cache, *cache, *cache.values())))
+    assert most < 100_000_000

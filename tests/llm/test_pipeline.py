@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from claimspark.llm import _common
+from claimspark.llm import _common, components, exact_dedup, mixing, packing, simhash
 from test_mixing import plain_targets
 from test_packing import check
 from test_simhash import plain_components, plain_print
@@ -115,3 +115,43 @@ def test_run_on_an_empty_table_and_what_it_leaves_behind(spark, tmp_path):
     whole_run(spark, tmp_path / "some", ODD)
     new = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
     assert new == {"pipeline-mixing", "pack-pieces", "pack-placed"}
+
+
+def workers_at_once(plan):
+    """How many Python workers a task of a plan needs: Python nodes above each other without an exchange between."""
+    most, above = 0, []  # (depth, Python nodes from the last exchange down to this one)
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*0123456789()")
+        depth = len(line) - len(name)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        count = 0 if re.match("Exchange|BroadcastExchange", name) else (above[-1][1] if above else 0) + bool(re.match(r"\w*(InArrow|InPandas|EvalPython)", name))
+        above.append((depth, count))
+        most = max(most, count)
+    return most
+
+
+def test_no_task_needs_two_python_workers(spark, tmp_path, monkeypatch):
+    """A worker that is started stays, and all that wait take turns: each grows as large as the largest stage makes it."""
+    plans = []
+
+    def noted(df, tag, write=_common.materialise):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    for module in (_common, components, exact_dedup, mixing, packing, simhash):
+        monkeypatch.setattr(module, "materialise", noted)
+    spark.createDataFrame(ODD * 30, DOCS).repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(exact_dedup, "ROUNDS", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        last = corpus_pipeline.run(spark, str(tmp_path))
+        plans.append(("pipeline-packing", last._jdf.queryExecution().executedPlan().toString()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {"pipeline-language_id", "dedup-runs", "dedup-stay", "pipeline-exact_dedup", "pipeline-simhash_dedup", "pipeline-mixing", "pack-placed"} <= {tag for tag, _ in plans}
+    assert max(plan.count("FlatMapGroupsInArrow") for tag, plan in plans if tag == "dedup-stay") > 1
+    assert {tag: n for tag, plan in plans if (n := workers_at_once(plan)) > 1} == {}
