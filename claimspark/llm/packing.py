@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from ._common import materialise, table, texts
 
 LIMIT, END, GROUP = 4096, 1, 1 << 16
-#: Words, and parts of words, that an encoder knows before it lets go of those not just used; 300,000 of both take about 75 MB.
+#: Words, and parts of words, that an encoder knows before it lets go of those not just used; 450,000 of both take about 110 MB.
 #: Those of more than LONG characters, which may be whole texts, are never kept.
-CACHED, LONG = 300_000, 64
+CACHED, LONG = 450_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
